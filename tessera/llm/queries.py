@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fmindex, hilbert, ngram_join, quality, rans, sharding, substring
+from . import bpe, common, fmindex, hilbert, ngram_join, quality, rans, sharding, substring, trie_lm
 from .common import read
 
 QUALITY_THRESHOLD = 0.3
@@ -37,6 +37,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trie_lm.score_texts(read(spark, sf_dir, "documents"), lambda doc_id: common.crc_mod5(doc_id) != 1)
+    return out.withColumn("held_out", ~F.col("training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -60,4 +65,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), 40)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_lm_scoring, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding)}

@@ -14,8 +14,8 @@ dataset hold one block a row, in order of ``block``, beside a file with the tabl
 from __future__ import annotations
 
 import gc
+import itertools
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,10 +29,10 @@ from . import common
 
 MAGIC = b"TRANS1\x00\x00"
 SCALE_BITS = 20
-LANES = 512
-CHECKPOINT_STEPS = 128
+LANES = 2048
+CHECKPOINT_STEPS = 64
 #: Ids in a block, but for the last ids of a document that is longer.
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 18
 LOW = np.uint64(1 << 31)
 
 
@@ -155,17 +155,50 @@ def unpack_block(raw: bytes, t: Table) -> tuple[int, np.ndarray, np.ndarray, np.
 
 
 # ------------------------------------------------------------------ tokenizer
-#: Unicode White_Space, as the tokenizers' patterns know it (fixed values).
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A unit is white space with the non-space run after it. A place between a non-space and a
-#: white space always ends a piece of byte-level splitting, so units encode independently.
-_UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Units that a worker remembers.
-MEMO_UNITS = 300_000
+#: Pieces that a worker remembers; 24 bytes each and what their ids take.
+MEMO_PIECES = 1_500_000
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
+_NO_QUOTE = _PUNCT.copy()
+_NO_QUOTE[39] = False
+
+
+def _white(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to Unicode white space."""
+    white = _SPACE[buf]
+    if (buf >= 0xC2).any():
+        b0, b1, b2 = buf, np.append(buf[1:], 0), np.append(buf[2:], [0, 0])[: len(buf)]
+        two = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+        end = ((b2 >= 0x80) & (b2 <= 0x8A)) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF)
+        three = ((b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80)) | ((b0 == 0xE2) & (b1 == 0x80) & end) | ((b0 == 0xE2) & (b1 == 0x81) & (b2 == 0x9F)) | ((b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80))
+        for n, head in ((2, two), (3, three)):
+            at = np.flatnonzero(head)
+            for j in range(n):
+                white[at + j] = True
+    return white
+
+
+def piece_starts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where every byte-level splitting ends a match, so that pieces encode independently.
+
+    Before white space after anything else; between an ASCII letter or digit and ASCII punctuation,
+    but not after an apostrophe, which may begin a contraction.
+    """
+    white = _white(buf)
+    cut = np.zeros(len(buf), bool)
+    before = buf[:-1]
+    cut[1:] = (white[1:] & ~white[:-1]) | (_PUNCT[buf[1:]] & _ALNUM[before]) | (_ALNUM[buf[1:]] & _NO_QUOTE[before])
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 class UnitEncoder:
-    """Encodes texts by a file of the tokenizers library, remembering units already seen."""
+    """Encodes texts by a file of the tokenizers library, remembering pieces already seen by their hash."""
 
     def __init__(self, path: str):
         import os
@@ -176,32 +209,85 @@ class UnitEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.vocab = self._tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.vocab <= 1 << 16 else "<u4"
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self._memo: dict[str, int] = {}
-        self._pool: list[np.ndarray] = []
-        self._flat, self._at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._known, self._from, self._size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._pool, self._used = np.zeros(1 << 16, np.uint16 if self.dtype == "<u2" else np.uint32), 0
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, ids per text)."""
-        if len(self._memo) > MEMO_UNITS:
-            self._clear()
-        units = [_UNIT.findall(t) for t in texts]
-        memo = self._memo
-        new = list(dict.fromkeys(u for us in units for u in us if u not in memo))
-        if new:
-            found = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = len(memo)
-            memo.update(zip(new, range(n, n + len(new))))
-            self._flat = np.concatenate((self._flat, np.fromiter((i for ids in found for i in ids), np.uint32)))
-            self._at = np.concatenate((self._at, self._at[-1] + np.cumsum([len(ids) for ids in found])))
-        code = np.fromiter((memo[u] for us in units for u in us), np.int64)
-        per_unit = self._at[code + 1] - self._at[code]
-        ends = np.cumsum(per_unit)
-        ids = self._flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._at[code] - (ends - per_unit), per_unit)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(u) for u in units])))]
-        return ids, np.diff(bounds)
+        texts = pa.compute.fill_null(texts, "")
+        # a text with the string of an added token is encoded whole: the library looks for those first
+        whole = np.zeros(len(texts), bool)
+        for token in self._added:
+            whole |= np.asarray(pa.compute.match_substring(texts, token))
+        if whole.any():
+            return self._mixed(texts, whole)
+        return self._pieces(texts)
+
+    def _mixed(self, texts, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        ids, sizes = self._pieces(texts.filter(pa.array(~whole)))
+        ends = np.cumsum(sizes)
+        plain = iter(np.split(ids, ends[:-1]) if len(sizes) else [])
+        for t, w in zip(texts.to_pylist(), whole.tolist()):
+            parts.append(np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else next(plain))
+        return np.concatenate(parts).astype(np.uint32), np.array([len(p) for p in parts])
+
+    def _pieces(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        buf, starts, lengths = common.text_bytes(texts)
+        at = piece_starts(buf, starts)
+        end = np.append(at[1:], len(buf))
+        doc = np.searchsorted(starts, at, "right") - 1
+        end = np.minimum(end, (starts + lengths)[doc])  # without the newline that text_bytes adds
+        real = end > at
+        at, end, doc = at[real], end[real], doc[real]
+        pieces = object.__new__(common.Words)
+        pieces.buf, pieces.start, pieces.end = buf, at, end
+        h, lead, code = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
+        place = np.searchsorted(self._known, h)
+        new = np.ones(len(h), bool)
+        inside = place < len(self._known)
+        new[inside] = self._known[place[inside]] != h[inside]
+        if new.any():
+            if len(self._known) > MEMO_PIECES:
+                self._clear()
+                new[:] = True
+            self._learn(h[new], [buf[a:z].tobytes().decode() for a, z in zip(at[lead[new]].tolist(), end[lead[new]].tolist())])
+            place = np.searchsorted(self._known, h)
+        size, begin = self._size[place][code], self._from[place][code]
+        ends = np.cumsum(size)
+        ids = self._pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)].astype(np.uint32)
+        return ids, np.bincount(doc, weights=size, minlength=len(starts)).astype(np.int64)
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        # few at a time: the library's results are many times larger than their ids
+        found = [e.ids for at in range(0, len(pieces), 2048) for e in self._tokenizer.encode_batch_fast(pieces[at : at + 2048], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), self._pool.dtype, int(size.sum()))
+        while self._used + len(flat) > len(self._pool):
+            self._pool = np.concatenate((self._pool, np.zeros_like(self._pool)))
+        self._pool[self._used : self._used + len(flat)] = flat
+        begin = self._used + np.cumsum(size) - size
+        self._used += len(flat)
+        at = np.searchsorted(self._known, h)
+        if len(h) > 10_000:
+            _trim()
+        self._known, self._from, self._size = np.insert(self._known, at, h), np.insert(self._from, at, begin), np.insert(self._size, at, size)
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -250,7 +336,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
         for b in common.text_batches(batches, "text"):
             part = b.column("part")[0].as_py()
-            ids, lengths = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            ids, lengths = enc.encode(b.column("text"))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, end_id).astype(np.uint32)
             lengths = lengths + 1

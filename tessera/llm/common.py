@@ -136,9 +136,9 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths + 1, out=starts[1:])
     out = np.full(int(starts[-1]), 10, dtype=np.uint8)
-    if len(flat):
-        place = np.arange(len(flat), dtype=np.int64) + np.repeat(np.arange(len(lengths)), lengths)
-        out[place] = flat
+    at = offsets - offsets[0]
+    for to, a, z in zip(starts[:-1].tolist(), at[:-1].tolist(), at[1:].tolist()):
+        out[to : to + z - a] = flat[a:z]
     return out, starts[:-1], lengths
 
 
@@ -186,12 +186,13 @@ class Words:
         if int(lengths.max()) > _LONG_WORD:
             return self._hashes_long(seed)
         factors = _factors(seed)
-        total = int(lengths.sum())
-        begin = np.zeros(n, np.int64)
-        np.cumsum(lengths[:-1], out=begin[1:])
-        off = np.arange(total) - np.repeat(begin, lengths)
-        byte = self.buf[off + np.repeat(self.start, lengths)]
-        sums = np.add.reduceat(factors[off] * (byte.astype(U64) + U64(1)), begin)
+        sums = np.empty(n, U64)
+        for a in range(0, n, _SLICE_WORDS):  # a slice at a time: the temporary arrays have eight bytes for each byte of text
+            part = lengths[a : a + _SLICE_WORDS]
+            begin = np.cumsum(part) - part
+            off = np.arange(int(part.sum())) - np.repeat(begin, part)
+            byte = self.buf[off + np.repeat(self.start[a : a + _SLICE_WORDS], part)]
+            sums[a : a + _SLICE_WORDS] = np.add.reduceat(factors[off] * (byte.astype(U64) + U64(1)), begin)
         return mix(sums + lengths.astype(U64) * _MIX_STEP)
 
     def _hashes_long(self, seed: int) -> np.ndarray:
@@ -212,6 +213,7 @@ class Words:
 
 
 _LONG_WORD = 4096
+_SLICE_WORDS = 1 << 15
 _FACTORS: dict[int, np.ndarray] = {}
 
 
@@ -234,8 +236,8 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    acc = np.full(n, U64(seed + 1) * _MIX_STEP, U64)
     with np.errstate(over="ignore"):
+        acc = np.full(n, U64(seed + 1) * _MIX_STEP, U64)
         for j in range(k):
             acc = acc + hashes[j : j + n] * (_factors(seed + 101)[j])
     return mix(acc)

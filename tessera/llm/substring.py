@@ -36,7 +36,7 @@ GROUP_SUFFIXES = 4_000_000
 PREFIX_SLOTS, SLICES = 1 << 16, 256
 #: Landmarks that one task compares.
 BUCKET_LANDMARKS = 1_000_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 _NO_ID = -(1 << 63)
 
 

@@ -188,3 +188,21 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column("doc_id").combine_chunks(), pa.array(p)], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def with_score(docs: DataFrame, weights: np.ndarray, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and the score of each row as the last one; cases as in ``score``."""
+    from pyspark.sql import types as T
+
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for b in common.text_batches(batches, text_col):
+            z = Features(b.column(text_col)).dot(w) + float(w[-1]) * HABIT
+            scored = b.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+            yield from scored.combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -14,8 +14,8 @@ partner, so a prefix that no such loss can empty must meet its partner's prefix:
 Sets around the border between the two schemes are indexed by both.
 
 Equal sets are one node. Sets that share a signature are compared by length and by
-512-bit parity sketches, whose difference never exceeds the sets' own, in blocks of
-bounded size; what passes is verified on the sets themselves. Links within a
+parity sketches, whose difference never exceeds the sets' own, in blocks of bounded
+size; what passes is verified on the sets themselves. Links within a
 component that is already known aren't verified again: a first round verifies a few
 pairs for each set, a second one all remaining pairs between different components.
 """
@@ -42,9 +42,10 @@ CLASSES = 16
 #: A token is frequent if its slot of the corpus counts has so many occurrences and so many times the mean.
 FREQUENT, FREQUENT_TIMES = 256, 4
 SLOTS, SLICES = 1 << 20, 64
+#: Bits of the smallest sketch; sketches double until they have a bit for four tokens.
 SKETCH_BITS = 512
 #: Sets of one signature that are compared in one block.
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 #: Lists of ids that are broadcast have at most so many rows; longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _HASH_BITS = 51
@@ -86,10 +87,22 @@ class Sets:
             out[some] = np.add.reduceat(common.mix(self.token + U64(1)), self.first[some])
         return common.mix(out + self.n.astype(U64))
 
-    def sketches(self) -> np.ndarray:
-        bit = (common.mix(self.token ^ U64(0x5BD1E995)) >> U64(64 - 9)).astype(np.int64)
-        counts = np.bincount(self.doc * SKETCH_BITS + bit, minlength=len(self.n) * SKETCH_BITS)
-        return np.packbits((counts & 1).astype(np.uint8).reshape(len(self.n), SKETCH_BITS), axis=1)
+    def sketches(self) -> list[bytes]:
+        """Parity sketches: a token flips one bit, chosen by the low bits of a hash, so halves fold together."""
+        h = common.mix(self.token ^ U64(0x5BD1E995))
+        kind = sketch_class(self.n)
+        out: list[bytes] = [b""] * len(self.n)
+        for k in np.unique(kind).tolist():
+            docs = np.flatnonzero(kind == k)
+            bits = SKETCH_BITS << k
+            local = np.full(len(self.n), -1)
+            local[docs] = np.arange(len(docs))
+            mine = local[self.doc] >= 0
+            at = local[self.doc[mine]] * bits + (h[mine] & U64(bits - 1)).astype(np.int64)
+            parity = (np.bincount(at, minlength=len(docs) * bits) & 1).astype(np.uint8).reshape(len(docs), bits)
+            for d, raw in zip(docs.tolist(), np.packbits(parity, axis=1)):
+                out[d] = raw.tobytes()
+        return out
 
     def signatures(self, percent: int) -> list[np.ndarray]:
         loss = self.n - (percent * self.n + 99) // 100
@@ -115,6 +128,43 @@ class Sets:
         return out
 
 
+def sketch_class(n: np.ndarray) -> np.ndarray:
+    """How often the smallest sketch doubles for sets of n tokens."""
+    return np.ceil(np.log2(np.maximum(1.0, n / (4 * SKETCH_BITS)))).astype(np.int64)
+
+
+class _Sketches:
+    """Sketches of rows at a common width: those of the next class are folded to it."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.kind = sketch_class(n)
+        self._raw = raw
+        self._at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _width(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self._at:
+            rows = np.flatnonzero((self.kind == k) | (self.kind == k + 1))
+            words = (SKETCH_BITS << k) // 64
+            out = np.empty((len(rows), words), U64)
+            for i, r in enumerate(rows.tolist()):
+                x = np.frombuffer(self._raw[r], U64)
+                out[i] = x if len(x) == words else x[:words] ^ x[words:]
+            place = np.full(len(self.kind), -1)
+            place[rows] = np.arange(len(rows))
+            self._at[k] = place, out
+        return self._at[k]
+
+    def gap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits; never more than the sets differ in tokens."""
+        out = np.zeros(len(x), np.int64)
+        narrow = np.minimum(self.kind[x], self.kind[y])
+        for k in np.unique(narrow).tolist():
+            some = np.flatnonzero(narrow == k)
+            place, table = self._width(k)
+            out[some] = np.bitwise_count(table[place[x[some]]] ^ table[place[y[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _pair_signatures(tokens: np.ndarray, need: int) -> np.ndarray:
     """Pairs within classes of the shortest prefix whose classes count ``need`` together."""
     kind = (common.mix(tokens ^ U64(0x2545F491)) % U64(CLASSES)).astype(np.int64)
@@ -190,7 +240,7 @@ def _index(k: int, percent: int, frequent):
                     pa.array(s.n, pa.int64()),
                     pa.array(s.digests().view(np.int64), mask=s.n == 0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array([x.tobytes() for x in s.sketches()], pa.binary()),
+                    pa.array(s.sketches(), pa.binary()),
                 ],
                 names=["id", "crc", "n", "node", "sigs", "sketch"],
             )
@@ -222,7 +272,7 @@ def _compare(percent: int, first_round: bool):
 
 def _pairs(t: pa.Table, percent: int, first_round: bool) -> Iterator[pa.RecordBatch]:
     sig, i, j, node, n, block, comp = (np.asarray(t.column(c)) for c in ("sig", "i", "j", "node", "n", "block", "comp"))
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(-1, SKETCH_BITS // 64)
+    sketch = _Sketches(t.column("sketch").to_pylist(), n)
     start = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     size = np.diff(np.append(start, len(sig)))
     end = np.repeat(start + size, size)
@@ -235,7 +285,7 @@ def _pairs(t: pa.Table, percent: int, first_round: bool) -> Iterator[pa.RecordBa
         ok = (100 * low >= percent * high) & (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
         x, y = x[ok], y[ok]
         if len(x):
-            gap = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+            gap = sketch.gap(x, y)
             near = gap * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             if near.any():
                 found.append((x[near], y[near], gap[near]))
@@ -253,9 +303,8 @@ def _pairs(t: pa.Table, percent: int, first_round: bool) -> Iterator[pa.RecordBa
         keep = np.unique(np.concatenate(keep))
         x, y = ends[keep], other[keep]
     a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-    na, nb = np.where(node[x] < node[y], n[x], n[y]), np.where(node[x] < node[y], n[y], n[x])
     once = np.unique(np.stack((a, b)), axis=1, return_index=True)[1]
-    yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (a, b, na, nb)], names=["a", "b", "na", "nb"])
+    yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (a, b)], names=["a", "b"])
 
 
 def _token_sets(k: int):
@@ -283,7 +332,7 @@ def _verify(percent: int):
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, work: common.Workspace, name: str) -> DataFrame:
     """The pairs that do link, by their whole sets."""
-    pairs = work.save(pairs.distinct(), f"{name}-pairs")
+    pairs = work.save(pairs.select("a", "b").distinct(), f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if (n := ids.count()) == 0:
         return pairs.select("a", "b")
@@ -340,7 +389,7 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
         known = dealt.withColumn("comp", F.col("node")) if labels is None else dealt.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
         known = known.select("sig", "i", "j", "node", "n", "block", "comp", "sketch")
         parts = common.shuffle_parts(spark)
-        return known.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent, first_round), "a long, b long, na long, nb long")
+        return known.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent, first_round), "a long, b long")
 
     near = _links(compare(None, True), reps, rows, shingle_words, percent, work, "near")
     labels = connected_components(near, work, "near-components")

@@ -21,37 +21,37 @@ from .substring import release_shuffles
 
 PERCENT = 80
 #: Slots in which words are counted.
-SLOTS = 1 << 16
+SLOTS = 1 << 18
 BLANK = "[\\x20\\x09-\\x0D]+"
 #: Lists of documents that are broadcast have at most so many rows; longer ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 _NO_ID = -(1 << 63)
 _HASH = (1 << 56) - 1
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(SLOTS))
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def rarity_classes(texts: DataFrame) -> Column:
     """An array literal: for each slot the number of binary digits of its words' count in all texts."""
     words = texts.select(F.explode(F.split("text", BLANK)).alias("word")).where("word <> ''")
-    counts = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()  # SLOTS rows at most
+    counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()  # SLOTS rows at most
     classes = [0] * SLOTS
     for r in counts:
         classes[r["slot"]] = r["n"].bit_length()
     return F.lit(",".join(map(str, classes)))
 
 
-def _token(word: Column, classes: Column) -> Column:
-    rare = F.element_at(classes, _slot(word) + 1).cast("bigint")
-    return F.shiftleft(rare, 56).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit(_HASH)))
+def _token(h: Column, classes: Column) -> Column:
+    rare = F.element_at(classes, _slot(h) + 1).cast("bigint")
+    return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
 
 
 def line_tokens(line: Column, classes: Column) -> Column:
     """The distinct words of a line as ordered 64-bit numbers, rarest first."""
-    words = F.filter(F.split(line, BLANK), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: _token(w, classes))))
+    words = F.array_remove(F.split(line, BLANK), "")
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _token(h, classes))))
 
 
 def _may_link(nx: Column, ny: Column, px: Column, py: Column, sx: Column, sy: Column, percent: int) -> Column:
@@ -69,7 +69,7 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     of ``percent`` or more; all lines are judged on the input, whether or not the earlier one goes too.
 
     * lines without words stay; a null text stays null, with no lines
-    * rows with a null id come before all others; rows that share an id come in the order of their texts' checksums
+    * rows with a null id come before all others; those of rows that share an id are in the order of their numbers, then of checksums
     * rows with the same id and the same text count as one document and get the same result
     * an empty table gives no rows; other columns pass through, whatever their names
     """
@@ -81,35 +81,37 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     parsed = F.split(classes, ",").cast("array<tinyint>")  # folded to a constant by the optimizer
 
     def cut(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "crc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        """A row for each line with words. The words are worked out inside the generator: once, whatever uses them."""
+        numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), line_tokens(line, parsed).alias("tokens")))
+        return rows.select("id", "crc", F.explode(F.filter(numbered, lambda x: F.size(x["tokens"]) > 0)).alias("l")).select("id", "crc", "l.pos", "l.tokens")
 
-    tokens = line_tokens(F.col("line"), parsed)
     sketch = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    lines = cut(keys).withColumn("tokens", tokens).withColumn("n", F.size("tokens")).where("n > 0")
+    lines = cut(keys).withColumn("n", F.size("tokens"))
     lines = lines.select("id", "crc", "pos", F.xxhash64("tokens", "n").alias("key"), "n", F.slice("tokens", 1, F.col("n") - need + 1).alias("prefix"), sketch.alias("sketch"))
     lines = work.save(lines, "lines")
-    sets = lines.groupBy("key").agg(F.min(F.struct("id", "crc", "pos")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    sets = lines.groupBy("key").agg(F.min(F.struct("id", "pos", "crc")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     sets = work.save(sets, "sets")
     release_shuffles(spark)
 
     # buckets of prefix words with two lines or more, each row beside the bucket's earliest line
-    posted = sets.select("key", "first", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
+    posted = sets.select("key", "first.id", "first.pos", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
     bucket = Window.partitionBy("token")
-    posted = posted.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min(F.struct("first", "key", "n", "p", "sketch")).over(bucket)).where("size > 1")
+    posted = posted.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min(F.struct("id", "pos", "key", "n", "p", "sketch")).over(bucket)).where("size > 1")
     posted = work.save(posted, "posted")
     release_shuffles(spark)
     c = F.col
     star = posted.where(c("key") != c("hub.key")).where(_may_link(c("n"), c("hub.n"), c("p"), c("hub.p"), c("sketch"), c("hub.sketch"), percent))
-    settled = work.save(_similar(star.select(c("key").alias("x"), c("hub.key").alias("y")), sets, keys, cut, tokens, percent, work, "star"), "settled")
+    settled = work.save(_similar(star.select(c("key").alias("x"), c("hub.key").alias("y")), sets, keys, lambda line: line_tokens(line, parsed), percent, work, "star"), "settled")
     rest = posted.where("size > 2").join(settled.select(c("x").alias("key")), "key", "left_anti")
     x, y = rest.alias("x"), posted.where("size > 2").alias("y")
-    meets = (c("x.token") == c("y.token")) & (c("y.first") < c("x.first")) & (c("y.key") != c("y.hub.key")) & _may_link(c("x.n"), c("y.n"), c("x.p"), c("y.p"), c("x.sketch"), c("y.sketch"), percent)
+    earlier = F.struct("y.id", "y.pos", "y.key") < F.struct("x.id", "x.pos", "x.key")
+    meets = (c("x.token") == c("y.token")) & earlier & (c("y.key") != c("y.hub.key")) & _may_link(c("x.n"), c("y.n"), c("x.p"), c("y.p"), c("x.sketch"), c("y.sketch"), percent)
     pairs = x.join(y, meets).select(c("x.key").alias("x"), c("y.key").alias("y"))
-    late = settled.unionByName(_similar(pairs, sets, keys, cut, tokens, percent, work, "rest")).select(c("x").alias("key"), F.lit(True).alias("late")).distinct()
+    late = settled.unionByName(_similar(pairs, sets, keys, lambda line: line_tokens(line, parsed), percent, work, "rest")).select(c("x").alias("key"), F.lit(True).alias("late")).distinct()
 
     first = sets.select("key", "first").join(late, "key", "left")
-    places = lines.select("id", "crc", "pos", "key").join(first, "key").where(c("late") | (F.struct("id", "crc", "pos") != c("first")))
+    places = lines.select("id", "crc", "pos", "key").join(first, "key").where(c("late") | (F.struct("id", "pos", "crc") != c("first")))
     gone = work.save(places.groupBy("id", "crc").agg(F.collect_set("pos").alias("gone")), "gone")
     for name in ("lines", "sets", "posted", "settled"):
         work.drop(name)
@@ -117,15 +119,17 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     return _without(docs, gone, id_col, text_col)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, keys: DataFrame, cut, tokens: Column, percent: int, work: common.Workspace, name: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, keys: DataFrame, tokens_of, percent: int, work: common.Workspace, name: str) -> DataFrame:
     """The ``x`` of pairs that reach the threshold on whole sets; words are read again from the documents that hold them."""
     pairs = work.save(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
     places = work.save(sets.join(wanted, "key", "left_semi").select("key", "first.id", "first.crc", "first.pos"), f"{name}-places")
-    holders = places.select("id", "crc").distinct()
+    holders = places.groupBy("id", "crc").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
+    holders = work.save(holders, f"{name}-holders")
     near = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
-    found = cut(keys.join(near, ["id", "crc"], "left_semi")).join(places, ["id", "crc", "pos"])
-    whole = work.save(found.select("key", tokens.alias("tokens")).dropDuplicates(["key"]), f"{name}-tokens")
+    asked = F.transform("asked", lambda a: F.struct(a["key"].alias("key"), tokens_of(F.get(F.split("text", "\n"), a["pos"])).alias("tokens")))
+    found = keys.join(near, ["id", "crc"]).select(F.explode(asked).alias("w")).select("w.key", "w.tokens")
+    whole = work.save(found.dropDuplicates(["key"]), f"{name}-tokens")
     both = pairs.join(whole.select(F.col("key").alias("x"), F.col("tokens").alias("left")), "x").join(whole.select(F.col("key").alias("y"), F.col("tokens").alias("right")), "y")
     shared = F.size(F.array_intersect("left", "right"))
     return both.where((100 + percent) * shared >= percent * (F.size("left") + F.size("right"))).select("x").distinct()

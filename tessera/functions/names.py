@@ -170,21 +170,11 @@ def flags(raw: Column) -> Column:
 
 def key_column(c: Column) -> Column:
     """P48 over Arrow batches."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(comparison_key)
-
-    return run(c)
+    return F.pandas_udf(lambda s: s.map(comparison_key), "string", F.PandasUDFType.SCALAR)(c)
 
 
 def display_column(given: Column, surname: Column, raw: Column) -> Column:
     """P52 over Arrow batches."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(g: pd.Series, s: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([display_name(*x) for x in zip(g, s, r)], dtype=object)
-
-    return run(given, surname, raw)
+    return F.pandas_udf(lambda g, s, r: pd.Series([display_name(*x) for x in zip(g, s, r)], dtype=object), "string", F.PandasUDFType.SCALAR)(given, surname, raw)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def weighted_tags(c: Column) -> Column:
     """``A (60%); B`` to an array of (subject, weight); a tag without a weight has 100."""
-    items = F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
     pattern = r"^(.*?)\s*\((\d+(?:\.\d+)?)\s*%\)$"
 
     def one(x: Column) -> Column:
@@ -129,7 +129,7 @@ def split_roles(df: DataFrame, key: str, lists: dict[str, str], separator: str =
     """Delimited columns to rows ``key, item, role``; blanks dropped."""
     parts = []
     for column, role in lists.items():
-        items = F.filter(F.transform(F.split(F.col(column), separator), F.trim), lambda x: x != "")
+        items = F.filter(F.transform(F.split(F.col(column), separator), lambda x: F.trim(x)), lambda x: x != "")
         parts.append(df.select(key, F.explode(items).alias("item"), F.lit(role).alias("role")))
     out = parts[0]
     for p in parts[1:]:

@@ -163,19 +163,19 @@ def strip_accents(c: Column) -> Column:
 
 
 def _normal(form: str):
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        import unicodedata
+    import unicodedata
 
+    def one(text):
+        if text is None:
+            return None
         if form == "NFKC":
-            return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+            return unicodedata.normalize("NFKC", text)
+        loose = unicodedata.normalize("NFKD", text)
         if form == "ASCII":
-            return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
-        return s.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+            return loose.encode("ascii", "ignore").decode()
+        return "".join(x for x in loose if not unicodedata.combining(x))
 
-    return apply
+    return F.pandas_udf(lambda s: s.map(one), "string", F.PandasUDFType.SCALAR)
 
 
 def comparison_key(c: Column, kind: str, compatibility: bool = True) -> Column:
@@ -197,7 +197,7 @@ def comparison_key(c: Column, kind: str, compatibility: bool = True) -> Column:
         return F.trim(text)
     if kind == "organisation":
         text = F.regexp_replace(text, r"(?U)\s*\([^)]*\)", "")
-        names = F.transform(F.split(F.regexp_replace(text, r"(?U)\s+", " "), ";"), F.trim)
+        names = F.transform(F.split(F.regexp_replace(text, r"(?U)\s+", " "), ";"), lambda x: F.trim(x))
         return F.coalesce(F.array_sort(F.array_distinct(F.filter(names, lambda x: x != ""))), F.array().cast("array<string>"))
     return text
 

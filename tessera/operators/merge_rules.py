@@ -138,7 +138,7 @@ def fill_issn(issns: list[Column], eissns: list[Column]) -> Column:
 
     Values are "; " lists; disagreement means that two sources have ISSNs but none in common.
     """
-    as_set = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    as_set = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     everything = F.array_distinct(F.flatten(F.array(*[as_set(c) for c in [*issns, *eissns]])))
     issn, eissn = first_populated(*issns, blank_is_missing=True), first_populated(*eissns, blank_is_missing=True)
     left_for_issn = F.array_except(everything, as_set(eissn))

@@ -251,6 +251,17 @@ def window_starts(count: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return np.arange(total) + base
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives for many tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def binary_rows(arrays: list[np.ndarray], dtype) -> pa.Array:
     return pa.array([np.ascontiguousarray(a, dtype=dtype).tobytes() for a in arrays], pa.binary())
 

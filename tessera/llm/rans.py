@@ -276,20 +276,10 @@ class UnitEncoder:
         self._used += len(flat)
         at = np.searchsorted(self._known, h)
         if len(h) > 10_000:
-            _trim()
+            common.trim()
         self._known, self._from, self._size = np.insert(self._known, at, h), np.insert(self._from, at, begin), np.insert(self._size, at, size)
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
-    import ctypes
-
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 

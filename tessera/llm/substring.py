@@ -146,6 +146,7 @@ def _repeated_landmarks(key: tuple, t: pa.Table) -> pa.Table:
     mark, doc_id, crc = mark[order], doc_id[order], crc[order]
     first = _runs(mark)
     size = np.diff(np.append(first, len(mark)))
+    common.trim()
     many = np.repeat(size > 1, size)
     mark, doc_id, crc = mark[many], doc_id[many], crc[many]
     order = np.lexsort((mark, crc, doc_id))

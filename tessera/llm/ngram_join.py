@@ -42,7 +42,7 @@ CLASSES = 16
 #: A token is frequent if its slot of the corpus counts has so many occurrences and so many times the mean.
 FREQUENT, FREQUENT_TIMES = 256, 4
 SLOTS, SLICES = 1 << 20, 64
-#: Bits of the smallest sketch; sketches double until they have a bit for four tokens.
+#: Bits of the smallest sketch; see ``sketch_class``.
 SKETCH_BITS = 512
 #: Sets of one signature that are compared in one block.
 BLOCK_SETS = 512
@@ -87,10 +87,10 @@ class Sets:
             out[some] = np.add.reduceat(common.mix(self.token + U64(1)), self.first[some])
         return common.mix(out + self.n.astype(U64))
 
-    def sketches(self) -> list[bytes]:
+    def sketches(self, percent: int) -> list[bytes]:
         """Parity sketches: a token flips one bit, chosen by the low bits of a hash, so halves fold together."""
         h = common.mix(self.token ^ U64(0x5BD1E995))
-        kind = sketch_class(self.n)
+        kind = sketch_class(self.n, percent)
         out: list[bytes] = [b""] * len(self.n)
         for k in np.unique(kind).tolist():
             docs = np.flatnonzero(kind == k)
@@ -128,16 +128,21 @@ class Sets:
         return out
 
 
-def sketch_class(n: np.ndarray) -> np.ndarray:
-    """How often the smallest sketch doubles for sets of n tokens."""
-    return np.ceil(np.log2(np.maximum(1.0, n / (4 * SKETCH_BITS)))).astype(np.int64)
+def sketch_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """How often the smallest sketch doubles for sets of n tokens.
+
+    Sketches of unrelated sets differ in half of their bits; that half must exceed by a fifth or
+    more what sets that link may differ in, 2n(100 - percent) / (100 + percent).
+    """
+    most = n * (2.0 * (100 - percent) / (100 + percent))
+    return np.ceil(np.log2(np.maximum(1.0, 2.6 * most / SKETCH_BITS))).astype(np.int64)
 
 
 class _Sketches:
     """Sketches of rows at a common width: those of the next class are folded to it."""
 
-    def __init__(self, raw: list[bytes], n: np.ndarray):
-        self.kind = sketch_class(n)
+    def __init__(self, raw: list[bytes], n: np.ndarray, percent: int):
+        self.kind = sketch_class(n, percent)
         self._raw = raw
         self._at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -240,7 +245,7 @@ def _index(k: int, percent: int, frequent):
                     pa.array(s.n, pa.int64()),
                     pa.array(s.digests().view(np.int64), mask=s.n == 0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array(s.sketches(), pa.binary()),
+                    pa.array(s.sketches(percent), pa.binary()),
                 ],
                 names=["id", "crc", "n", "node", "sigs", "sketch"],
             )
@@ -272,7 +277,7 @@ def _compare(percent: int, first_round: bool):
 
 def _pairs(t: pa.Table, percent: int, first_round: bool) -> Iterator[pa.RecordBatch]:
     sig, i, j, node, n, block, comp = (np.asarray(t.column(c)) for c in ("sig", "i", "j", "node", "n", "block", "comp"))
-    sketch = _Sketches(t.column("sketch").to_pylist(), n)
+    sketch = _Sketches(t.column("sketch").to_pylist(), n, percent)
     start = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     size = np.diff(np.append(start, len(sig)))
     end = np.repeat(start + size, size)

@@ -98,12 +98,16 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     posted = sets.select("key", "first.id", "first.pos", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
     bucket = Window.partitionBy("token")
     posted = posted.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min(F.struct("id", "pos", "key", "n", "p", "sketch")).over(bucket)).where("size > 1")
-    posted = work.save(posted, "posted")
+    # kept in buckets of the word, so that the join of buckets with themselves moves nothing
+    name = f"tessera_{work.path.rpartition('-')[2]}"
+    posted.write.mode("overwrite").option("path", f"{work.path}/posted").option("compression", "zstd").format("parquet").bucketBy(common.shuffle_parts(spark), "token").saveAsTable(name)
+    posted = spark.table(name)
     release_shuffles(spark)
     c = F.col
     star = posted.where(c("key") != c("hub.key")).where(_may_link(c("n"), c("hub.n"), c("p"), c("hub.p"), c("sketch"), c("hub.sketch"), percent))
     settled = work.save(_similar(star.select(c("key").alias("x"), c("hub.key").alias("y")), sets, keys, lambda line: line_tokens(line, parsed), percent, work, "star"), "settled")
-    rest = posted.where("size > 2").join(settled.select(c("x").alias("key")), "key", "left_anti")
+    done = settled.select(c("x").alias("key"))
+    rest = posted.where("size > 2").join(F.broadcast(done) if done.count() <= BROADCAST_ROWS else done, "key", "left_anti")
     x, y = rest.alias("x"), posted.where("size > 2").alias("y")
     earlier = F.struct("y.id", "y.pos", "y.key") < F.struct("x.id", "x.pos", "x.key")
     meets = (c("x.token") == c("y.token")) & earlier & (c("y.key") != c("y.hub.key")) & _may_link(c("x.n"), c("y.n"), c("x.p"), c("y.p"), c("x.sketch"), c("y.sketch"), percent)
@@ -113,8 +117,9 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     first = sets.select("key", "first").join(late, "key", "left")
     places = lines.select("id", "crc", "pos", "key").join(first, "key").where(c("late") | (F.struct("id", "pos", "crc") != c("first")))
     gone = work.save(places.groupBy("id", "crc").agg(F.collect_set("pos").alias("gone")), "gone")
-    for name in ("lines", "sets", "posted", "settled"):
-        work.drop(name)
+    spark.sql(f"DROP TABLE {name}")
+    for part in ("lines", "sets", "posted", "settled"):
+        work.drop(part)
     release_shuffles(spark)
     return _without(docs, gone, id_col, text_col)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, common, fmindex, hilbert, lines, ngram_join, quality, rans, sharding, substring, trie_lm
 from .common import read
+from .oracle import ORACLE  # noqa: F401  registered beside QUERIES
 
 QUALITY_THRESHOLD = 0.3
 
@@ -70,6 +71,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_lm_scoring, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding)}
-
-#: DuckDB twins of queries that SQL can express.
-ORACLE: dict[str, str] = {}

@@ -23,6 +23,8 @@ BITS = 20
 TRAIN_ROWS = 12_000
 #: Learning rate and its offset, the two penalties, and the updates made in all (whole passes).
 ALPHA, BETA, L1, L2, UPDATES = 2.0, 1.0, 0.01, 0.05, 48_000
+#: Texts are worked on in groups of about so many bytes.
+BATCH_BYTES = 1 << 20
 #: Value of the features of a whole text and of the intercept.
 HABIT = 0.3
 
@@ -130,12 +132,13 @@ class FTRL:
 def train(examples: Iterable[tuple[Features, np.ndarray]], bits: int = BITS, updates: int = UPDATES) -> np.ndarray:
     """Weights; the last of 2**bits + 1 is the intercept."""
     model = FTRL((1 << bits) + 1)
-    data = [(f, y) for f, y in examples]
-    for p in range(max(1, -(-updates // max(1, sum(f.n for f, _ in data))))):
-        for f, y in data:
-            for i in np.random.default_rng(p).permutation(f.n):
-                part = slice(f.bound[i], f.bound[i + 1])
-                model.update(np.append(f.slot[part], 1 << bits), np.append(f.value[part], HABIT), float(y[i]))
+    data = [(f.slot.astype(np.int32), f.value.astype(np.float32), f.bound, y) for f, y in examples]
+    bias = np.array([1 << bits], np.int32), np.array([HABIT], np.float32)
+    for p in range(max(1, -(-updates // max(1, sum(len(y) for *_, y in data))))):
+        for slot, value, bound, y in data:
+            for i in np.random.default_rng(p).permutation(len(y)):
+                part = slice(bound[i], bound[i + 1])
+                model.update(np.append(slot[part], bias[0]), np.append(value[part], bias[1]), float(y[i]))
     return model.weights().astype(np.float32)
 
 
@@ -159,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = train((Features(b.column("text")), np.asarray(b.column("y"), np.float64)) for b in common.text_batches(batches, "text"))
+        w = train((Features(b.column("text")), np.asarray(b.column("y"), np.float64)) for b in common.text_batches(batches, "text", BATCH_BYTES))
+        common.trim()
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([w[at].astype("<f4").tobytes()], pa.binary())], names=["slot", "weight"])
 
@@ -181,7 +185,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         bias = float(w[-1])
-        for b in common.text_batches(batches, "text"):
+        for b in common.text_batches(batches, "text", BATCH_BYTES):
             f = Features(b.column("text"))
             z = f.dot(w) + bias * HABIT
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -200,7 +204,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, name: str = "score", text_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b in common.text_batches(batches, text_col):
+        for b in common.text_batches(batches, text_col, BATCH_BYTES):
             z = Features(b.column(text_col)).dot(w) + float(w[-1]) * HABIT
             scored = b.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield from scored.combine_chunks().to_batches()

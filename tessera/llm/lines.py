@@ -8,7 +8,8 @@ sketches rule out most pairs; the others are verified on the whole sets.
 
 Only whether an *earlier* line is similar matters. Equal sets are one line with its
 first place. In each bucket all lines first meet its earliest line; those that are
-found similar to it are settled, and only the others meet the whole bucket.
+found similar to it are settled, and only the others meet the whole bucket. How many
+prefix words two of those share bounds their similarity once more.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .substring import release_shuffles
 PERCENT = 80
 #: Slots in which words are counted.
 SLOTS = 1 << 18
+#: Lines of more words have the wider sketch.
+WIDE_FROM = 64
 BLANK = "[\\x20\\x09-\\x0D]+"
 #: Lists of documents that are broadcast have at most so many rows; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -54,12 +57,14 @@ def line_tokens(line: Column, classes: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _token(h, classes))))
 
 
-def _may_link(nx: Column, ny: Column, px: Column, py: Column, sx: Column, sy: Column, percent: int) -> Column:
+def _may_link(nx: Column, ny: Column, px: Column | None, py: Column | None, sx: Column, sy: Column, percent: int) -> Column:
     both = nx + ny
     length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    place = (100 + percent) * F.least(nx - px, ny - py) >= percent * both
+    place = (100 + percent) * F.least(nx - px, ny - py) >= percent * both if px is not None else F.lit(True)
     sketch = (100 + percent) * F.bit_count(sx.bitwiseXOR(sy)) <= (100 - percent) * both
-    return length & place & sketch
+    # different sets differ in one word at least, those of one size in two
+    some = (100 - percent) * both >= (100 + percent) * F.when((nx + ny) % 2 == 0, 2).otherwise(1)
+    return length & some & place & sketch
 
 
 def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,11 +91,16 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
         return rows.select("id", "crc", F.explode(F.filter(numbered, lambda x: F.size(x["tokens"]) > 0)).alias("l")).select("id", "crc", "l.pos", "l.tokens")
 
     sketch = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    # long lines say nothing in 64 bits; they have four times as many
+    lanes = ("a", "b", "c", "d")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    flip = lambda acc, t: F.struct(*[F.when(F.shiftright(t, 6).bitwiseAND(F.lit(3)) == i, acc[x].bitwiseXOR(bit(t))).otherwise(acc[x]).alias(x) for i, x in enumerate(lanes)])
+    wide = F.when(F.col("n") > WIDE_FROM, F.aggregate("tokens", F.struct(*[F.lit(0).cast("bigint").alias(x) for x in lanes]), flip))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     lines = cut(keys).withColumn("n", F.size("tokens"))
-    lines = lines.select("id", "crc", "pos", F.xxhash64("tokens", "n").alias("key"), "n", F.slice("tokens", 1, F.col("n") - need + 1).alias("prefix"), sketch.alias("sketch"))
+    lines = lines.select("id", "crc", "pos", F.xxhash64("tokens", "n").alias("key"), "n", F.slice("tokens", 1, F.col("n") - need + 1).alias("prefix"), sketch.alias("sketch"), wide.alias("wide"))
     lines = work.save(lines, "lines")
-    sets = lines.groupBy("key").agg(F.min(F.struct("id", "pos", "crc")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    sets = lines.groupBy("key").agg(F.min(F.struct("id", "pos", "crc")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     sets = work.save(sets, "sets")
     release_shuffles(spark)
 
@@ -107,11 +117,14 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     star = posted.where(c("key") != c("hub.key")).where(_may_link(c("n"), c("hub.n"), c("p"), c("hub.p"), c("sketch"), c("hub.sketch"), percent))
     settled = work.save(_similar(star.select(c("key").alias("x"), c("hub.key").alias("y")), sets, keys, lambda line: line_tokens(line, parsed), percent, work, "star"), "settled")
     done = settled.select(c("x").alias("key"))
-    rest = posted.where("size > 2").join(F.broadcast(done) if done.count() <= BROADCAST_ROWS else done, "key", "left_anti")
-    x, y = rest.alias("x"), posted.where("size > 2").alias("y")
+    rest = posted.join(F.broadcast(done) if done.count() <= BROADCAST_ROWS else done, "key", "left_anti")
+    x, y = rest.alias("x"), posted.alias("y")
     earlier = F.struct("y.id", "y.pos", "y.key") < F.struct("x.id", "x.pos", "x.key")
-    meets = (c("x.token") == c("y.token")) & earlier & (c("y.key") != c("y.hub.key")) & _may_link(c("x.n"), c("y.n"), c("x.p"), c("y.p"), c("x.sketch"), c("y.sketch"), percent)
-    pairs = x.join(y, meets).select(c("x.key").alias("x"), c("y.key").alias("y"))
+    meets = (c("x.token") == c("y.token")) & earlier & _may_link(c("x.n"), c("y.n"), None, None, c("x.sketch"), c("y.sketch"), percent)
+    met = x.join(y, meets).groupBy(c("x.key").alias("x"), c("y.key").alias("y"), c("x.n").alias("nx"), c("y.n").alias("ny")).agg(F.count(F.lit(1)).alias("met"))
+    # words up to the end of the prefix that ends first are all counted in met; behind it lie so many at most
+    behind = lambda n: F.ceil(n * percent / 100) - 1
+    pairs = met.where((100 + percent) * (c("met") + F.greatest(behind(c("nx")), behind(c("ny")))) >= percent * (c("nx") + c("ny"))).select("x", "y")
     late = settled.unionByName(_similar(pairs, sets, keys, lambda line: line_tokens(line, parsed), percent, work, "rest")).select(c("x").alias("key"), F.lit(True).alias("late")).distinct()
 
     first = sets.select("key", "first").join(late, "key", "left")
@@ -126,7 +139,11 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 def _similar(pairs: DataFrame, sets: DataFrame, keys: DataFrame, tokens_of, percent: int, work: common.Workspace, name: str) -> DataFrame:
     """The ``x`` of pairs that reach the threshold on whole sets; words are read again from the documents that hold them."""
-    pairs = work.save(pairs.distinct(), f"{name}-pairs")
+    side = lambda k: sets.where("wide is not null").select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+    gap = sum((F.bit_count(F.col(f"wx.{lane}").bitwiseXOR(F.col(f"wy.{lane}"))) for lane in "abcd"), F.lit(0))
+    differ = (100 + percent) * gap > (100 - percent) * (F.col("nx") + F.col("ny"))
+    pairs = pairs.distinct().join(side("x"), "x", "left").join(side("y"), "y", "left").where(~F.coalesce(differ, F.lit(False)))
+    pairs = work.save(pairs.select("x", "y"), f"{name}-pairs")
     wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
     places = work.save(sets.join(wanted, "key", "left_semi").select("key", "first.id", "first.crc", "first.pos"), f"{name}-places")
     holders = places.groupBy("id", "crc").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))

@@ -7,7 +7,7 @@ from glob import glob
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

@@ -107,6 +107,8 @@ def text_batches(
             size += run
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    trim()
 
 
 def _cuts(lengths: np.ndarray, target: int, held: int) -> list[int]:

@@ -102,12 +102,19 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     lines = work.save(lines, "lines")
     sets = lines.groupBy("key").agg(F.min(F.struct("id", "pos", "crc")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     sets = work.save(sets, "sets")
+    places = work.save(lines.select("id", "crc", "pos", "key"), "places")
+    work.drop("lines")
+    del lines
     release_shuffles(spark)
 
-    # buckets of prefix words with two lines or more, each row beside the bucket's earliest line
+    # buckets of prefix words, each row beside the bucket's earliest line
     posted = sets.select("key", "first.id", "first.pos", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
-    bucket = Window.partitionBy("token")
-    posted = posted.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min(F.struct("id", "pos", "key", "n", "p", "sketch")).over(bucket)).where("size > 1")
+    # a line can link with another of its bucket only if the next shorter or the next longer one is near enough in length
+    by_length = Window.partitionBy("token").orderBy("n")
+    everything = by_length.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    close = (F.coalesce(F.lag("n").over(by_length), F.lit(0)) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_length) * percent)
+    hub = F.min(F.struct("id", "pos", "key", "n", "p", "sketch")).over(everything)
+    posted = posted.withColumns({"close": F.coalesce(close, F.lit(False)), "hub": hub}).where("close").drop("close")
     # kept in buckets of the word, so that the join of buckets with themselves moves nothing
     name = f"tessera_{work.path.rpartition('-')[2]}"
     posted.write.mode("overwrite").option("path", f"{work.path}/posted").option("compression", "zstd").format("parquet").bucketBy(common.shuffle_parts(spark), "token").saveAsTable(name)
@@ -128,10 +135,10 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     late = settled.unionByName(_similar(pairs, sets, keys, lambda line: line_tokens(line, parsed), percent, work, "rest")).select(c("x").alias("key"), F.lit(True).alias("late")).distinct()
 
     first = sets.select("key", "first").join(late, "key", "left")
-    places = lines.select("id", "crc", "pos", "key").join(first, "key").where(c("late") | (F.struct("id", "pos", "crc") != c("first")))
-    gone = work.save(places.groupBy("id", "crc").agg(F.collect_set("pos").alias("gone")), "gone")
+    gone = places.join(first, "key").where(c("late") | (F.struct("id", "pos", "crc") != c("first")))
+    gone = work.save(gone.groupBy("id", "crc").agg(F.collect_set("pos").alias("gone")), "gone")
     spark.sql(f"DROP TABLE {name}")
-    for part in ("lines", "sets", "posted", "settled"):
+    for part in ("places", "sets", "posted", "settled"):
         work.drop(part)
     release_shuffles(spark)
     return _without(docs, gone, id_col, text_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, nested, text
-from tessera.operators import audit, evaluate, learn, match, merge_rules, quality, registry, rollup, sampling
+from tessera.operators import audit, evaluate, learn, match, merge_rules, quality, registry, rollup, sampling, tables
 from tessera.plans.catalog import PAIRS, four_sources, pairs, query, t
 from tessera.sources import io
 
@@ -274,3 +274,39 @@ def a15_consolidate(spark, sf_dir):
 def a23_combinations(spark, sf_dir):
     df = four_sources(spark, sf_dir)
     return df.groupBy(F.concat_ws("; ", F.when(c("gtr_v").isNotNull(), "gtr"), F.when(c("scopus_v").isNotNull(), "scopus")).alias("sources")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u01_u05_sets", "SELECT doc_id, 'documents' AS origin, quality FROM (SELECT doc_id, NULL::INTEGER AS quality FROM documents) UNION ALL SELECT doc_id, 'labels', quality FROM labels")
+def u01_u05_sets(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.lit("documents").alias("origin"))
+    return tables.union_all(d, t(spark, sf_dir, "labels").select("doc_id", F.lit("labels").alias("origin"), "quality"))
+
+
+@query("u05_common_keys", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def u05_common_keys(spark, sf_dir):
+    return tables.common_keys(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("w09_top_report", "SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 12")
+def w09_top_report(spark, sf_dir):
+    """A report of twelve rows."""
+    return tables.top(t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), 12, "-n", "l_suppkey")
+
+
+@query("f07_a04_filters", "SELECT lang, COUNT(DISTINCT source) AS n FROM documents WHERE length(trim(text || ' ' || lang)) > 400 GROUP BY 1")
+def f07_a04_filters(spark, sf_dir):
+    return tables.distinct_per_group(tables.long_enough(t(spark, sf_dir, "documents"), "text", "lang", more_than=400), "lang", "source")
+
+
+@query("j07_lookups", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def j07_lookups(spark, sf_dir):
+    df = t(spark, sf_dir, "customer").select("c_custkey", c("c_nationkey").alias("n_nationkey"))
+    named = tables.lookup(df, t(spark, sf_dir, "nation"), "n_nationkey", ["n_name", "n_regionkey"]).withColumnRenamed("n_regionkey", "r_regionkey")
+    return tables.lookup(named, t(spark, sf_dir, "region"), "r_regionkey", ["r_name"]).select("c_custkey", "n_name", "r_name")
+
+
+@query("m18_crosswalk", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'few' WHEN p_type = 'SMALL' THEN 'small' END AS field FROM part")
+def m18_crosswalk(spark, sf_dir):
+    mapping = io.crosswalk(spark, [("Brand#1", "few", None), ("Brand#2", "few", None), ("SMALL", "small", None), ("ECONOMY", "EXCLUDED", None)])
+    df = t(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(" (80%); "), "p_type", F.lit(" (20%)")).alias("tags"))
+    return tables.apply_crosswalk(df, "p_partkey", "tags", mapping)[0].select("p_partkey", "field")

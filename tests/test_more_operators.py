@@ -58,3 +58,48 @@ def test_incremental(spark, tmp_path):
     incremental.append_new(spark, src, schema, f"{tmp_path}/all", f"{tmp_path}/cp2", lambda df: df.withColumn("t", F.upper("t")))
     incremental.append_new(spark, src, schema, f"{tmp_path}/all", f"{tmp_path}/cp2")
     assert spark.read.parquet(f"{tmp_path}/all").count() == 5
+
+
+def test_tables(spark):
+    import pytest
+
+    from tessera.operators import tables
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(2, 5), (1, 6)], "k int, w int")
+    assert rows(tables.align(a, b, "k"), "k", "v", "w") == [(1, "x", 6), (2, None, 5)]
+    with pytest.raises(ValueError):
+        tables.align(a, b.limit(1), "k")
+    assert rows(tables.union_all(a, b), "k", "v", "w") == sorted([(1, "x", None), (2, None, None), (2, None, 5), (1, None, 6)], key=repr)
+    assert [r["k"] for r in tables.top(b, 1, "-w").collect()] == [1]
+    same = spark.createDataFrame([(None, "b"), ("a", "c")], "t0 string, t1 string")
+    assert [r["t"] for r in tables.first_of_same_name(same, ["t0", "t1"], "t").collect()] == ["b", "a"]
+    mapping = spark.createDataFrame([("A", "f"), ("B", None)], "subject string, field string")
+    done, unknown = tables.apply_crosswalk(spark.createDataFrame([(1, "A; Z"), (2, "B"), (3, None)], "k int, tags string"), "k", "tags", mapping)
+    assert rows(done, "k", "field") == [(1, "f"), (2, None), (3, None)] and rows(unknown, "subject") == [("Z",)]
+    assert rows(tables.merged_after(a, "v", {"x": "y"}), "v") == [("y",), (None,)] or rows(tables.merged_after(a, "v", {"x": "y"}), "v") == [(None,), ("y",)]
+
+
+def test_paged_collection(spark):
+    import pytest
+
+    from tessera.sources import rest
+
+    waits, calls = [], []
+
+    def flaky(query, page):
+        calls.append(page)
+        return (200, None, ["r"]) if len(calls) > 2 else (503, 7.0 if len(calls) == 1 else None, [])
+
+    assert rest.with_retries(flaky, "q", 0, base=2.0, sleep=waits.append) == ["r"] and waits == [7.0, 4.0]
+    with pytest.raises(RuntimeError):
+        rest.with_retries(lambda q, p: (404, None, []), "q", 0)
+
+    def pages(query, page):
+        return 200, None, [f"{query}{page}{i}" for i in range(2 if page < 2 else 1)]
+
+    queries = spark.createDataFrame([("a",), ("b",), (None,)], "query string")
+    got = rest.collect_pages(queries, pages, page_size=2)
+    assert got.count() == 10 and got.where("query = 'a' and page = 2").first()["record"] == "a20"
+    assert rest.missing_queries(queries.where("query is not null"), got.where("query = 'a'")).first()["query"] == "b"
+    ids = spark.createDataFrame([(f"i{n:02d}",) for n in range(7)], "k string")
+    assert rows(rest.id_batches(ids, "k", 3), "query") == [("i00|i01|i02",), ("i03|i04|i05",), ("i06",)]

@@ -13,13 +13,19 @@ Z95 = 1.96
 def accuracy_reject_curve(df: DataFrame, confidence: str, correct: str) -> DataFrame:
     """``threshold, n_retained, n_correct, coverage, accuracy`` for each distinct confidence.
 
-    Rows are summed by confidence before the running sums, so the ordered window has a row for each distinct value.
+    Rows are summed by confidence first. Running sums are made within range partitions and shifted by the sums of
+    the partitions before, so no task sees all thresholds.
     """
     each = df.groupBy(F.col(confidence).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("bigint")).alias("c"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = each.select("threshold", F.sum("n").over(down).alias("n_retained"), F.sum("c").over(down).alias("n_correct"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return run.join(F.broadcast(total)).select("threshold", "n_retained", "n_correct", (F.col("n_retained") / F.col("total")).alias("coverage"), (F.col("n_correct") / F.col("n_retained")).alias("accuracy"))
+    parted = each.repartitionByRange(F.desc("threshold")).withColumn("part", F.spark_partition_id()).persist()
+    sums = parted.groupBy("part").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    shift = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
+    down = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = parted.select("part", "threshold", F.sum("n").over(down).alias("n"), F.sum("c").over(down).alias("c")).join(F.broadcast(shift), "part")
+    total = sums.agg(F.sum("n").alias("total"))
+    kept = run.select("threshold", (F.col("n") + F.col("n0")).alias("n_retained"), (F.col("c") + F.col("c0")).alias("n_correct"))
+    return kept.join(F.broadcast(total)).select("threshold", "n_retained", "n_correct", (F.col("n_retained") / F.col("total")).alias("coverage"), (F.col("n_correct") / F.col("n_retained")).alias("accuracy"))
 
 
 def pick_threshold(curve: DataFrame, target: float, min_coverage: float) -> DataFrame:

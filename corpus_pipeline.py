@@ -80,7 +80,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release_all()
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, pattern), ranks, pattern)
+    coded = bpe.bpe_encode(docs, ranks, pattern, decode=True)
     return coded.select("doc_id", "n_tokens", "ids", F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("decoded", 256).alias("text_sha256"))
 
 

@@ -21,7 +21,7 @@ from . import common
 
 WINDOW_WORDS = 13
 #: Bytes of text in a shard.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 #: Every so-manyth text position has its place in the suffix array kept.
 SAMPLE = 8
 #: Words of test items that are searched for in one pass over the corpus.

@@ -54,7 +54,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.bpe_decode(bpe.bpe_encode(read(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    coded = bpe.bpe_encode(read(spark, sf_dir, "documents"), ranks, pattern, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -12,7 +12,7 @@ def blank_to_null(c: Column) -> Column:
 
 def extract_doi(c: Column) -> Column:
     """``10.nnnn/...``, null if there is none."""
-    found = F.regexp_extract(c, r"(10\.\d{4,9}/[^\s\"<>]+)", 1)
+    found = F.regexp_extract(c, r"(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1)
     return F.when(found != "", found)
 
 

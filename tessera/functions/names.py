@@ -143,29 +143,26 @@ def display_name(given: str | None, surname: str | None, raw: str | None) -> str
 
 
 def completeness(display: Column) -> Column:
-    """Unparsed, surname_only, initials_only or full_forename."""
-    given = F.trim(F.substring_index(display, ",", -1))
+    """Unparsed, surname_only, initials_only, or full_forename where a given name has over two letters."""
+    given = F.when(display.contains(","), F.substring_index(display, ",", -1)).otherwise("")
+    tokens = F.filter(F.split(F.trim(given), r"\s+"), lambda t: t != "")
     return (
-        F.when(display.isNull() | (F.trim(display) == ""), "unparsed")
-        .when(~display.contains(","), "surname_only")
-        .when(F.forall(F.split(given, r"\s+"), lambda t: t.rlike(r"^(\p{L}\.)+$")), "initials_only")
-        .otherwise("full_forename")
+        F.when(F.coalesce(F.trim(display), F.lit("")) == "", "unparsed")
+        .when(F.size(tokens) == 0, "surname_only")
+        .when(F.exists(tokens, lambda t: F.length(F.replace(t, F.lit("."), F.lit(""))) > 2), "full_forename")
+        .otherwise("initials_only")
     )
 
 
-def flags(raw: Column) -> Column:
-    """Reasons to look at a name again, joined by "; "."""
-    return F.array_join(
-        F.array_compact(
-            F.array(
-                F.when(raw.rlike(r"\d{4}-\d{4}-\d{4}-\d{3}[\dXx]"), F.lit("embedded_identifier")),
-                F.when(raw.rlike(r"[^\p{IsLatin}\p{P}\p{S}\p{N}\p{M}\s]"), F.lit("non_latin")),
-                F.when(raw.rlike(r"\d"), F.lit("digits")),
-                F.when(F.length(raw) > 60, F.lit("long")),
-            )
-        ),
-        "; ",
-    )
+def flags(raw: Column, display: Column) -> Column:
+    """Reasons to look at a name again, joined by "; "; empty if there are none."""
+    reasons = {
+        "identifier_in_name": raw.rlike(r"(?i)\d{4}-\d{4}-\d{4}-\d{3}[\dx]|id_orcid"),
+        "non_latin_script": raw.rlike(r"[^\p{IsLatin}\p{P}\p{S}\p{N}\p{M}\s]"),
+        "digits_remain": display.rlike(r"\d"),
+        "unusually_long": F.length(display) > 60,
+    }
+    return F.array_join(F.array_compact(F.array(*[F.when(found, F.lit(reason)) for reason, found in reasons.items()])), "; ")
 
 
 def key_column(c: Column) -> Column:

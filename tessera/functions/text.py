@@ -238,7 +238,7 @@ def slug(c: Column, length: int = 60, empty: str = "unnamed") -> Column:
 # ------------------------------------------------------------------ organisations
 # Words that two names of one organisation may differ in.
 STOP_WORDS = r"\b(the|of|and)\b"
-COMPANY_SUFFIXES = r"\b(ltd|limited|plc|llp|inc|incorporated|corp|corporation|gmbh|co|company|holdings|uk)\b"
+COMPANY_SUFFIXES = r"\b(ltd|limited|plc|llp|lp|inc|incorporated|gmbh|bv|cic|uk)\b"
 
 # Types of organisations in order of precedence, with the words that show them.
 ORGANISATION_TYPES = (
@@ -292,16 +292,16 @@ def needs_lookup(kind: Column, name: Column) -> Column:
 
 
 def name_shape(c: Column) -> Column:
-    """How a personal name is written."""
-    parts = F.split(F.trim(c), r"\s+")
-    initials = F.forall(F.slice(parts, 2, 1000), lambda p: F.length(F.regexp_replace(p, r"[.\-]", "")) <= 2)
+    """How a personal name is written; stops don't count. Null for null."""
+    words = F.filter(F.split(F.regexp_replace(c, r"[,.]", ""), r"(?U)\s+"), lambda w: w != "")
+    initials = F.forall(F.slice(words, 2, 1000), lambda w: F.length(w) <= 2)
     return (
-        F.when(c.isNull() | (F.trim(c) == ""), "empty")
-        .when(c.contains(","), "comma")
-        .when(F.size(parts) == 1, "single")
-        .when(initials, "surname_initials")
-        .when(F.size(parts) == 2, "two_words")
-        .otherwise("three_or_more")
+        F.when(c.isNull(), None)
+        .when(c.contains(","), "comma form")
+        .when(F.size(words) < 2, "single token")
+        .when(initials, "surname + initials")
+        .when(F.size(words) == 2, "two parts")
+        .otherwise("three or more parts")
     )
 
 

@@ -94,7 +94,7 @@ def p60_p61_tiers(spark, sf_dir):
     return df.select("doc_id", learn.tiers(c("quality").isNotNull(), c("n_chars"), 2000).alias("tier"), best.alias("best"), source.alias("best_source"))
 
 
-@query("p62_name_shapes", "SELECT CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN 'comma' WHEN 1 THEN 'surname_initials' WHEN 2 THEN 'two_words' WHEN 3 THEN 'three_or_more' ELSE 'empty' END AS shape, COUNT(*) AS n FROM part GROUP BY 1")
+@query("p62_name_shapes", "SELECT CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN 'comma form' WHEN 1 THEN 'surname + initials' WHEN 2 THEN 'two parts' WHEN 3 THEN 'three or more parts' END AS shape, COUNT(*) AS n FROM part GROUP BY 1")
 def p62_name_shapes(spark, sf_dir):
     k = c("p_partkey") % 5
     name = F.when(k == 0, "Smith, J").when(k == 1, "Smith J.A.").when(k == 2, "Jane Smith").when(k == 3, "Ana Maria Lopez")

@@ -110,3 +110,6 @@ def test_names(spark):
     assert (got["name"], got["orcid"]) == ("Jane Smith", "0000-0001-2345-678X")
     assert one(spark, names.completeness(c), t="Smith, J. A.") == "initials_only"
     assert one(spark, names.completeness(c), t="Smith, Jane") == "full_forename"
+    assert one(spark, names.completeness(c), t="Smith") == "surname_only"
+    assert one(spark, names.flags(c, c), t="Smith 2, 真") == "non_latin_script; digits_remain"
+    assert one(spark, text.name_shape(c), t="Smith J.A.") == "surname + initials"

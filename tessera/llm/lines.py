@@ -22,7 +22,7 @@ from .substring import release_shuffles
 
 PERCENT = 80
 #: Slots in which words are counted.
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 #: Lines of more words have the wider sketch.
 WIDE_FROM = 64
 BLANK = "[\\x20\\x09-\\x0D]+"

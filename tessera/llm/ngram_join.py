@@ -371,7 +371,8 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     frequent = spark.sparkContext.broadcast(bits)
     indexed = work.save(rows.mapInArrow(_index(shingle_words, percent, frequent), _INDEXED), "indexed")
     first = indexed.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "crc")).alias("rep"))
-    reps = indexed.where("node is not null").join(first.select("node", F.col("rep.id").alias("id"), F.col("rep.crc").alias("crc")), ["node", "id", "crc"])
+    # one row for each node: repeated rows would cancel in the XOR below
+    reps = indexed.where("node is not null").dropDuplicates(["node", "id", "crc"]).join(first.select("node", F.col("rep.id").alias("id"), F.col("rep.crc").alias("crc")), ["node", "id", "crc"])
     reps = work.save(reps.select("node", "id", "crc", "n", "sigs", "sketch"), "reps")
     release_shuffles(spark)
 

@@ -152,6 +152,20 @@ def test_components_odd_tables(spark):
     assert got == [(5, 2, None), (5, 2, None), (6, 0, 6), (7, 0, 7), (8, 0, 8)]
 
 
+def test_components_every_row_twice(spark):
+    """Groups of a signature in which each node came twice are still told apart."""
+    rng = random.Random(11)
+    docs = {}
+    for i in range(0, 60, 2):
+        docs[i] = " ".join(f"v{rng.randrange(5000)}" for _ in range(50))
+        docs[i + 1] = docs[i] + " tail"
+    rows = [(i, t) for i, t in docs.items()] * 2 + [(None, "p q r s"), (None, "p q r s")]
+    found = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found}
+    assert len(found) == len(rows) and got.pop(None) == (2, None)
+    assert got == brute.jaccard_components(docs) and all(c == i - i % 2 for i, (_, c) in got.items())
+
+
 # ------------------------------------------------------------------ nearest neighbours
 def test_hilbert_curve_is_a_path():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])

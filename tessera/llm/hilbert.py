@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Vectors are lifted so that the largest inner product becomes the smallest distance
-(one more coordinate fills every vector up to the largest norm), rotated at random,
-and put in order along a Hilbert curve thscore_in_block their leading coordinates, several
-times with different rotations and shifts. All orders form one sequence of keys,
-range-partitioned by Spark and cut into blocks of ``window`` vectors. A query is
-placed in each order by its own key; the vectors of its block and of the blocks
-before and after it are its candidates. The best few of each block merge and are
-ranked by the true inner product.
+Vectors are dealt into bands of like norms, for within a band the largest inner
+product is nearly the smallest angle. The directions of each band are rotated at
+random and put in order along a Hilbert curve through their leading coordinates,
+several times with different rotations and shifts. All orders form one sequence of
+keys, range-partitioned by Spark and cut into blocks of ``window`` vectors. A query
+is placed in each order of each band by its own direction; the vectors of its block
+and of the blocks before and after it are its candidates. The best few of each block
+merge and are ranked by the true inner product.
+
+Bands follow the norms' quantiles, so a few long vectors don't change how the others
+are ordered. Vectors of one norm are one band.
 
 Equal vectors are one point with its smallest ids, so copies can't crowd a window.
 """
@@ -25,11 +28,13 @@ from . import common
 
 NEIGHBOURS = 20
 CURVES = 32
-#: Vectors in a block: a hundredth of all, and so many at least. A query sees three blocks in each order.
+#: Vectors in a block: a hundredth of their band, and so many at least. A query sees three blocks in each order.
 WINDOW, SHARE = 256, 100
 #: Coordinates of a curve and bits of each.
 AXES, BITS = 12, 5
 SEED = 20240229
+#: Bands of norms are so many at most, but for that of the longest hundredth, and their norms differ by such a factor at least.
+BANDS, BAND_RATIO = 16, 1.15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,27 +67,23 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Keys of points on all curves."""
+    """Keys of directions on all curves."""
 
-    def __init__(self, dim: int, norm: float, curves: int = CURVES, axes: int = AXES, bits: int = BITS, seed: int = SEED):
+    def __init__(self, dim: int, curves: int = CURVES, axes: int = AXES, bits: int = BITS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.norm, self.bits = norm, bits
+        self.bits = bits
         self.turns, self.shifts = [], []
         for _ in range(curves):
             self.turns.append(np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0][:, : min(axes, dim + 1)])
             self.shifts.append(rng.uniform(-0.5, 0.5, self.turns[-1].shape[1]))
         self.scale = 2.0 / np.sqrt(dim + 1)  # a coordinate's spread, twice
 
-    def keys(self, v: np.ndarray, query: bool) -> list[np.ndarray]:
-        v = v / self.norm
-        size = np.einsum("ij,ij->i", v, v)
-        if query:
-            lifted = np.column_stack((v / np.sqrt(size)[:, None], np.zeros(len(v))))
-        else:
-            lifted = np.column_stack((v, np.sqrt(np.maximum(0.0, 1.0 - size))))
+    def keys(self, v: np.ndarray) -> list[np.ndarray]:
+        v = v / np.abs(v).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+        v = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
         out = []
         for turn, shift in zip(self.turns, self.shifts):
-            p = lifted @ turn / self.scale
+            p = v @ turn[:-1] / self.scale
             cells = np.floor((p + shift * 0.5 + 1.25) / 2.5 * (1 << self.bits))
             out.append(hilbert_keys(np.clip(cells, 0, (1 << self.bits) - 1), self.bits))
         return out
@@ -103,34 +104,53 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _keyed(norm: float, dim: int, curves: int):
-    """A row for each point and curve, and one more for each query point: its key in order."""
+def band_cuts(top: float, low: float) -> list[float]:
+    """Descending norms between bands, from those that a hundredth (top) and nine tenths (low) of all vectors exceed."""
+    ratio = max(BAND_RATIO, (top / low) ** (1 / (BANDS - 1)))
+    cuts = [1.01 * top]
+    while cuts[-1] / ratio > low and len(cuts) < BANDS:
+        cuts.append(cuts[-1] / ratio)
+    return cuts
+
+
+def _keyed(bands: list[int], dim: int, curves: int):
+    """A row for each point and curve, and one more in each band for each query point: its key in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Curves(dim, norm, curves)
+        c = Curves(dim, curves)
         for b in batches:
             v = _matrix(b.column(1))
-            point = np.asarray(b.column(0))
+            point, own = np.asarray(b.column(0)), np.asarray(b.column(3), np.int32)
             asks = np.flatnonzero(np.asarray(b.column(2)))
-            for query, rows in ((False, np.arange(len(v))), (True, asks)):
-                for curve, key in enumerate(c.keys(v[rows], query) if len(rows) else ()):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), curve, np.int32)), pa.array(key), pa.array(point[rows]), pa.array(np.full(len(rows), query))], names=["curve", "key", "point", "query"])
+            for curve, key in enumerate(c.keys(v) if len(v) else ()):
+                for query, rows, band in ((False, np.arange(len(v)), own), *((True, asks, np.full(len(asks), x, np.int32)) for x in bands)):
+                    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.full(len(rows), curve, np.int32)), pa.array(key[rows]), pa.array(point[rows]), pa.array(np.full(len(rows), query))], names=["band", "curve", "key", "point", "query"])
 
     return run
 
 
-def _numbered(window: int):
-    """Adds the partition and a number of the block within it; rows come in order."""
+def _numbered(windows: dict[int, int]):
+    """Adds the partition and a number of the block within it; rows come in order. A block has one band and curve, so no point twice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), 0
+        part, held, seen, base, top = TaskContext.get().partitionId(), None, 0, 0, -1
         for b in batches:
+            if not b.num_rows:
+                continue
             data = ~np.asarray(b.column(b.schema.get_field_index("query")))
-            rank = seen + np.cumsum(data) - data
-            seen += int(data.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int64)), pa.array((rank // window).astype(np.int64)), *[b.column(b.schema.get_field_index(c)) for c in ("point", "query")]], names=["part", "local", "point", "query"])
+            band, curve = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("band", "curve"))
+            local = np.zeros(b.num_rows, np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (curve[1:] != curve[:-1])))).tolist()
+            for a, z in zip(starts, [*starts[1:], b.num_rows]):
+                if (band[a], curve[a]) != held:
+                    held, seen, base = (int(band[a]), int(curve[a])), 0, top + 1
+                mine = data[a:z]
+                local[a:z] = base + (seen + np.cumsum(mine) - mine) // windows[held[0]]
+                seen += int(mine.sum())
+                top = max(top, int(local[z - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int64)), pa.array(local), *[b.column(b.schema.get_field_index(c)) for c in ("point", "query")]], names=["part", "local", "point", "query"])
 
     return run
 
@@ -193,14 +213,20 @@ def nearest(vectors: DataFrame, asks, k: int = NEIGHBOURS, curves: int = CURVES,
     # equal vectors are one point; of its ids the k + 1 smallest can be asked for
     rows = work.save(rows.withColumn("same", F.xxhash64("v")), "rows")
     points = rows.groupBy("same").agg(F.min("vec_id").alias("point"), F.first("v").alias("v"), F.max(asks(F.col("vec_id"))).alias("asked"))
-    points = work.save(points.select("point", "v", "asked", "same"), "points")
-    facts = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).first()
-    window = window or max(WINDOW, -(-facts["n"] // SHARE))
+    longest = F.array_max(F.transform("v", F.abs))  # squares neither overflow nor vanish
+    points = points.withColumn("norm", longest * F.sqrt(F.aggregate(F.transform("v", lambda x: x / longest), F.lit(0.0), lambda s, x: s + x * x)))
+    points = work.save(points.select("point", "v", "asked", "same", "norm"), "points")
+    top, low = points.agg(F.percentile_approx("norm", [0.99, 0.1]).alias("norms")).first()["norms"]
+    band = F.lit(0)
+    for cut in band_cuts(top, low):
+        band = band + (F.col("norm") <= cut).cast("int")
+    banded = points.withColumn("band", band)
+    windows = {r["band"]: window or max(WINDOW, -(-r["n"] // SHARE)) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each band
     parts = common.shuffle_parts(spark)
-    keyed = points.select("point", "v", "asked").mapInArrow(_keyed(facts["norm"], dim, curves), "curve int, key long, point long, query boolean")
+    keyed = banded.select("point", "v", "asked", "band").mapInArrow(_keyed(sorted(windows), dim, curves), "band int, curve int, key long, point long, query boolean")
     keyed = work.save(keyed, "keyed")
-    ordered = keyed.repartitionByRange(parts, "curve", "key", "point").sortWithinPartitions("curve", "key", "point", "query")
-    placed = work.save(ordered.mapInArrow(_numbered(window), "part long, local long, point long, query boolean"), "placed")
+    ordered = keyed.repartitionByRange(parts, "band", "curve", "key", "point").sortWithinPartitions("band", "curve", "key", "point", "query")
+    placed = work.save(ordered.mapInArrow(_numbered(windows), "part long, local long, point long, query boolean"), "placed")
     last = placed.groupBy("part").agg((F.max("local") + 1).alias("n")).orderBy("part").collect()  # a row for each partition
     base, offsets = 0, []
     for r in last:

@@ -207,6 +207,22 @@ def test_nearest_recall(spark):
     assert hits / (30 * 20) >= 0.9
 
 
+def test_nearest_recall_unequal_norms(spark):
+    """One very long vector leaves the order of the others as it is; norms with a long tail lose nothing."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((16_000, 64))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    for norms in (np.where(np.arange(len(v)) == 7, 100.0, 1.0), np.exp(rng.standard_normal(len(v)))):
+        long = v * norms[:, None]
+        df = spark.createDataFrame([(i, r) for i, r in enumerate(long.tolist())], "vec_id long, embedding array<double>")
+        hits = 0
+        for r in hilbert.nearest(df, lambda i: i % 400 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+            s = long @ long[r["query_id"]]
+            s[r["query_id"]] = -np.inf
+            hits += len(set(np.argsort(-s)[:20]) & set(r["ids"]))
+        assert hits / (40 * 20) >= 0.9
+
+
 # ------------------------------------------------------------------ language model
 def test_elias_fano():
     rng = np.random.default_rng(0)

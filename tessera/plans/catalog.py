@@ -147,10 +147,10 @@ UNION ALL SELECT p_partkey, substr(s, 1, 4) || '-' || substr(s, 5) , NULL FROM (
 """,
 )
 def p11_p12_issn(spark, sf_dir):
-    """Single and listed ISSNs, made of part keys of up to four digits."""
-    raw = F.concat(F.lpad(c("p_partkey").cast("string"), 4, "0"), F.lpad(c("p_size").cast("string"), 3, "0"), F.lit("x"))
+    """Single and listed ISSNs, made of the last four digits of part keys. The twin has keys below 10,000 only."""
+    raw = F.concat(F.lpad((c("p_partkey") % 10000).cast("string"), 4, "0"), F.lpad(c("p_size").cast("string"), 3, "0"), F.lit("x"))
     listed = F.concat_ws(" and ", raw, F.concat(F.substring(raw, 1, 4), F.lit("-"), F.substring(raw, 5, 4)), F.lit("123456789"))
-    return t(spark, sf_dir, "part").where("p_partkey < 10000").select("p_partkey", ids.issn(raw).alias("issn"), ids.issn_list(listed).alias("issns"))
+    return t(spark, sf_dir, "part").select("p_partkey", ids.issn(raw).alias("issn"), ids.issn_list(listed).alias("issns"))
 
 
 @query(

@@ -43,3 +43,10 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_issn_of_all_parts(spark, tmp_path):
+    keys = [1, 200, 9_999, 10_000, 20_003, 1_234_567]
+    spark.createDataFrame([(k, 7) for k in keys], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: (r["issn"], r["issns"]) for r in catalog.QUERIES["p11_p12_issn"](spark, str(tmp_path)).collect()}
+    assert got == {k: (f"{k % 10_000:04}-007x", f"{k % 10_000:04}-007X") for k in keys}

@@ -203,9 +203,8 @@ SELECT doc_id, t1 AS n1, t2 AS n2, t3 AS n3, CASE WHEN t1 >= 1 OR t2 >= 2 OR (t2
 """,
 )
 def p32_screening(spark, sf_dir):
-    """P32 F01 on ASCII texts, where both engines agree on word boundaries."""
-    docs = t(spark, sf_dir, "documents").where(c("text").rlike(r"\A[\x00-\x7F]*\z"))
-    out = text.screen(docs, "text", tiers=TIERS)
+    """P32 F01 on all texts, by Unicode word boundaries. The twin has ASCII texts only, where both engines agree on these."""
+    out = text.screen(t(spark, sf_dir, "documents"), "text", tiers=TIERS)
     return out.select("doc_id", *[F.size(f"tier{i}").alias(f"n{i}") for i in (1, 2, 3)], "decision")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from glob import glob
 
 import duckdb
@@ -50,3 +51,14 @@ def test_issn_of_all_parts(spark, tmp_path):
     spark.createDataFrame([(k, 7) for k in keys], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {r["p_partkey"]: (r["issn"], r["issns"]) for r in catalog.QUERIES["p11_p12_issn"](spark, str(tmp_path)).collect()}
     assert got == {k: (f"{k % 10_000:04}-007x", f"{k % 10_000:04}-007X") for k in keys}
+
+
+def test_screening_of_all_documents(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(not x.isascii() for x in docs.values())
+    got = {r["doc_id"]: (r["n1"], r["n2"], r["n3"], r["decision"]) for r in catalog.QUERIES["p32_screening"](spark, SF).collect()}
+    want = {}
+    for i, x in docs.items():
+        n = [sum(re.search(rf"(?i)\b{p}", x) is not None for p in tier) for tier in catalog.TIERS]
+        want[i] = (*n, "keep" if n[0] or n[1] >= 2 or n[1] and n[2] else "drop")
+    assert got == want

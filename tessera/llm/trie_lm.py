@@ -8,9 +8,10 @@ the other tokens in proportion to the lower order, renormalised for each context
 The trie has two levels. The first holds the contexts (all training words) as a
 monotone sequence, with counts, quantised back-off weights and pointers to the
 second, which holds the successors of each context, made monotone by adding the
-context's place times the range of word ids; both sequences and the pointers are
-Elias-Fano coded. A lookup finds a context, then searches its successors for the
-word. Log ratios of pair and lower-order probability are quantised to 256 values.
+context's place times the number of words; both sequences and the pointers are
+Elias-Fano coded. Words are 64-bit hashes, also wherever they are counted; within a
+trie the successors are ranks in its own list of them. A lookup finds a context,
+then searches its successors for the word. Log ratios of pair and lower-order probability are quantised to 256 values.
 
 A corpus needs many tries: contexts are dealt to shards by hash. All that a token
 adds to a text's score depends on its context's shard alone,
@@ -38,7 +39,7 @@ from . import common
 from .substring import release_shuffles
 
 U64 = np.uint64
-ID_BITS = 40
+ID_BITS = 64
 #: Ids of the begin and the end of a text; words have hashes.
 BEGIN, END = 0, 1
 #: Pairs that are kept occur so often at least.
@@ -133,14 +134,16 @@ class Trie:
     def build(context: np.ndarray, count: np.ndarray, backoff: np.ndarray, first: np.ndarray, successor: np.ndarray, gain: np.ndarray) -> bytes:
         """Contexts ascending; ``first`` has where each one's successors (ascending within it) begin, and the end."""
         owner = np.repeat(np.arange(len(context)), np.diff(first))
+        words, rank = np.unique(successor, return_inverse=True)
         levels = [
             EliasFano.encode(context, 1 << ID_BITS),
             EliasFano.encode(first, int(first[-1]) + 1),
-            EliasFano.encode((owner.astype(U64) << U64(ID_BITS)) | successor, max(1, len(context)) << ID_BITS),
+            EliasFano.encode(words, 1 << ID_BITS),
+            EliasFano.encode(owner * len(words) + rank, max(1, len(context) * len(words))),
         ]
         codes = [quantise(np.log10(backoff)), quantise(gain)]
         parts: list[np.ndarray] = []
-        head = [len(context), len(successor)]
+        head = [len(context), len(words), len(successor)]
         for low_bits, low, high in levels:
             head += [low_bits, len(low), len(high)]
             parts += [low, high]
@@ -155,23 +158,23 @@ class Trie:
             f.write(raw)
             f.flush()
             data = np.memmap(f, np.uint8, "r")
-        head = np.frombuffer(data[: 8 * 15].tobytes(), "<i8").tolist()
-        at = 8 * 15
+        head = np.frombuffer(data[: 8 * 19].tobytes(), "<i8").tolist()
+        at = 8 * 19
 
         def take(n: int) -> np.ndarray:
             nonlocal at
             at += n
             return data[at - n : at]
 
-        n_context, n_successor = head[:2]
+        n_context, n_words, n_successor = head[:3]
         sequences = []
-        for i, n in enumerate((n_context, n_context + 1, n_successor)):
-            low_bits, n_low, n_high = head[2 + 3 * i : 5 + 3 * i]
+        for i, n in enumerate((n_context, n_context + 1, n_words, n_successor)):
+            low_bits, n_low, n_high = head[3 + 3 * i : 6 + 3 * i]
             sequences.append(EliasFano(n, low_bits, take(n_low), take(n_high)))
-        self.contexts, self.pointers, self.successors = sequences
+        self.contexts, self.pointers, self.words, self.successors = sequences
         tables = []
         for i in range(2):
-            n_code, n_centre = head[11 + 2 * i : 13 + 2 * i]
+            n_code, n_centre = head[15 + 2 * i : 17 + 2 * i]
             tables.append((take(n_code), np.frombuffer(take(4 * n_centre).tobytes(), "<f4").astype(np.float64)))
         (self.backoff_code, self.backoffs), (self.gain_code, self.gains) = tables
         self.count = np.frombuffer(take(8 * n_context).tobytes(), "<u8")
@@ -186,7 +189,9 @@ class Trie:
         if self.successors.n:
             bounds = self.pointers.get(node[known]), self.pointers.get(node[known] + 1)
             some = known[bounds[0] < bounds[1]]
-            pair = self.successors.find((node[some].astype(U64) << U64(ID_BITS)) | w[some])
+            rank = self.words.find(w[some])
+            some, rank = some[rank >= 0], rank[rank >= 0]
+            pair = self.successors.find((node[some] * self.words.n + rank).astype(U64))
             hit = pair >= 0
             value[some[hit]] = self.gains[self.gain_code[pair[hit]]]
         return count, value
@@ -197,7 +202,7 @@ def _tokens(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, word, text) of every token: a text's words and its end."""
     buf, starts, _ = common.text_bytes(batch.column("text"))
     words = common.Words(common.lower_ascii(buf), starts, common.BLANK_SEPARATED)
-    h = words.hashes() >> U64(64 - ID_BITS)
+    h = words.hashes()
     h = np.where(h <= END, h + U64(2), h)
     n = words.count + 1
     ends = np.cumsum(n)
@@ -209,12 +214,23 @@ def _tokens(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, np.repeat(np.arange(len(starts)), n)
 
 
-def _five(x: np.ndarray) -> bytes:
-    return (x & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> U64(32)).astype("u1").tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Words as places in a list of the different ones."""
+    used, local = np.unique(x, return_inverse=True)
+    return np.array([len(used)], "<i8").tobytes() + used.astype("<u8").tobytes() + local.astype(_place_type(len(used))).tobytes()
 
 
-def _from_five(raw: bytes, at: int, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u4", n, at).astype(U64) | (np.frombuffer(raw, "u1", n, at + 4 * n).astype(U64) << U64(32))
+def _unpack(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n words, and where they end."""
+    n_used = int(np.frombuffer(raw, "<i8", 1, at)[0])
+    used = np.frombuffer(raw, "<u8", n_used, at + 8)
+    kind = np.dtype(_place_type(n_used))
+    at += 8 + 8 * n_used
+    return used[np.frombuffer(raw, kind, n, at)], at + n * kind.itemsize
+
+
+def _place_type(n: int) -> str:
+    return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
 
 
 def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
@@ -249,7 +265,8 @@ def _count(groups: int):
 
 
 def _pack_counts(v: np.ndarray, n: np.ndarray, w: np.ndarray | None = None) -> bytes:
-    return b"".join([np.array([len(v)], "<i8").tobytes(), _five(v), _five(w) if w is not None else b"", n.astype("<u4").tobytes()])
+    ids = v.astype("<u8").tobytes() if w is None else _pack(np.concatenate((v, w)))
+    return b"".join([np.array([len(v)], "<i8").tobytes(), ids, n.astype("<u4").tobytes()])
 
 
 def _total(key: tuple, t: pa.Table) -> pa.Table:
@@ -258,10 +275,11 @@ def _total(key: tuple, t: pa.Table) -> pa.Table:
     vs, ws, ns = [], [], []
     for raw in t.column("entries").to_pylist():
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        vs.append(_from_five(raw, 8, n))
+        ids, at = _unpack(raw, 8, 2 * n) if pairs else (np.frombuffer(raw, "<u8", n, 8), 8 + 8 * n)
+        vs.append(ids[:n])
         if pairs:
-            ws.append(_from_five(raw, 8 + 5 * n, n))
-        ns.append(np.frombuffer(raw, "<u4", n, 8 + (10 if pairs else 5) * n))
+            ws.append(ids[n:])
+        ns.append(np.frombuffer(raw, "<u4", n, at))
     v, n = np.concatenate(vs), np.concatenate(ns).astype(np.int64)
     w = np.concatenate(ws) if pairs else np.zeros(len(v), U64)
     key = common.mix(common.mix(v + U64(7)) + w) if pairs else v
@@ -330,7 +348,7 @@ def _ask(shards: int, spread):
                 used, local = np.unique(doc[take], return_inverse=True)
                 head = np.array([len(part), len(take), len(used)], "<i8").tobytes()
                 small = "<u2" if len(used) <= 1 << 16 else "<u4"
-                raw = b"".join([head, _five(v[lead[part]]), size.astype("<u4").tobytes(), _five(w[take]), ids[used].astype("<i8").tobytes(), crc[used].astype("<u4").tobytes(), local.astype(small).tobytes()])
+                raw = b"".join([head, v[lead[part]].astype("<u8").tobytes(), size.astype("<u4").tobytes(), _pack(w[take]), ids[used].astype("<i8").tobytes(), crc[used].astype("<u4").tobytes(), local.astype(small).tobytes()])
                 rows.append((s, int((turn + s) % copies[s]), raw))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names=["shard", "copy", "asked", "trie"])
 
@@ -346,11 +364,9 @@ def _answer(key: tuple, t: pa.Table) -> pa.Table:
         raw = raw.as_buffer()
         n_v, n, n_docs = np.frombuffer(raw, "<i8", 3).tolist()
         at = 24
-        v = _from_five(raw, at, n_v)
-        size = np.frombuffer(raw, "<u4", n_v, at + 5 * n_v)
-        at += 9 * n_v
-        w = _from_five(raw, at, n)
-        at += 5 * n
+        v = np.frombuffer(raw, "<u8", n_v, at)
+        size = np.frombuffer(raw, "<u4", n_v, at + 8 * n_v)
+        w, at = _unpack(raw, at + 12 * n_v, n)
         ids = np.frombuffer(raw, "<i8", n_docs, at)
         crc = np.frombuffer(raw, "<u4", n_docs, at + 8 * n_docs)
         doc = np.frombuffer(raw, "<u2" if n_docs <= 1 << 16 else "<u4", n, at + 12 * n_docs).astype(np.int64)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
+from math import log10
 
 import brute
 import numpy as np
@@ -251,6 +253,19 @@ def test_lm(spark, docs):
     assert [(r["n_tokens"], r["n_known"]) for r in none] == [(3, 0), (1, 0)]
 
 
+def test_lm_words_with_like_hashes(spark):
+    """The hashes of c3744552 and c2007633 share their first 40 bits, as those of c3462356 and c901651."""
+    texts = {2: "c3744552 c3462356 c901651 c901651", 4: "x c3462356", 1: "c2007633 c3744552 c901651", 3: "y x c901651 c2007633"}
+    held = lambda i: i % 2 == 0
+    got = {r["doc_id"]: r for r in trie_lm.score_texts(frame(spark, texts), held).collect()}
+    c = Counter(w for i in (2, 4) for w in [*texts[i].split(), None])
+    n, v = sum(c.values()), len(c)
+    for i, t in texts.items():
+        ws = [*t.split(), None]
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ws), sum(w in c for w in ws), n)
+        assert abs(got[i]["base_score"] - sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6
+
+
 # ------------------------------------------------------------------ substring dedup
 @pytest.mark.parametrize("seed", [0, 1])
 def test_repeats(spark, seed):

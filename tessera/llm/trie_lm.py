@@ -1,9 +1,10 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 The model is a bigram model with back-off. Its lower order is the add-a-half
-distribution over single tokens; a pair seen twice or more has its discounted
-relative frequency, and the mass that discounts and single sightings leave goes to
-the other tokens in proportion to the lower order, renormalised for each context.
+distribution over single tokens; a pair that was seen has its relative frequency,
+discounted by how often it was seen (once, twice or more), and the mass that
+discounts leave goes to the other tokens in proportion to the lower order,
+renormalised for each context.
 
 The trie has two levels. The first holds the contexts (all training words) as a
 monotone sequence, with counts, quantised back-off weights and pointers to the
@@ -42,8 +43,6 @@ U64 = np.uint64
 ID_BITS = 64
 #: Ids of the begin and the end of a text; words have hashes.
 BEGIN, END = 0, 1
-#: Pairs that are kept occur so often at least.
-LEAST_PAIR = 2
 BATCH_BYTES = 3 << 20
 #: Tokens that one task scores.
 SHARD_TOKENS = 2_000_000
@@ -270,7 +269,7 @@ def _pack_counts(v: np.ndarray, n: np.ndarray, w: np.ndarray | None = None) -> b
 
 
 def _total(key: tuple, t: pa.Table) -> pa.Table:
-    """Pairs that are kept (group >= 0), or all contexts, with their counts."""
+    """All pairs (group >= 0), or all contexts, with their counts."""
     pairs = t.column("grp")[0].as_py() >= 0
     vs, ws, ns = [], [], []
     for raw in t.column("entries").to_pylist():
@@ -287,15 +286,12 @@ def _total(key: tuple, t: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
     total = np.add.reduceat(n[order], first)
     v, w = v[order][first], w[order][first]
-    if pairs:
-        keep = total >= LEAST_PAIR
-        v, w, total = v[keep], w[keep], total[keep]
     common.trim()
     return pa.table({"v": pa.array(v.astype(np.int64)), "w": pa.array(w.astype(np.int64), mask=np.full(len(w), not pairs)), "n": pa.array(total)})
 
 
-def _build(n_tokens: int, n_types: int, discounts: tuple[float, float], shards: int):
-    """One shard's trie from its contexts (w null) and kept pairs with the counts of their words."""
+def _build(n_tokens: int, n_types: int, discounts: tuple[float, float, float], shards: int):
+    """One shard's trie from its contexts (w null) and pairs with the counts of their words."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         v, n = np.asarray(t.column("v")).astype(U64), np.asarray(t.column("n"))
@@ -310,7 +306,7 @@ def _build(n_tokens: int, n_types: int, discounts: tuple[float, float], shards:
         pv, pw, pn, wn = pv[order], pw[order], pn[order], wn[order]
         owner = np.searchsorted(context, pv)
         lower = (wn + 0.5) / (n_tokens + 0.5 * (n_types + 1))
-        higher = (pn - np.where(pn == 2, discounts[0], discounts[1])) / count[owner]
+        higher = (pn - np.array(discounts)[np.minimum(pn, 3) - 1]) / count[owner]
         used = np.bincount(owner, weights=higher, minlength=len(context))
         covered = np.bincount(owner, weights=lower, minlength=len(context))
         backoff = np.maximum(1e-6, (1 - used) / np.maximum(1e-9, 1 - covered))
@@ -416,8 +412,9 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     sums = words.where(F.col("v") != BEGIN).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
     n_tokens, n_types = sums["n"] + n_ends, sums["types"] + (n_ends > 0)
     pairs = totals.where(F.col("w").isNotNull())
-    of = {r["n"]: r["c"] for r in pairs.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # three rows
-    discounts = tuple(float(np.clip(k - (k + 1) * of.get(k + 1, 0) / max(1, of.get(k, 0)), 0.1, k - 0.5)) for k in (2, 3))
+    of = {r["n"]: r["c"] for r in pairs.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # four rows
+    most = {1: 0.8, 2: 1.5, 3: 2.5}
+    discounts = tuple(float(np.clip(k - (k + 1) * of.get(k + 1, 0) / max(1, of.get(k, 0)), 0.1, most[k])) for k in most)
     ends = spark.createDataFrame([(END, n_ends)], "w long, wn long")
     with_word = pairs.join(words.where(F.col("v") != BEGIN).select(F.col("v").alias("w"), F.col("n").alias("wn")).unionByName(ends), "w", "left")
     parts = with_word.select("v", "w", "n", "wn").unionByName(words.select("v", F.lit(None).cast("long").alias("w"), "n", F.lit(None).cast("long").alias("wn")))

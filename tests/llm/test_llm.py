@@ -253,6 +253,15 @@ def test_lm(spark, docs):
     assert [(r["n_tokens"], r["n_known"]) for r in none] == [(3, 0), (1, 0)]
 
 
+def test_lm_pairs_seen_once(spark):
+    """Of texts of the same words the one whose pairs were seen once scores higher."""
+    words = [f"k{i}" for i in range(12)]
+    texts = {2: " ".join(words), 4: " ".join(words[::-1] + ["z"]), 1: "k0 k1 k2 k3", 3: "k0 k2 k3 k1"}
+    got = {r["doc_id"]: r for r in trie_lm.score_texts(frame(spark, texts), lambda i: i % 2 == 0).collect()}
+    assert got[1]["base_score"] == pytest.approx(got[3]["base_score"])
+    assert got[1]["score"] > got[3]["score"] + 0.1
+
+
 def test_lm_words_with_like_hashes(spark):
     """The hashes of c3744552 and c2007633 share their first 40 bits, as those of c3462356 and c901651."""
     texts = {2: "c3744552 c3462356 c901651 c901651", 4: "x c3462356", 1: "c2007633 c3744552 c901651", 3: "y x c901651 c2007633"}

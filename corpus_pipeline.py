@@ -10,8 +10,9 @@ stages left in the shared folder.
 
 * quality: documents that score under 0.3 go; the model learns from labelled rows outside the held-out fifth
 * line dedup: lines with an earlier line of a word-set Jaccard of 0.8 or more go; a document stays even if empty
-* near duplicates: of each group linked by a Jaccard of 0.8 on five-word shingles the smallest id stays;
-  rows without an id, or without words, all stay, but for exact repeats of a row
+* near duplicates: of each group linked by a Jaccard of 0.8 on five-word shingles one row stays, that of
+  the smallest id, where no id comes first; rows are told apart by id and text; rows without words all stay,
+  but for exact repeats of a row
 * decontamination: documents go of whose words a twentieth or more lie in test passages
 * tokens: byte-level BPE ids of each document, decoded again as a check
 """
@@ -59,12 +60,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release_all()
     work = common.Workspace(spark, "groups")
-    found = work.save(ngram_join.similarity_components(docs, SHINGLE_WORDS, PERCENT), "found")
-    gone = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = _anti(docs, gone, "doc_id")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated ids: one of equal rows stays
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return _columns(kept)
+    least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    keyed = docs.withColumn("__key", F.xxhash64(least_id, "text"))
+    found = work.save(ngram_join.similarity_components(keyed, SHINGLE_WORDS, PERCENT, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id"), "found")
+    ids = keyed.select("__key", least_id.alias("id")).distinct()
+    first = found.distinct().join(ids, "__key").groupBy("component_id").agg(F.min(F.struct("id", "__key"))["__key"].alias("__key"))
+    gone = work.save(found.select("__key").distinct().join(first, "__key", "left_anti"), "gone")
+    kept = _anti(keyed, gone, "__key")
+    if not found.groupBy("__key").count().where("count > 1").isEmpty():  # repeated rows: one of equal rows stays
+        kept = kept.dropDuplicates(["__key"])
+    return _columns(kept.drop("__key"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,3 +407,17 @@ def test_pipeline(spark, tmp_path):
     assert set(range(60)) <= set(kept) and not set(range(60, 90)) & set(kept) and 91 not in kept
     assert kept[5]["text_sha256"] == hashlib.sha256(docs[5].encode()).hexdigest()
     assert 90 not in kept or kept[90]["n_tokens"] == 0
+
+
+def test_pipeline_near_duplicates_under_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    base = [" ".join(f"n{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    rows = [(0, base[0]), (1, base[0] + " copy"), (1, base[1]), (7, base[2]), (7, base[2] + " copy"), (8, base[3]), (8, base[4]), (9, base[4] + " copy"), (10, base[5]), (10, base[5]), (11, ""), (12, ""), (13, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns and len(kept) == len(set(kept)) == 9
+    assert sum(i == 7 for i, _ in kept) == 1
+    assert {x for x in kept if x[0] != 7} == {(0, base[0]), (1, base[1]), (8, base[3]), (8, base[4]), (10, base[5]), (11, ""), (12, ""), (13, None)}

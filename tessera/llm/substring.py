@@ -1,18 +1,19 @@
-"""Substring dedup: repeated runs of words, found in prefix-partitioned suffix trees.
+"""Substring dedup: repeated runs of words, found in prefix-partitioned groups of windows.
 
 Every run of ``window`` words is the beginning of a suffix. Suffixes are split into
 groups by a prefix of variable length: the first two words, four where too many
 suffixes share those, and the whole run where even that is too many, by counts over
-the whole corpus. A group fits in memory; sorted, its suffixes form the leaves of a
-subtree, and an inner node at a depth of ``window`` words or more joins two leaves
-exactly when a run repeats. The first leaf of such a node, in the order of
-documents and positions, stays; the others are marked, and marked runs that overlap
-merge into maximal spans.
+the whole corpus. A group fits in memory. No suffix tree is built: the window is
+fixed, so what would be the leaves under an inner node at its depth are the suffixes
+whose first ``window`` words are equal, and these are grouped by hash; words beyond
+the window aren't compared. The first of equal runs, in the order of documents and
+positions, stays; the others are marked, and marked runs that overlap merge into
+maximal spans.
 
 Suffixes that can't repeat are left out first. A run has a landmark, the smallest
 hash among its six-word pieces; equal runs have equal landmarks. Landmarks (an
 eighth of all positions) are counted over the corpus, and only runs whose landmark
-occurs twice or more become leaves. Nodes are told apart by 96 bits of hashes.
+occurs twice or more are grouped. Runs are told apart by 96 bits of hashes.
 """
 
 from __future__ import annotations

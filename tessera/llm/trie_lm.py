@@ -2,9 +2,8 @@
 
 The model is a bigram model with back-off. Its lower order is the add-a-half
 distribution over single tokens; a pair that was seen has its relative frequency,
-discounted by how often it was seen (once, twice or more), and the mass that
-discounts leave goes to the other tokens in proportion to the lower order,
-renormalised for each context.
+less an absolute discount, and the mass that discounts leave goes to the other tokens
+in proportion to the lower order, renormalised for each context.
 
 The trie has two levels. The first holds the contexts (all training words) as a
 monotone sequence, with counts, quantised back-off weights and pointers to the
@@ -12,7 +11,8 @@ second, which holds the successors of each context, made monotone by adding the
 context's place times the number of words; both sequences and the pointers are
 Elias-Fano coded. Words are 64-bit hashes, also wherever they are counted; within a
 trie the successors are ranks in its own list of them. A lookup finds a context,
-then searches its successors for the word. Log ratios of pair and lower-order probability are quantised to 256 values.
+then searches its successors for the word. Log ratios of pair and lower-order
+probability are quantised to 256 values.
 
 A corpus needs many tries: contexts are dealt to shards by hash. All that a token
 adds to a text's score depends on its context's shard alone,
@@ -21,8 +21,18 @@ adds to a text's score depends on its context's shard alone,
                                 + sum over other pairs of log backoff(v),
 
 and since each word is the context of what follows it, the first sum gathers there
-too. Tokens travel to their shards in packed blocks; a shard that gets too many is
-read by several tasks, each with its own copy of the (compact) trie.
+too.
+
+Counting takes two passes. The first counts single words and lists the few that are
+so frequent that they need care. The second counts pairs where their second word is
+counted, so that each pair meets its word's count without a join; pairs with a
+frequent second word are dealt by both words and take its count from the list. They
+then move, each once, to their context's shard. All pairs are kept.
+
+For scoring, tokens travel to their shards in packed blocks, under the number of the
+batch of texts they come from; each shard answers with sums for the texts of a batch,
+and these meet the batch's ids again. A shard that gets too many tokens is read by
+several tasks, each with its own copy of the (compact) trie.
 """
 
 from __future__ import annotations
@@ -43,21 +53,29 @@ U64 = np.uint64
 ID_BITS = 64
 #: Ids of the begin and the end of a text; words have hashes.
 BEGIN, END = 0, 1
+#: What a pair's count is lowered by.
+DISCOUNT = 0.75
 BATCH_BYTES = 3 << 20
-#: Tokens that one task scores.
-SHARD_TOKENS = 2_000_000
+#: Bytes of text for each shard, and tokens that one task scores.
+SHARD_BYTES, SHARD_TOKENS = 12_000_000, 2_000_000
 LEAST_SHARDS = 64
-_NO_ID = -(1 << 63)
+#: A word is frequent if it occurs so often for each byte of all texts. As a token and its separator
+#: have two bytes or more, no corpus has more than half as many frequent words as this.
+FREQUENT_SHARE = 1 << 15
+FREQUENT_LEAST = 64
 
 
 # ------------------------------------------------------------------ Elias-Fano
 class EliasFano:
-    """A monotone sequence of integers: low bits packed, high bits in unary."""
+    """A monotone sequence of integers: low bits packed, high bits in unary.
+
+    Both stay mapped; in memory there are the places of the unary code's zeros, four bytes for each
+    bucket of high bits, and of its ones where values are read by place.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        self._zeros = np.flatnonzero(bits == 0)
+        self._zeros = _places(np.unpackbits(high, bitorder="little") == 0)
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -88,11 +106,11 @@ class EliasFano:
     def get(self, at: np.ndarray) -> np.ndarray:
         """Values at places."""
         ones = self._ones()
-        return ((ones[at] - at).astype(U64) << U64(self.low_bits)) | self.lows(at)
+        return ((ones[at].astype(np.int64) - at).astype(U64) << U64(self.low_bits)) | self.lows(at)
 
     def _ones(self) -> np.ndarray:
         if not hasattr(self, "_one"):
-            self._one = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
+            self._one = _places(np.unpackbits(self.high, bitorder="little"))
         return self._one
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -101,8 +119,8 @@ class EliasFano:
         want = keys & U64((1 << self.low_bits) - 1)
         inside = high < len(self._zeros)
         high = np.where(inside, high, 0)
-        lo = np.where(high > 0, self._zeros[np.maximum(high - 1, 0)] - (high - 1), 0)
-        end = self._zeros[high] - high
+        lo = np.where(high > 0, self._zeros[np.maximum(high - 1, 0)].astype(np.int64) - (high - 1), 0)
+        end = self._zeros[high].astype(np.int64) - high
         hi = end.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
@@ -115,10 +133,18 @@ class EliasFano:
         return np.where(found, lo, -1)
 
 
+def _places(bits: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(bits)
+    return at.astype(np.uint32) if len(bits) < 1 << 32 else at
+
+
 def quantise(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, centres): equally filled bins, each with its mean."""
+    """(codes, centres): the values themselves if they are few, else equally filled bins, each with its mean."""
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1, np.float32)
+    if len(values) <= levels:
+        some, code = np.unique(values, return_inverse=True)
+        return code.astype(np.uint8), some.astype(np.float32)
     edges = np.unique(np.quantile(values, np.linspace(0, 1, levels + 1)[1:-1]))
     code = np.searchsorted(edges, values, "right")
     n = np.bincount(code, minlength=len(edges) + 1)
@@ -178,19 +204,21 @@ class Trie:
         (self.backoff_code, self.backoffs), (self.gain_code, self.gains) = tables
         self.count = np.frombuffer(take(8 * n_context).tobytes(), "<u8")
 
-    def lookup(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each context, log10 p(w|v) - log10 p1(w))."""
+    def lookup(self, v: np.ndarray, size: np.ndarray, words: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each context, log10 p(w|v) - log10 p1(w)) of tokens in runs: ``size`` of them follow each v, each w a place in words."""
         node = self.contexts.find(v)
         known = np.flatnonzero(node >= 0)
+        at = node[known]
         count, value = np.zeros(len(v)), np.zeros(len(v))
-        count[known] = self.count[node[known]]
-        value[known] = self.backoffs[self.backoff_code[node[known]]]
+        count[known] = self.count[at]
+        value[known] = self.backoffs[self.backoff_code[at]]
+        count, value = np.repeat(count, size), np.repeat(value, size)
         if self.successors.n:
-            bounds = self.pointers.get(node[known]), self.pointers.get(node[known] + 1)
-            some = known[bounds[0] < bounds[1]]
-            rank = self.words.find(w[some])
-            some, rank = some[rank >= 0], rank[rank >= 0]
-            pair = self.successors.find((node[some] * self.words.n + rank).astype(U64))
+            has = np.zeros(len(v), bool)
+            has[known] = self.pointers.get(at) < self.pointers.get(at + 1)
+            rank = self.words.find(words)[w]
+            some = np.flatnonzero(np.repeat(has, size) & (rank >= 0))
+            pair = self.successors.find((np.repeat(node, size)[some] * self.words.n + rank[some]).astype(U64))
             hit = pair >= 0
             value[some[hit]] = self.gains[self.gain_code[pair[hit]]]
         return count, value
@@ -214,171 +242,279 @@ def _tokens(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Words as places in a list of the different ones."""
+    """Numbers as places in a list of the different ones."""
     used, local = np.unique(x, return_inverse=True)
     return np.array([len(used)], "<i8").tobytes() + used.astype("<u8").tobytes() + local.astype(_place_type(len(used))).tobytes()
 
 
-def _unpack(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    """n words, and where they end."""
+def _unpack(raw: bytes, at: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The different numbers, n places in them, and where they end."""
     n_used = int(np.frombuffer(raw, "<i8", 1, at)[0])
     used = np.frombuffer(raw, "<u8", n_used, at + 8)
     kind = np.dtype(_place_type(n_used))
     at += 8 + 8 * n_used
-    return used[np.frombuffer(raw, kind, n, at)], at + n * kind.itemsize
+    return used, np.frombuffer(raw, kind, n, at), at + n * kind.itemsize
 
 
 def _place_type(n: int) -> str:
     return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
 
 
+def _pack_small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs."""
+    kind = _place_type(int(x.max(initial=0)) + 1) if x.max(initial=0) < 1 << 32 else "<u8"
+    return np.array([np.dtype(kind).itemsize], "<u1").tobytes() + x.astype(kind).tobytes()
+
+
+def _unpack_small(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = int(np.frombuffer(raw, "<u1", 1, at)[0])
+    return np.frombuffer(raw, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + n * width
+
+
 def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
     return (common.mix(v + U64(0x632BE59B)) % U64(shards)).astype(np.int64)
 
 
-def _count(groups: int):
-    """Counts of pairs and of contexts, summed within batches, by group."""
+def _parts(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that occurs, and the places of its members."""
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(bounds)).tolist():
+        yield g, order[bounds[g] : bounds[g + 1]]
+
+
+def _rows(names: list[str], rows: list[tuple], binary: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if n == binary else pa.int64()) for i, n in enumerate(names)], names=names)
+
+
+# ------------------------------------------------------------------ pass 1: single words
+def _count_words(groups: int):
+    """How often each word occurs in a batch, and in its training texts; by the word's shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.text_batches(batches, "text", BATCH_BYTES):
-            v, w, _ = _tokens(b)
-            pair = common.mix(common.mix(v + U64(7)) + w)
-            _, lead, n = np.unique(pair, return_index=True, return_counts=True)
-            rows = []
-            group = (pair[lead] % U64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            bounds = np.searchsorted(group[order], np.arange(groups + 1))
-            for g in np.flatnonzero(np.diff(bounds)).tolist():
-                part = lead[order[bounds[g] : bounds[g + 1]]]
-                rows.append((g, _pack_counts(v[part], n[order[bounds[g] : bounds[g + 1]]], w[part])))
-            word, n = np.unique(v, return_counts=True)
-            group = shard_of(word, groups)
-            order = np.argsort(group, kind="stable")
-            bounds = np.searchsorted(group[order], np.arange(groups + 1))
-            for g in np.flatnonzero(np.diff(bounds)).tolist():
-                part = order[bounds[g] : bounds[g + 1]]
-                rows.append((-1 - g, _pack_counts(word[part], n[part])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], names=["grp", "entries"])
+            _, w, doc = _tokens(b)
+            learn = np.asarray(b.column("training"))[doc]
+            word, at, n = np.unique(w, return_inverse=True, return_counts=True)
+            seen = np.bincount(at, weights=learn, minlength=len(word)).astype(np.int64)
+            some = word != END  # as many as texts
+            word, n, seen = word[some], n[some], seen[some]
+            rows = [(g, np.array([len(p)], "<i8").tobytes() + word[p].astype("<u8").tobytes() + _pack_small(n[p]) + _pack_small(seen[p])) for g, p in _parts(shard_of(word, groups), groups)]
+            yield _rows(["grp", "entries"], rows, "entries")
 
     return run
 
 
-def _pack_counts(v: np.ndarray, n: np.ndarray, w: np.ndarray | None = None) -> bytes:
-    ids = v.astype("<u8").tobytes() if w is None else _pack(np.concatenate((v, w)))
-    return b"".join([np.array([len(v)], "<i8").tobytes(), ids, n.astype("<u4").tobytes()])
+def _sum_words(frequent_from: int):
+    """A group's load (all tokens), its training tokens and types, and its frequent words with their training counts."""
 
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ws, ns, seens = [], [], []
+        for raw in t.column("entries").to_pylist():
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            ws.append(np.frombuffer(raw, "<u8", n, 8))
+            count, at = _unpack_small(raw, 8 + 8 * n, n)
+            ns.append(count)
+            seens.append(_unpack_small(raw, at, n)[0])
+        word, at = np.unique(np.concatenate(ws), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(ns)).astype(np.int64)
+        seen = np.bincount(at, weights=np.concatenate(seens)).astype(np.int64)
+        often = n >= frequent_from
+        common.trim()
+        cols = [[t.column("grp")[0].as_py()], [int(n.sum())], [int(seen.sum())], [int((seen > 0).sum())], [word[often].view(np.int64).tolist()], [seen[often].tolist()]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SUMS)], schema=_SUMS)
+
+    return run
+
+
+_SUMS = pa.schema([("shard", pa.int64()), ("load", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+
+# ------------------------------------------------------------------ pass 2: pairs
+def _count_pairs(groups: int, frequent):
+    """Counts of a batch's pairs, by the shard of the second word, or of the pair where that word is frequent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value[0]
+        for b in common.text_batches(batches, "text", BATCH_BYTES):
+            v, w, n = _merged(*_tokens(b)[:2])
+            rows = [(g, _pack_pairs(v[p], w[p], n[p])) for g, p in _parts(np.where(_among(w, often) >= 0, shard_of(_pair(v, w), groups), shard_of(w, groups)), groups)]
+            yield _rows(["grp", "entries"], rows, "entries")
+
+    return run
+
+
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return common.mix(common.mix(v + U64(7)) + w)
+
+
+def _merged(v: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs with their summed counts. In case of equal hashes a pair may stay in two parts; ``_build`` adds these up."""
+    order = np.argsort(_pair(v, w))
+    v, w = v[order], w[order]
+    first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))) if len(v) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(v))) if n is None else np.add.reduceat(n[order], first) if len(v) else n
+    return v[first], w[first], total
 
-def _total(key: tuple, t: pa.Table) -> pa.Table:
-    """All pairs (group >= 0), or all contexts, with their counts."""
-    pairs = t.column("grp")[0].as_py() >= 0
-    vs, ws, ns = [], [], []
-    for raw in t.column("entries").to_pylist():
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        ids, at = _unpack(raw, 8, 2 * n) if pairs else (np.frombuffer(raw, "<u8", n, 8), 8 + 8 * n)
-        vs.append(ids[:n])
-        if pairs:
-            ws.append(ids[n:])
-        ns.append(np.frombuffer(raw, "<u4", n, at))
-    v, n = np.concatenate(vs), np.concatenate(ns).astype(np.int64)
-    w = np.concatenate(ws) if pairs else np.zeros(len(v), U64)
-    key = common.mix(common.mix(v + U64(7)) + w) if pairs else v
-    order = np.argsort(key)
-    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    total = np.add.reduceat(n[order], first)
-    v, w = v[order][first], w[order][first]
-    common.trim()
-    return pa.table({"v": pa.array(v.astype(np.int64)), "w": pa.array(w.astype(np.int64), mask=np.full(len(w), not pairs)), "n": pa.array(total)})
 
+def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Place of each x in an ascending list, or -1."""
+    if not len(listed):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
+    return np.where(listed[at] == x, at, -1)
 
-def _build(n_tokens: int, n_types: int, discounts: tuple[float, float, float], shards: int):
-    """One shard's trie from its contexts (w null) and pairs with the counts of their words."""
+
+def _pack_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    return np.array([len(v)], "<i8").tobytes() + _pack(v) + _pack(w) + _pack_small(n)
+
+
+def _unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    v, v_at, at = _unpack(raw, 8, n)
+    w, w_at, at = _unpack(raw, at, n)
+    count, at = _unpack_small(raw, at, n)
+    return v[v_at], w[w_at], count, at
+
+
+def _total_pairs(shards: int, frequent):
+    """A group's pairs with their counts and those of their second words, packed by the shard of the first."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        v, n = np.asarray(t.column("v")).astype(U64), np.asarray(t.column("n"))
-        is_context = np.asarray(t.column("w").is_null())
-        context, count = v[is_context], n[is_context]
-        order = np.argsort(context)
-        context, count = context[order], count[order]
-        pv, pn = v[~is_context], n[~is_context]
-        pw = np.asarray(t.column("w").drop_null()).astype(U64)
-        wn = np.asarray(t.column("wn").fill_null(0))[~is_context]
-        order = np.lexsort((pw, pv))
-        pv, pw, pn, wn = pv[order], pw[order], pn[order], wn[order]
-        owner = np.searchsorted(context, pv)
+        listed, counts = frequent.value
+        v, w, n = _merged(*[np.concatenate(c) for c in zip(*[_unpack_pairs(raw)[:3] for raw in t.column("entries").to_pylist()])])
+        words, at = np.unique(w, return_inverse=True)
+        of_word = np.bincount(at, weights=n).astype(np.int64)
+        place = _among(words, listed)
+        of_word = np.where(place >= 0, counts[np.maximum(place, 0)], of_word) if len(listed) else of_word
+        rows = []
+        for g, p in _parts(shard_of(v, shards), shards):
+            used, local = np.unique(at[p], return_inverse=True)
+            rows.append((g, np.array([len(p)], "<i8").tobytes() + _pack(v[p]) + _pack(w[p]) + _pack_small(n[p]) + _pack_small(of_word[used])))
+        common.trim()
+        return pa.Table.from_batches([_rows(["shard", "entries"], rows, "entries")])
+
+    return run
+
+
+def _build(n_tokens: int, n_types: int):
+    """One shard's trie from its pairs with the counts of their second words."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        vs, ws, ns, wns = [], [], [], []
+        for raw in t.column("entries").to_pylist():
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            v, v_at, at = _unpack(raw, 8, n)
+            w, w_at, at = _unpack(raw, at, n)
+            count, at = _unpack_small(raw, at, n)
+            of_word, _ = _unpack_small(raw, at, len(w))
+            for into, x in ((vs, v[v_at]), (ws, w[w_at]), (ns, count), (wns, of_word[w_at])):
+                into.append(x)
+        v, w, n, wn = (np.concatenate(c) for c in (vs, ws, ns, wns))
+        order = np.lexsort((w, v))
+        v, w, n, wn = v[order], w[order], n[order], wn[order]
+        first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+        n = np.add.reduceat(n, first)
+        v, w, wn = v[first], w[first], wn[first]
+        lead = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        count = np.add.reduceat(n, lead)
+        size = np.diff(np.append(lead, len(v)))
         lower = (wn + 0.5) / (n_tokens + 0.5 * (n_types + 1))
-        higher = (pn - np.array(discounts)[np.minimum(pn, 3) - 1]) / count[owner]
-        used = np.bincount(owner, weights=higher, minlength=len(context))
-        covered = np.bincount(owner, weights=lower, minlength=len(context))
-        backoff = np.maximum(1e-6, (1 - used) / np.maximum(1e-9, 1 - covered))
-        first = np.searchsorted(owner, np.arange(len(context) + 1))
-        raw = Trie.build(context, count, backoff, first, pw, np.log10(higher) - np.log10(lower))
+        higher = (n - DISCOUNT) / np.repeat(count, size)
+        backoff = np.maximum(1e-9, (DISCOUNT * size / count) / np.maximum(1e-9, 1 - np.add.reduceat(lower, lead)))
+        raw = Trie.build(v[lead], count, backoff, np.append(lead, len(v)), w, np.log10(higher) - np.log10(lower))
+        common.trim()
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "trie": pa.array([raw], pa.binary())})
 
     return run
 
 
+# ------------------------------------------------------------------ scoring
+_ASKED = "shard long, copy long, batch long, seal long, asked binary, docs binary, trie binary"
+_ANSWERED = "batch long, seal long, sums binary, docs binary"
+
+
 def _ask(shards: int, spread):
-    """Every token, packed by the shard of its context; ``spread`` tasks share a shard."""
+    """Every token, packed by the shard of its context; ``spread`` tasks share a shard.
+
+    A batch is known by its number and by a hash of its rows: should a lost task's input come in another
+    order when it runs again, the batches don't mix.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         copies = spread.value
-        turn = TaskContext.get().partitionId()
-        for b in common.text_batches(batches, "text", BATCH_BYTES):
-            turn += 1
+        part = TaskContext.get().partitionId()
+        for turn, b in enumerate(common.text_batches(batches, "text", BATCH_BYTES)):
             v, w, doc = _tokens(b)
-            ids, crc = np.asarray(b.column("id"), np.int64), np.asarray(b.column("crc"), np.int64)
+            batch = (part << 32) | turn
+            h = np.asarray(b.column("h"), np.int64).view(U64)
+            seal = int(common.mix(common.mix(h + np.arange(len(h), dtype=U64)).sum(dtype=U64, keepdims=True)).view(np.int64)[0])
+            n_tokens = np.bincount(doc, minlength=b.num_rows)
             order = np.argsort(v, kind="stable")
             v, w, doc = v[order], w[order], doc[order]
             lead = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             runs = np.diff(np.append(lead, len(v)))
-            shard = shard_of(v[lead], shards)
-            by = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[by], np.arange(shards + 1))
             rows = []
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                part = by[bounds[s] : bounds[s + 1]]
-                size = runs[part]
-                take = np.arange(int(size.sum())) + np.repeat(lead[part] - (np.cumsum(size) - size), size)
-                used, local = np.unique(doc[take], return_inverse=True)
-                head = np.array([len(part), len(take), len(used)], "<i8").tobytes()
-                small = "<u2" if len(used) <= 1 << 16 else "<u4"
-                raw = b"".join([head, v[lead[part]].astype("<u8").tobytes(), size.astype("<u4").tobytes(), _pack(w[take]), ids[used].astype("<i8").tobytes(), crc[used].astype("<u4").tobytes(), local.astype(small).tobytes()])
-                rows.append((s, int((turn + s) % copies[s]), raw))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names=["shard", "copy", "asked", "trie"])
+            for s, p in _parts(shard_of(v[lead], shards), shards):
+                size = runs[p]
+                take = np.arange(int(size.sum())) + np.repeat(lead[p] - (np.cumsum(size) - size), size)
+                raw = b"".join([np.array([len(p), len(take)], "<i8").tobytes(), v[lead[p]].astype("<u8").tobytes(), _pack_small(size), _pack(w[take]), _pack_small(doc[take])])
+                rows.append((s, int((part + turn + s) % copies[s]), batch, seal, raw, None))
+            sealed = pa.RecordBatch.from_arrays([b.column("doc_id").combine_chunks(), b.column("training").combine_chunks(), pa.array(n_tokens)], names=["doc_id", "training", "n_tokens"])
+            s = batch % shards
+            rows.append((s, int((part + turn) % copies[s]), batch, seal, None, np.array([len(rows)], "<i8").tobytes() + sealed.serialize().to_pybytes()))
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)] + [pa.array([r[i] for r in rows], pa.binary()) for i in (4, 5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.binary())], names=["shard", "copy", "batch", "seal", "asked", "docs", "trie"])
 
     return run
 
 
 def _answer(key: tuple, t: pa.Table) -> pa.Table:
-    """Sums for each text over its tokens whose contexts lie in this shard."""
+    """For each batch, sums for its texts over the tokens whose contexts lie in this shard; lists of ids pass through."""
     tries = t.column("trie").drop_null().to_pylist()
     trie = Trie(tries[0]) if tries else None
-    out: list[list[np.ndarray]] = []
-    for raw in t.column("asked").drop_null():
-        raw = raw.as_buffer()
-        n_v, n, n_docs = np.frombuffer(raw, "<i8", 3).tolist()
-        at = 24
-        v = np.frombuffer(raw, "<u8", n_v, at)
-        size = np.frombuffer(raw, "<u4", n_v, at + 8 * n_v)
-        w, at = _unpack(raw, at + 12 * n_v, n)
-        ids = np.frombuffer(raw, "<i8", n_docs, at)
-        crc = np.frombuffer(raw, "<u4", n_docs, at + 8 * n_docs)
-        doc = np.frombuffer(raw, "<u2" if n_docs <= 1 << 16 else "<u4", n, at + 12 * n_docs).astype(np.int64)
-        v = np.repeat(v, size)
-        count, value = trie.lookup(v, w) if trie else (np.zeros(n), np.zeros(n))
-        word = v != BEGIN  # each word once, as the context of what follows; ends are added for each text
-        sums = [np.bincount(doc, minlength=n_docs), np.bincount(doc, weights=word & (count > 0), minlength=n_docs), np.bincount(doc, weights=np.where(word, np.log10(count + 0.5), 0), minlength=n_docs), np.bincount(doc, weights=value, minlength=n_docs)]
-        out.append([ids, crc.astype(np.int64), *sums])
-    if not out:
-        return _ANSWER.empty_table()
-    cols = [np.concatenate(c) for c in zip(*out)]
+    out: list[tuple] = []
+    for batch, seal, raw, docs in zip(*[t.column(c).to_pylist() for c in ("batch", "seal", "asked", "docs")]):
+        if raw is None:
+            if docs is not None:
+                out.append((batch, seal, None, docs))
+            continue
+        n_v, n = np.frombuffer(raw, "<i8", 2).tolist()
+        v = np.frombuffer(raw, "<u8", n_v, 16)
+        size, at = _unpack_small(raw, 16 + 8 * n_v, n_v)
+        words, w, at = _unpack(raw, at, n)
+        doc, _ = _unpack_small(raw, at, n)
+        count, value = trie.lookup(v, size, words, w) if trie else (np.zeros(n), np.zeros(n))
+        word = np.repeat(v, size) != BEGIN  # each word once, as the context of what follows; ends are added for each text
+        used, doc = np.unique(doc, return_inverse=True)
+        sums = [np.bincount(doc, weights=x, minlength=len(used)) for x in (word & (count > 0), np.where(word, np.log10(count + 0.5), 0), value)]
+        packed = b"".join([np.array([len(used)], "<i8").tobytes(), used.astype("<u4").tobytes(), sums[0].astype("<u4").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<f4").tobytes()])
+        out.append((batch, seal, packed, None))
     common.trim()
-    return pa.table([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ANSWER)], schema=_ANSWER)
+    columns = [pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)] + [pa.array([r[i] for r in out], pa.binary()) for i in (2, 3)]
+    return pa.Table.from_arrays(columns, names=["batch", "seal", "sums", "docs"])
+
+
+def _gather(key: tuple, t: pa.Table) -> pa.Table:
+    """The texts of one batch with their sums."""
+    lists = t.column("docs").drop_null().to_pylist()
+    answers = t.column("sums").drop_null().to_pylist()
+    if len(lists) != 1 or int(np.frombuffer(lists[0], "<i8", 1)[0]) != len(answers):
+        raise RuntimeError("answers don't fit their batch: the order of the input changed while tasks ran again")
+    docs = pa.ipc.read_record_batch(pa.py_buffer(lists[0][8:]), _DOCS)
+    known, logs, gain = (np.zeros(docs.num_rows) for _ in range(3))
+    for raw in answers:
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        doc = np.frombuffer(raw, "<u4", n, 8)
+        known[doc] += np.frombuffer(raw, "<u4", n, 8 + 4 * n)
+        logs[doc] += np.frombuffer(raw, "<f8", n, 8 + 8 * n)
+        gain[doc] += np.frombuffer(raw, "<f4", n, 8 + 16 * n)
+    return pa.Table.from_arrays([*docs.columns, pa.array(known.astype(np.int64)), pa.array(logs), pa.array(gain)], names=[*_DOCS.names, "known", "logs", "gain"])
 
 
-_ANSWER = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("gain", pa.float64())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64())])
 
 
 def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,71 +524,44 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     no. base_score is the lower order's log10 probability of the text, score the model's.
 
     * null and empty texts have one token, the end; without training rows all tokens are unknown
-    * ids, null or repeated, pass through; repeated rows each count in training and get the same result
+    * ids, null or repeated, pass through: each row is scored by itself, and each training row counts
     * an empty table gives no rows; other columns are not read
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     work = common.Workspace(spark, "trie-lm")
     text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-        F.coalesce(training(F.col(id_col)), F.lit(False)).alias("training"),
-        text.alias("text"),
-    )
-    facts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("training").alias("n")).first()
-    shards = max(LEAST_SHARDS, common.shuffle_parts(spark), facts["bytes"] // (6 * SHARD_TOKENS))
-    counted = rows.where("training").select("text").mapInArrow(_count(shards), "grp long, entries binary")
-    totals = work.save(counted.groupBy("grp").applyInArrow(_total, "v long, w long, n long"), "totals")
-    release_shuffles(spark)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(training(F.col(id_col)), F.lit(False)).alias("training"), text.alias("text"))
+    facts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("training").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    parts = common.shuffle_parts(spark)
+    shards = max(LEAST_SHARDS, parts, facts["bytes"] // SHARD_BYTES)
 
-    words = totals.where(F.col("w").isNull()).select("v", "n")
+    words = rows.select("training", "text").mapInArrow(_count_words(shards), "grp long, entries binary").groupBy("grp")
+    sums = words.applyInArrow(_sum_words(max(FREQUENT_LEAST, facts["bytes"] // FREQUENT_SHARE)), "shard long, load long, tokens long, types long, words array<long>, counts array<long>").collect()  # a row for each shard, half of FREQUENT_SHARE words
     n_ends = facts["n"]
-    sums = words.where(F.col("v") != BEGIN).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
-    n_tokens, n_types = sums["n"] + n_ends, sums["types"] + (n_ends > 0)
-    pairs = totals.where(F.col("w").isNotNull())
-    of = {r["n"]: r["c"] for r in pairs.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # four rows
-    most = {1: 0.8, 2: 1.5, 3: 2.5}
-    discounts = tuple(float(np.clip(k - (k + 1) * of.get(k + 1, 0) / max(1, of.get(k, 0)), 0.1, most[k])) for k in most)
-    ends = spark.createDataFrame([(END, n_ends)], "w long, wn long")
-    with_word = pairs.join(words.where(F.col("v") != BEGIN).select(F.col("v").alias("w"), F.col("n").alias("wn")).unionByName(ends), "w", "left")
-    parts = with_word.select("v", "w", "n", "wn").unionByName(words.select("v", F.lit(None).cast("long").alias("w"), "n", F.lit(None).cast("long").alias("wn")))
-    placed = parts.mapInArrow(_place(shards), "shard long, v long, w long, n long, wn long")
-    tries = work.save(placed.groupBy("shard").applyInArrow(_build(n_tokens, n_types, discounts, shards), "shard long, trie binary"), "tries")
-    load = words.mapInArrow(_place_words(shards), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    n_tokens, n_types = sum(r["tokens"] for r in sums) + n_ends, sum(r["types"] for r in sums) + (n_ends > 0)
+    often = {END: n_ends} | {int(np.int64(w).view(U64)): n for r in sums for w, n in zip(r["words"], r["counts"])}
+    frequent = spark.sparkContext.broadcast((np.array(sorted(often), U64), np.array([often[w] for w in sorted(often)], np.int64)))
     copies = np.ones(shards, np.int64)
-    for r in load.collect():  # a row for each shard
-        copies[r["shard"]] = max(1, -(-r["n"] // SHARD_TOKENS))
-    work.drop("totals")
+    for r in sums:
+        copies[r["shard"]] = max(1, -(-r["load"] // SHARD_TOKENS))
+    begin = int(shard_of(np.array([BEGIN], U64), shards)[0])
+    copies[begin] = max(copies[begin], -(-facts["rows"] // SHARD_TOKENS))
+    release_shuffles(spark)
+
+    counted = rows.where("training").select("text").mapInArrow(_count_pairs(shards, frequent), "grp long, entries binary")
+    moved = counted.groupBy("grp").applyInArrow(_total_pairs(shards, frequent), "shard long, entries binary")
+    tries = work.save(moved.groupBy("shard").applyInArrow(_build(n_tokens, n_types), "shard long, trie binary"), "tries", "none")
+    del counted, moved, words
     release_shuffles(spark)
 
     spread = spark.sparkContext.broadcast(copies)
-    asked = rows.select("id", "crc", "text").mapInArrow(_ask(shards, spread), "shard long, copy long, asked binary, trie binary")
+    own = rows.select("doc_id", "training", "text", F.xxhash64("doc_id", "training", "text").alias("h"))
+    asked = own.mapInArrow(_ask(shards, spread), _ASKED)
     extra = spark.createDataFrame([(s, int(c)) for s, c in enumerate(copies) if c > 1], "shard long, copies long")
-    models = tries.join(F.broadcast(extra), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("copy"), F.lit(None).cast("binary").alias("asked"), "trie")
-    answers = asked.unionByName(models).groupBy("shard", "copy").applyInArrow(_answer, "id long, crc long, n long, known long, logs double, gain double")
-    times = rows.groupBy("id", "crc").agg(F.count(F.lit(1)).alias("times"))
-    texts = answers.groupBy("id", "crc").agg(*[F.sum(c).alias(c) for c in ("n", "known", "logs", "gain")]).join(times, ["id", "crc"])
-    base = F.col("logs") / F.col("times") + log10(n_ends + 0.5) - F.col("n") / F.col("times") * log10(n_tokens + 0.5 * (n_types + 1))
-    texts = texts.select("id", "crc", (F.col("n") / F.col("times")).cast("long").alias("n_tokens"), (F.col("known") / F.col("times") + (1 if n_ends else 0)).cast("long").alias("n_known"), base.alias("base_score"), (base + F.col("gain") / F.col("times")).alias("score"))
-    out = rows.select("id", "crc", "training").join(texts, ["id", "crc"])
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "training", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _place(shards: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(np.asarray(b.column(0)).astype(U64), shards)), *b.columns], names=["shard", "v", "w", "n", "wn"])
-
-    return run
-
-
-def _place_words(shards: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shards)
-        for b in batches:
-            total += np.bincount(shard_of(np.asarray(b.column(0)).astype(U64), shards), weights=np.asarray(b.column(1)), minlength=shards)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards)), pa.array(total.astype(np.int64))], names=["shard", "n"])
-
-    return run
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    models = tries.join(F.broadcast(extra), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("copy"), none("batch", "long"), none("seal", "long"), none("asked", "binary"), none("docs", "binary"), "trie")
+    answers = asked.unionByName(models).groupBy("shard", "copy").applyInArrow(_answer, _ANSWERED)
+    texts = answers.groupBy("batch", "seal").applyInArrow(_gather, "doc_id long, training boolean, n_tokens long, known long, logs double, gain double")
+    base = F.col("logs") + log10(n_ends + 0.5) - F.col("n_tokens") * log10(n_tokens + 0.5 * (n_types + 1))
+    return texts.select("doc_id", "training", "n_tokens", (F.col("known") + (1 if n_ends else 0)).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))

@@ -134,6 +134,27 @@ def unigram_base(docs):
     return {i: (crc_id(i) % 5 == 1, len(ws), sum(w in c for w in ws), n, sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in tokens.items()}
 
 
+def bigram_scores(docs, training, discount=0.75):
+    """log10 probability of each text by a bigram model with absolute discounting and renormalised back-off."""
+    tokens = {i: [*BLANK.findall(lower(t)), None] for i, t in docs.items()}
+    learn = [ws for i, ws in tokens.items() if training(i)]
+    c, n, v = Counter(w for ws in learn for w in ws), sum(map(len, learn)), len({w for ws in learn for w in ws})
+    lower_order = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    pairs, after = Counter(p for ws in learn for p in zip(["<", *ws], ws)), defaultdict(list)
+    for a, b in pairs:
+        after[a].append(b)
+
+    def p(a, b):
+        if a not in after:
+            return lower_order(b)
+        total = sum(pairs[a, x] for x in after[a])
+        if (a, b) in pairs:
+            return (pairs[a, b] - discount) / total
+        return discount * len(after[a]) / total / (1 - sum(map(lower_order, after[a]))) * lower_order(b)
+
+    return {i: sum(log10(p(a, b)) for a, b in zip(["<", *ws], ws)) for i, ws in tokens.items()}
+
+
 def line_removals(docs, threshold=0.8):
     """(kept lines) per document: a line goes if an earlier line has a word-set Jaccard of the threshold or more."""
     lines, earlier, out = [], defaultdict(list), {}

@@ -253,6 +253,31 @@ def test_lm(spark, docs):
     assert [(r["n_tokens"], r["n_known"]) for r in none] == [(3, 0), (1, 0)]
 
 
+@pytest.mark.parametrize("least,tokens", [(64, 2_000_000), (2, 50)])
+def test_lm_scores(spark, docs, monkeypatch, least, tokens):
+    """Against a plain model; with frequent words, and with shards that several tasks read."""
+    monkeypatch.setattr(trie_lm, "FREQUENT_LEAST", least)
+    monkeypatch.setattr(trie_lm, "SHARD_TOKENS", tokens)
+    monkeypatch.setattr(trie_lm, "BATCH_BYTES", 4000)
+    training = lambda i: F.pmod(i, F.lit(3)) != 1
+    got = {r["doc_id"]: r for r in trie_lm.score_texts(frame(spark, docs), training).collect()}
+    want = brute.bigram_scores(docs, lambda i: i % 3 != 1)
+    assert got.keys() == want.keys()
+    for i, score in want.items():
+        assert got[i]["score"] == pytest.approx(score, rel=1e-4, abs=1e-4), i
+
+
+def test_lm_odd_rows(spark):
+    """Ids that are null or occur twice: each row by itself."""
+    rows = [(None, "alpha beta"), (None, "gamma"), (None, None), (5, "alpha 47219 beta gamma delta 330533"), (5, "alpha 143238 beta gamma delta 1002666"), (5, "gamma"), (5, "gamma")]
+    got = trie_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: i == 5).collect()
+    # training: five words and the end, twice, and gamma and the end, twice
+    assert sorted(((r["doc_id"], r["training"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got), key=repr) == sorted([(None, False, 3, 3, 18), (None, False, 2, 2, 18), (None, False, 1, 1, 18), (5, True, 7, 7, 18), (5, True, 7, 7, 18), (5, True, 2, 2, 18), (5, True, 2, 2, 18)], key=repr)
+    plain = {i: t for i, (_, t) in enumerate(rows)}
+    want = sorted(brute.bigram_scores(plain, lambda i: i > 2).values())
+    assert sorted(r["score"] for r in got) == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_pairs_seen_once(spark):
     """Of texts of the same words the one whose pairs were seen once scores higher."""
     words = [f"k{i}" for i in range(12)]

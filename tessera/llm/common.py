@@ -7,6 +7,8 @@ regular expressions of the contracts, whatever the script of the text.
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -73,6 +75,18 @@ def release_all() -> None:
         w.release()
 
 
+def release_shuffles(spark) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    What one collection frees may hold the last reference to more, hence several, with a moment for the
+    cleaner's messages to the executors.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

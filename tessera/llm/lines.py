@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .substring import release_shuffles
 
 PERCENT = 80
 #: Slots in which words are counted.
@@ -105,7 +104,7 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     places = work.save(lines.select("id", "crc", "pos", "key"), "places")
     work.drop("lines")
     del lines
-    release_shuffles(spark)
+    common.release_shuffles(spark)
 
     # buckets of prefix words, each row beside the bucket's earliest line
     posted = sets.select("key", "first.id", "first.pos", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
@@ -119,7 +118,7 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     name = f"tessera_{work.path.rpartition('-')[2]}"
     posted.write.mode("overwrite").option("path", f"{work.path}/posted").option("compression", "zstd").format("parquet").bucketBy(common.shuffle_parts(spark), "token").saveAsTable(name)
     posted = spark.table(name)
-    release_shuffles(spark)
+    common.release_shuffles(spark)
     c = F.col
     star = posted.where(c("key") != c("hub.key")).where(_may_link(c("n"), c("hub.n"), c("p"), c("hub.p"), c("sketch"), c("hub.sketch"), percent))
     settled = work.save(_similar(star.select(c("key").alias("x"), c("hub.key").alias("y")), sets, keys, lambda line: line_tokens(line, parsed), percent, work, "star"), "settled")
@@ -140,7 +139,7 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     spark.sql(f"DROP TABLE {name}")
     for part in ("places", "sets", "posted", "settled"):
         work.drop(part)
-    release_shuffles(spark)
+    common.release_shuffles(spark)
     return _without(docs, gone, id_col, text_col)
 
 

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .substring import release_shuffles
 
 U64 = np.uint64
 SHINGLE_WORDS, PERCENT = 3, 90
@@ -374,7 +373,7 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     # one row for each node: repeated rows would cancel in the XOR below
     reps = indexed.where("node is not null").dropDuplicates(["node", "id", "crc"]).join(first.select("node", F.col("rep.id").alias("id"), F.col("rep.crc").alias("crc")), ["node", "id", "crc"])
     reps = work.save(reps.select("node", "id", "crc", "n", "sigs", "sketch"), "reps")
-    release_shuffles(spark)
+    common.release_shuffles(spark)
 
     # sets by signature; a signature of one set is dropped, and sets that meet in many signatures alike meet once
     sigs = reps.select("node", "n", F.explode("sigs").alias("sig"))
@@ -389,7 +388,7 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     dealt = work.save(
         dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "block", "sketch"), "dealt"
     )
-    release_shuffles(spark)
+    common.release_shuffles(spark)
 
     def compare(labels: DataFrame | None, first_round: bool) -> DataFrame:
         known = dealt.withColumn("comp", F.col("node")) if labels is None else dealt.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))

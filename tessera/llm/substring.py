@@ -18,7 +18,6 @@ occurs twice or more are grouped. Runs are told apart by 96 bits of hashes.
 
 from __future__ import annotations
 
-import gc
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -316,7 +315,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
     buckets = max(48, landmarks // BUCKET_LANDMARKS)
     found = rows.select("id", "crc", "text").mapInArrow(_landmarks(window, buckets), "bucket long, entries binary").groupBy("bucket").applyInArrow(_repeated_landmarks, "id long, crc long, marks binary")
     found = work.save(found, "landmarks")
-    release_shuffles(spark)
+    common.release_shuffles(spark)
     counts = np.zeros((SLICES, PREFIX_SLOTS // SLICES), np.int64)
     for r in found.where("crc is null").select("id", "marks").collect():  # SLICES rows at most
         counts[-1 - r["id"]] = np.frombuffer(r["marks"], "<i8")
@@ -327,12 +326,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
     repeated = work.save(leaves.groupBy("grp").applyInArrow(_subtree, "id long, crc long, starts binary"), "starts")
     work.drop("landmarks")
     del found, marks, near, leaves
-    release_shuffles(spark)
+    common.release_shuffles(spark)
     starts = repeated.groupBy("id", "crc").agg(F.collect_list("starts").alias("starts"))
     return rows.join(starts, ["id", "crc"], "left").select("doc_id", "text", "starts").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, stop: long>>")
-
-
-def release_shuffles(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()

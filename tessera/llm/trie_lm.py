@@ -47,7 +47,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .substring import release_shuffles
 
 U64 = np.uint64
 ID_BITS = 64
@@ -547,13 +546,13 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         copies[r["shard"]] = max(1, -(-r["load"] // SHARD_TOKENS))
     begin = int(shard_of(np.array([BEGIN], U64), shards)[0])
     copies[begin] = max(copies[begin], -(-facts["rows"] // SHARD_TOKENS))
-    release_shuffles(spark)
+    common.release_shuffles(spark)
 
     counted = rows.where("training").select("text").mapInArrow(_count_pairs(shards, frequent), "grp long, entries binary")
     moved = counted.groupBy("grp").applyInArrow(_total_pairs(shards, frequent), "shard long, entries binary")
     tries = work.save(moved.groupBy("shard").applyInArrow(_build(n_tokens, n_types), "shard long, trie binary"), "tries", "none")
     del counted, moved, words
-    release_shuffles(spark)
+    common.release_shuffles(spark)
 
     spread = spark.sparkContext.broadcast(copies)
     own = rows.select("doc_id", "training", "text", F.xxhash64("doc_id", "training", "text").alias("h"))

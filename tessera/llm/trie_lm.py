@@ -54,7 +54,7 @@ ID_BITS = 64
 BEGIN, END = 0, 1
 #: What a pair's count is lowered by.
 DISCOUNT = 0.75
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of text for each shard, and tokens that one task scores.
 SHARD_BYTES, SHARD_TOKENS = 12_000_000, 2_000_000
 LEAST_SHARDS = 64
@@ -240,34 +240,45 @@ def _tokens(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, np.repeat(np.arange(len(starts)), n)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers as places in a list of the different ones."""
-    used, local = np.unique(x, return_inverse=True)
-    return np.array([len(used)], "<i8").tobytes() + used.astype("<u8").tobytes() + local.astype(_place_type(len(used))).tobytes()
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def _unpack(raw: bytes, at: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The different numbers, n places in them, and where they end."""
-    n_used = int(np.frombuffer(raw, "<i8", 1, at)[0])
-    used = np.frombuffer(raw, "<u8", n_used, at + 8)
-    kind = np.dtype(_place_type(n_used))
-    at += 8 + 8 * n_used
-    return used, np.frombuffer(raw, kind, n, at), at + n * kind.itemsize
+def _pack_small(x: np.ndarray) -> bytes:
+    """Counts or places in as few bytes as the largest needs, compressed byte by byte: the upper ones differ little."""
+    kind = _place_type(int(x.max(initial=0)) + 1) if x.max(initial=0) < 1 << 32 else "<u8"
+    planes = x.astype(kind).view(np.uint8).reshape(len(x), -1).T
+    packed = [_ZSTD.compress(np.ascontiguousarray(p), asbytes=True) if len(x) > 64 else p.tobytes() for p in planes]
+    return np.array([len(packed), *map(len, packed)], "<u4").tobytes() + b"".join(packed)
+
+
+def _unpack_small(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = int(np.frombuffer(raw, "<u4", 1, at)[0])
+    sizes = np.frombuffer(raw, "<u4", width, at + 4).tolist()
+    at += 4 + 4 * width
+    planes = np.empty((n, width), np.uint8)
+    for i, size in enumerate(sizes):
+        part = raw[at : at + size]
+        planes[:, i] = np.frombuffer(_ZSTD.decompress(part, n) if n > 64 else part, np.uint8)
+        at += size
+    return planes.view(f"<u{width}").reshape(n).astype(np.int64), at
 
 
 def _place_type(n: int) -> str:
     return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _pack_small(x: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs."""
-    kind = _place_type(int(x.max(initial=0)) + 1) if x.max(initial=0) < 1 << 32 else "<u8"
-    return np.array([np.dtype(kind).itemsize], "<u1").tobytes() + x.astype(kind).tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as places in a list of the different ones."""
+    used, local = np.unique(x, return_inverse=True)
+    return np.array([len(used)], "<i8").tobytes() + used.astype("<u8").tobytes() + _pack_small(local)
 
 
-def _unpack_small(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    width = int(np.frombuffer(raw, "<u1", 1, at)[0])
-    return np.frombuffer(raw, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + n * width
+def _unpack(raw: bytes, at: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The different numbers, n places in them, and where they end."""
+    n_used = int(np.frombuffer(raw, "<i8", 1, at)[0])
+    used = np.frombuffer(raw, "<u8", n_used, at + 8)
+    local, at = _unpack_small(raw, at + 8 + 8 * n_used, n)
+    return used, local, at
 
 
 def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
@@ -489,7 +500,7 @@ def _answer(key: tuple, t: pa.Table) -> pa.Table:
         word = np.repeat(v, size) != BEGIN  # each word once, as the context of what follows; ends are added for each text
         used, doc = np.unique(doc, return_inverse=True)
         sums = [np.bincount(doc, weights=x, minlength=len(used)) for x in (word & (count > 0), np.where(word, np.log10(count + 0.5), 0), value)]
-        packed = b"".join([np.array([len(used)], "<i8").tobytes(), used.astype("<u4").tobytes(), sums[0].astype("<u4").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<f4").tobytes()])
+        packed = b"".join([np.array([len(used)], "<i8").tobytes(), _pack_small(used), _pack_small(sums[0].astype(np.int64)), sums[1].astype("<f8").tobytes(), sums[2].astype("<f4").tobytes()])
         out.append((batch, seal, packed, None))
     common.trim()
     columns = [pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)] + [pa.array([r[i] for r in out], pa.binary()) for i in (2, 3)]
@@ -506,10 +517,11 @@ def _gather(key: tuple, t: pa.Table) -> pa.Table:
     known, logs, gain = (np.zeros(docs.num_rows) for _ in range(3))
     for raw in answers:
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        doc = np.frombuffer(raw, "<u4", n, 8)
-        known[doc] += np.frombuffer(raw, "<u4", n, 8 + 4 * n)
-        logs[doc] += np.frombuffer(raw, "<f8", n, 8 + 8 * n)
-        gain[doc] += np.frombuffer(raw, "<f4", n, 8 + 16 * n)
+        doc, at = _unpack_small(raw, 8, n)
+        more, at = _unpack_small(raw, at, n)
+        known[doc] += more
+        logs[doc] += np.frombuffer(raw, "<f8", n, at)
+        gain[doc] += np.frombuffer(raw, "<f4", n, at + 8 * n)
     return pa.Table.from_arrays([*docs.columns, pa.array(known.astype(np.int64)), pa.array(logs), pa.array(gain)], names=[*_DOCS.names, "known", "logs", "gain"])
 
 
@@ -550,7 +562,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
 
     counted = rows.where("training").select("text").mapInArrow(_count_pairs(shards, frequent), "grp long, entries binary")
     moved = counted.groupBy("grp").applyInArrow(_total_pairs(shards, frequent), "shard long, entries binary")
-    tries = work.save(moved.groupBy("shard").applyInArrow(_build(n_tokens, n_types), "shard long, trie binary"), "tries", "none")
+    tries = work.save(moved.groupBy("shard").applyInArrow(_build(n_tokens, n_types), "shard long, trie binary"), "tries")
     del counted, moved, words
     common.release_shuffles(spark)
 

@@ -291,6 +291,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col, text) -> tuple["F.Column", "F.Column"]:
+    """(id, h) that tell rows apart by id and text, both never null, ordered as ids are, null ids first.
+
+    A null id has the smallest long and a negative h, any other a non-negative one; texts of one id
+    are told apart by 63 bits, and a null text counts as empty.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1)
+    given = id_col.cast("bigint")
+    return F.coalesce(given, F.lit(-(1 << 63))), F.when(given.isNull(), -1 - h).otherwise(h)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod5(column) -> "F.Column":
     """Remainder by 5 of the CRC-32 of an id as text; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % 5

@@ -1,19 +1,28 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
 A line is the set of its words. Words are ordered by rarity: by the size class of
-their slot in corpus-wide counts, then by hash. Two lines with a Jaccard similarity
-of t share a word among the first ``n - ceil(t * n) + 1`` of either, so lines meet in
-the buckets of those words. Lengths, positions in the order and 64-bit parity
-sketches rule out most pairs; the others are verified on the whole sets.
+their slot in corpus-wide counts, then by hash. Of two lines with a Jaccard similarity
+of t or more, n words the shorter and m the longer, the shorter has a word among its
+first ``n - ceil(2t / (1 + t) * n) + 1`` that is among the first ``m - ceil(t * m) + 1``
+of the longer. Shorter sides meet longer ones in the buckets of those words. Lengths,
+the places of the first shared word and parity sketches rule out nearly all others;
+those that remain are verified on the whole sets.
+
+A sketch never differs in more bits than the sets do in words. Its width follows the
+line's length, so joins run class by class: a class holds the pairs whose longer side
+has a length in its range, and only long lines carry wide sketches.
 
 Only whether an *earlier* line is similar matters. Equal sets are one line with its
-first place. In each bucket all lines first meet its earliest line; those that are
-found similar to it are settled, and only the others meet the whole bucket. How many
-prefix words two of those share bounds their similarity once more.
+first place. In the buckets of their few rarest words lines first meet the earliest
+line alone; those that are found similar to it are settled, and pairs of settled lines
+need not meet again. So a group of near copies costs a pair for each member, not for
+each two.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +31,12 @@ from . import common
 PERCENT = 80
 #: Slots in which words are counted.
 SLOTS = 1 << 16
-#: Lines of more words have the wider sketch.
-WIDE_FROM = 64
-BLANK = "[\\x20\\x09-\\x0D]+"
+#: Lengths of the longer side up to which pairs belong to a class, and 64-bit lanes of its sketches.
+CLASSES = ((96, 1), (400, 4), (1600, 16), (1 << 31, 64))
+#: Rarest words in whose buckets lines meet the earliest line; buckets of frequent words are split into parts of about so many lines.
+STAR_WORDS, STAR_BUCKET_LOG2 = 4, 12
 #: Lists of documents that are broadcast have at most so many rows; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
-_NO_ID = -(1 << 63)
 _HASH = (1 << 56) - 1
 
 
@@ -37,12 +46,19 @@ def _slot(h: Column) -> Column:
 
 def rarity_classes(texts: DataFrame) -> Column:
     """An array literal: for each slot the number of binary digits of its words' count in all texts."""
-    words = texts.select(F.explode(F.split("text", BLANK)).alias("word")).where("word <> ''")
+    words = texts.select(F.explode(F.split(_spaced("text"), "[ \n]")).alias("word")).where("word <> ''")
     counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()  # SLOTS rows at most
     classes = [0] * SLOTS
     for r in counts:
         classes[r["slot"]] = r["n"].bit_length()
-    return F.lit(",".join(map(str, classes)))
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")  # folded to a constant by the optimizer
+
+
+def _spaced(text) -> Column:
+    """The text with a space for each white space within a line."""
+    text = F.col(text) if isinstance(text, str) else text
+    rare = reduce(lambda a, b: a | b, [text.contains(c) for c in "\t\x0b\x0c\r"])
+    return F.when(rare, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def _token(h: Column, classes: Column) -> Column:
@@ -51,19 +67,37 @@ def _token(h: Column, classes: Column) -> Column:
 
 
 def line_tokens(line: Column, classes: Column) -> Column:
-    """The distinct words of a line as ordered 64-bit numbers, rarest first."""
-    words = F.array_remove(F.split(line, BLANK), "")
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _token(h, classes))))
+    """The distinct words of a spaced line as ordered 64-bit numbers, rarest first."""
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: _token(h, classes)))
+
+
+# ------------------------------------------------------------------ sketches
+def _parity(tokens: Column) -> Column:
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+
+
+def sketches(tokens: Column, n: Column, percent: int) -> Column:
+    """Lanes of parity bits, as many as the widest class needs in which a line of n words can be the shorter side."""
+    out = F.array(_parity(tokens))
+    for (top, _), (_, lanes) in zip(CLASSES, CLASSES[1:]):
+        lane = lambda i, k=lanes: _parity(F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(k - 1)) == i))
+        out = F.when(n * 100 < percent * (top + 1), out).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint")), lane))
+    return out
+
+
+def _lane(sketch: Column, i: int, lanes: int) -> Column:
+    """One lane of a sketch of ``lanes`` lanes or, folded, of one of four times as many."""
+    at = lambda k: F.get(sketch, F.lit(k))
+    return F.when(F.size(sketch) == lanes, at(i)).otherwise(reduce(lambda a, b: a.bitwiseXOR(b), [at(i + k * lanes) for k in range(4)]))
 
 
-def _may_link(nx: Column, ny: Column, px: Column | None, py: Column | None, sx: Column, sy: Column, percent: int) -> Column:
+def _may_link(nx: Column, ny: Column, gap: Column, percent: int) -> Column:
     both = nx + ny
-    length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    place = (100 + percent) * F.least(nx - px, ny - py) >= percent * both if px is not None else F.lit(True)
-    sketch = (100 + percent) * F.bit_count(sx.bitwiseXOR(sy)) <= (100 - percent) * both
     # different sets differ in one word at least, those of one size in two
-    some = (100 - percent) * both >= (100 + percent) * F.when((nx + ny) % 2 == 0, 2).otherwise(1)
-    return length & some & place & sketch
+    some = (100 - percent) * both >= (100 + percent) * F.when(both % 2 == 0, 2).otherwise(1)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & some & ((100 + percent) * gap <= (100 - percent) * both)
 
 
 def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,90 +107,106 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     of ``percent`` or more; all lines are judged on the input, whether or not the earlier one goes too.
 
     * lines without words stay; a null text stays null, with no lines
-    * rows with a null id come before all others; those of rows that share an id are in the order of their numbers, then of checksums
+    * rows with a null id come before all others; those of rows that share an id are in the order of their lines' numbers, then of hashes of their texts
     * rows with the same id and the same text count as one document and get the same result
-    * an empty table gives no rows; other columns pass through, whatever their names
+    * an empty table gives no rows; other columns pass through, but for one named ``n_lines`` or ``n_removed``, whose place the result takes
     """
     spark = docs.sparkSession
     work = common.Workspace(spark, "lines")
     text = F.col(text_col).cast("string")
-    keys = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), text.alias("text"))
+    key_id, key_h = common.row_key(F.col(id_col), text)
+    keys = docs.select(key_id.alias("id"), key_h.alias("h"), text.alias("text"))
     classes = rarity_classes(keys.select("text"))
-    parsed = F.split(classes, ",").cast("array<tinyint>")  # folded to a constant by the optimizer
-
-    def cut(rows: DataFrame) -> DataFrame:
-        """A row for each line with words. The words are worked out inside the generator: once, whatever uses them."""
-        numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), line_tokens(line, parsed).alias("tokens")))
-        return rows.select("id", "crc", F.explode(F.filter(numbered, lambda x: F.size(x["tokens"]) > 0)).alias("l")).select("id", "crc", "l.pos", "l.tokens")
+    c = F.col
 
-    sketch = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    # long lines say nothing in 64 bits; they have four times as many
-    lanes = ("a", "b", "c", "d")
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
-    flip = lambda acc, t: F.struct(*[F.when(F.shiftright(t, 6).bitwiseAND(F.lit(3)) == i, acc[x].bitwiseXOR(bit(t))).otherwise(acc[x]).alias(x) for i, x in enumerate(lanes)])
-    wide = F.when(F.col("n") > WIDE_FROM, F.aggregate("tokens", F.struct(*[F.lit(0).cast("bigint").alias(x) for x in lanes]), flip))
-    need = F.ceil(F.col("n") * percent / 100).cast("int")
-    lines = cut(keys).withColumn("n", F.size("tokens"))
-    lines = lines.select("id", "crc", "pos", F.xxhash64("tokens", "n").alias("key"), "n", F.slice("tokens", 1, F.col("n") - need + 1).alias("prefix"), sketch.alias("sketch"), wide.alias("wide"))
+    cut = keys.select("id", "h", F.posexplode(F.split(_spaced("text"), "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    lines = cut.select("id", "h", "pos", line_tokens(c("line"), classes).alias("tokens")).withColumn("n", F.size("tokens"))
+    need = F.ceil(c("n") * percent / 100).cast("int")
+    lines = lines.select("id", "h", "pos", "n", F.xxhash64("tokens", "n").alias("key"), F.slice("tokens", 1, c("n") - need + 1).alias("prefix"), sketches(c("tokens"), c("n"), percent).alias("sketch"))
     lines = work.save(lines, "lines")
-    sets = lines.groupBy("key").agg(F.min(F.struct("id", "pos", "crc")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
-    sets = work.save(sets, "sets")
-    places = work.save(lines.select("id", "crc", "pos", "key"), "places")
+    sets = work.save(lines.groupBy("key").agg(F.min(F.struct("id", "pos", "h")).alias("first"), *[F.first(x).alias(x) for x in ("n", "prefix", "sketch")]), "sets")
+    places = work.save(lines.select("id", "h", "pos", "key"), "places")
     work.drop("lines")
     del lines
     common.release_shuffles(spark)
 
-    # buckets of prefix words, each row beside the bucket's earliest line
-    posted = sets.select("key", "first.id", "first.pos", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
-    # a line can link with another of its bucket only if the next shorter or the next longer one is near enough in length
-    by_length = Window.partitionBy("token").orderBy("n")
-    everything = by_length.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    close = (F.coalesce(F.lag("n").over(by_length), F.lit(0)) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_length) * percent)
-    hub = F.min(F.struct("id", "pos", "key", "n", "p", "sketch")).over(everything)
-    posted = posted.withColumns({"close": F.coalesce(close, F.lit(False)), "hub": hub}).where("close").drop("close")
-    # kept in buckets of the word, so that the join of buckets with themselves moves nothing
-    name = f"tessera_{work.path.rpartition('-')[2]}"
-    posted.write.mode("overwrite").option("path", f"{work.path}/posted").option("compression", "zstd").format("parquet").bucketBy(common.shuffle_parts(spark), "token").saveAsTable(name)
-    posted = spark.table(name)
-    common.release_shuffles(spark)
-    c = F.col
-    star = posted.where(c("key") != c("hub.key")).where(_may_link(c("n"), c("hub.n"), c("p"), c("hub.p"), c("sketch"), c("hub.sketch"), percent))
-    settled = work.save(_similar(star.select(c("key").alias("x"), c("hub.key").alias("y")), sets, keys, lambda line: line_tokens(line, parsed), percent, work, "star"), "settled")
-    done = settled.select(c("x").alias("key"))
-    rest = posted.join(F.broadcast(done) if done.count() <= BROADCAST_ROWS else done, "key", "left_anti")
-    x, y = rest.alias("x"), posted.alias("y")
-    earlier = F.struct("y.id", "y.pos", "y.key") < F.struct("x.id", "x.pos", "x.key")
-    meets = (c("x.token") == c("y.token")) & earlier & _may_link(c("x.n"), c("y.n"), None, None, c("x.sketch"), c("y.sketch"), percent)
-    met = x.join(y, meets).groupBy(c("x.key").alias("x"), c("y.key").alias("y"), c("x.n").alias("nx"), c("y.n").alias("ny")).agg(F.count(F.lit(1)).alias("met"))
-    # words up to the end of the prefix that ends first are all counted in met; behind it lie so many at most
-    behind = lambda n: F.ceil(n * percent / 100) - 1
-    pairs = met.where((100 + percent) * (c("met") + F.greatest(behind(c("nx")), behind(c("ny")))) >= percent * (c("nx") + c("ny"))).select("x", "y")
-    late = settled.unionByName(_similar(pairs, sets, keys, lambda line: line_tokens(line, parsed), percent, work, "rest")).select(c("x").alias("key"), F.lit(True).alias("late")).distinct()
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return work.save(_similar(pairs, sets, keys, lambda line: line_tokens(line, classes), percent, work, name), name)
+
+    alone = (c("n") * 100 < percent * (c("n") + 1)) & ((c("n") - 1) * 100 < percent * c("n"))  # too short for another set to be near
+    able = sets.where(~alone)
+    settled = verified(_stars(able, percent), "settled").select(c("x").alias("key"))
+    done = F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
+    open_ = able.join(done.withColumn("settled", F.lit(True)), "key", "left")
+    longest = able.agg(F.max("n")).first()[0] or 0
+    met = []
+    for (low, _), (top, lanes) in zip(((0, 0), *CLASSES), CLASSES):
+        if longest > low:
+            met.append(work.save(_class_pairs(open_, low, top, lanes, percent).distinct(), f"met-{lanes}"))
+            common.release_shuffles(spark)
+    late = settled
+    if met:
+        pairs = reduce(DataFrame.unionByName, met)
+        order = lambda k: sets.select(c("key").alias(k), c("first").alias(f"{k}_first"))
+        ordered = pairs.join(order("a"), "a").join(order("b"), "b")
+        later = c("a_first") > c("b_first")
+        ordered = ordered.select(F.when(later, c("a")).otherwise(c("b")).alias("x"), F.when(later, c("b")).otherwise(c("a")).alias("y"))
+        late = late.unionByName(verified(ordered.join(done.withColumnRenamed("key", "x"), "x", "left_anti"), "rest").select(c("x").alias("key")))
+    late = late.distinct().withColumn("late", F.lit(True))
 
     first = sets.select("key", "first").join(late, "key", "left")
-    gone = places.join(first, "key").where(c("late") | (F.struct("id", "pos", "crc") != c("first")))
-    gone = work.save(gone.groupBy("id", "crc").agg(F.collect_set("pos").alias("gone")), "gone")
-    spark.sql(f"DROP TABLE {name}")
-    for part in ("places", "sets", "posted", "settled"):
+    gone = places.join(first, "key").where(c("late") | (F.struct("id", "pos", "h") != c("first")))
+    gone = work.save(gone.groupBy("id", "h").agg(F.collect_set("pos").alias("gone")), "gone")
+    for part in ("places", "sets", "settled", "rest", *[f"met-{lanes}" for _, lanes in CLASSES]):
         work.drop(part)
     common.release_shuffles(spark)
     return _without(docs, gone, id_col, text_col)
 
 
+def _stars(sets: DataFrame, percent: int) -> DataFrame:
+    """``x, y``: lines and the earliest line in the bucket of one of their rarest words, where they may be similar."""
+    c = F.col
+    # one lane is as good as four for short lines; wider sketches are folded to four lanes
+    wide = F.when(F.size("sketch") <= 4, c("sketch")).otherwise(F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", F.lit(i + 4 * k)) for k in range(4)]) for i in range(4)]))
+    wide = F.when(F.size("sketch") <= 16, wide).otherwise(F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", F.lit(i + 4 * k)) for k in range(16)]) for i in range(4)]))
+    posted = sets.select("key", "first", "n", wide.alias("sketch"), F.explode(F.slice("prefix", 1, STAR_WORDS)).alias("token"))
+    frequent = F.greatest(F.shiftright("token", 56).cast("int") - STAR_BUCKET_LOG2, F.lit(0))
+    part = F.pmod(c("key"), F.call_function("shiftleft", F.lit(1).cast("bigint"), frequent))
+    in_order = Window.partitionBy("token", part).orderBy("first", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    star = posted.withColumn("hub", F.first(F.struct("key", "n", "sketch")).over(in_order)).where(c("key") != c("hub.key"))
+    # of 64 bits or, where both have them, of 256
+    one = lambda s: F.when(F.size(s) == 1, F.get(s, F.lit(0))).otherwise(reduce(lambda a, b: a.bitwiseXOR(b), [F.get(s, F.lit(i)) for i in range(4)]))
+    gap4 = reduce(lambda a, b: a + b, [F.bit_count(F.get(c("sketch"), F.lit(i)).bitwiseXOR(F.get(c("hub.sketch"), F.lit(i)))) for i in range(4)])
+    gap = F.when((F.size("sketch") == 4) & (F.size("hub.sketch") == 4), gap4).otherwise(F.bit_count(one(c("sketch")).bitwiseXOR(one(c("hub.sketch")))))
+    return star.where(_may_link(c("n"), c("hub.n"), gap, percent)).select(c("key").alias("x"), c("hub.key").alias("y")).distinct()
+
+
+def _class_pairs(sets: DataFrame, low: int, top: int, lanes: int, percent: int) -> DataFrame:
+    """``a, b``: pairs that may be similar, of which the longer one has more than ``low`` words and no more than ``top``, and not both are settled."""
+    c = F.col
+    own = [c("key"), c("n"), c("settled"), *[_lane(c("sketch"), i, lanes).alias(f"s{i}") for i in range(lanes)]]
+    # ceil(2t / (1 + t) * n) words of the shorter side are shared at least
+    shared = F.ceil(2 * percent * c("n") / (100 + percent)).cast("int")
+    shorter = sets.where((c("n") * 100 >= percent * (low + 1)) & (c("n") <= top)).select(*own, F.posexplode(F.slice("prefix", 1, c("n") - shared + 1)).alias("p", "token"))
+    longer = sets.where((c("n") > low) & (c("n") <= top)).select(*own, F.posexplode("prefix").alias("p", "token"))
+    a, b = shorter.alias("a"), longer.alias("b")
+    gap = reduce(lambda x, y: x + y, [F.bit_count(c(f"a.s{i}").bitwiseXOR(c(f"b.s{i}"))) for i in range(lanes)])
+    order = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.key") < c("b.key")))
+    place = (100 + percent) * F.least(c("a.n") - c("a.p"), c("b.n") - c("b.p")) >= percent * (c("a.n") + c("b.n"))
+    meets = (c("a.token") == c("b.token")) & order & place & _may_link(c("a.n"), c("b.n"), gap, percent) & (c("a.settled").isNull() | c("b.settled").isNull())
+    return a.join(b, meets).select(c("a.key").alias("a"), c("b.key").alias("b"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, keys: DataFrame, tokens_of, percent: int, work: common.Workspace, name: str) -> DataFrame:
     """The ``x`` of pairs that reach the threshold on whole sets; words are read again from the documents that hold them."""
-    side = lambda k: sets.where("wide is not null").select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
-    gap = sum((F.bit_count(F.col(f"wx.{lane}").bitwiseXOR(F.col(f"wy.{lane}"))) for lane in "abcd"), F.lit(0))
-    differ = (100 + percent) * gap > (100 - percent) * (F.col("nx") + F.col("ny"))
-    pairs = pairs.distinct().join(side("x"), "x", "left").join(side("y"), "y", "left").where(~F.coalesce(differ, F.lit(False)))
-    pairs = work.save(pairs.select("x", "y"), f"{name}-pairs")
+    pairs = work.save(pairs.select("x", "y").distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-    places = work.save(sets.join(wanted, "key", "left_semi").select("key", "first.id", "first.crc", "first.pos"), f"{name}-places")
-    holders = places.groupBy("id", "crc").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
+    places = work.save(sets.join(wanted, "key", "left_semi").select("key", "first.id", "first.h", "first.pos"), f"{name}-places")
+    holders = places.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
     holders = work.save(holders, f"{name}-holders")
     near = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
-    asked = F.transform("asked", lambda a: F.struct(a["key"].alias("key"), tokens_of(F.get(F.split("text", "\n"), a["pos"])).alias("tokens")))
-    found = keys.join(near, ["id", "crc"]).select(F.explode(asked).alias("w")).select("w.key", "w.tokens")
+    asked = F.transform("asked", lambda a: F.struct(a["key"].alias("key"), F.get(F.split(_spaced("text"), "\n"), a["pos"]).alias("line")))
+    found = keys.join(near, ["id", "h"]).select(F.explode(asked).alias("w")).select("w.key", tokens_of(F.col("w.line")).alias("tokens"))
     whole = work.save(found.dropDuplicates(["key"]), f"{name}-tokens")
     both = pairs.join(whole.select(F.col("key").alias("x"), F.col("tokens").alias("left")), "x").join(whole.select(F.col("key").alias("y"), F.col("tokens").alias("right")), "y")
     shared = F.size(F.array_intersect("left", "right"))
@@ -166,17 +216,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, keys: DataFrame, tokens_of, perc
 def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents without the lines whose numbers are listed."""
     text = F.col(text_col).cast("string")
-    own = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)), "__crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
-    listed = gone.select(F.col("id").alias("__id"), F.col("crc").alias("__crc"), F.col("gone").alias("__gone"))
+    key_id, key_h, listed = (common.free_name(docs.columns, f"__{c}") for c in ("id", "h", "gone"))
+    own_id, own_h = common.row_key(F.col(id_col), text)
+    out = docs.withColumns({key_id: own_id, key_h: own_h}).join(gone.select(F.col("id").alias(key_id), F.col("h").alias(key_h), F.col("gone").alias(listed)), [key_id, key_h], "left")
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda line, i: ~F.array_contains("__gone", i))
-    out = own.join(listed, ["__id", "__crc"], "left")
-    out = out.withColumns(
-        {
-            "__text": F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")),
-            "__lines": F.coalesce(F.size(split), F.lit(0)).cast("bigint"),
-            "__removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("bigint"),
-        }
-    )
+    kept = F.filter(split, lambda line, i: ~F.array_contains(listed, i))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
-    return out.select(F.col(id_col), F.col("__text").alias(text_col), F.when(text.isNull(), 0).otherwise(F.col("__lines")).cast("bigint").alias("n_lines"), F.col("__removed").alias("n_removed"), *others)
+    return out.select(
+        F.col(id_col),
+        F.when(F.col(listed).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(text_col),
+        F.when(text.isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
+        F.when(F.col(listed).isNull(), 0).otherwise(F.size(listed)).cast("bigint").alias("n_removed"),
+        *others,
+    )

@@ -93,6 +93,43 @@ def test_lines_repeated_rows(spark):
     assert got == sorted([(1, "", 2), (1, "", 2), (None, "a b c", 0), (None, None, 0), (2, "z z\n", 0)], key=repr)
 
 
+LIKE_CRC = ("alpha 47219 beta gamma delta 330533", "alpha 143238 beta gamma delta 1002666")  # one CRC-32
+
+
+def test_lines_rows_with_like_checksums(spark):
+    rows = [(1, "p q r s t\n" + LIKE_CRC[0]), (7, LIKE_CRC[0]), (7, LIKE_CRC[1]), (None, LIKE_CRC[1]), (-(1 << 63), "only here")]
+    got = sorted(((r["doc_id"], r["text"]) for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, rows[0][1]), (7, ""), (7, ""), (None, LIKE_CRC[1]), (-(1 << 63), "only here")], key=repr)
+
+
+def test_lines_long_and_near(spark, monkeypatch):
+    """Lines of every class of lengths, each with near copies, and a group of many near copies."""
+    rng = random.Random(4)
+    docs, words = {}, [f"v{i}" for i in range(6000)]
+    for k, n in enumerate([6, 30, 90, 97, 130, 380, 420, 1500, 1700, 3000]):
+        base = rng.sample(words, n)
+        for j, share in enumerate((0, 0.05, 0.1, 0.12, 0.3)):
+            near = [w if rng.random() >= share else rng.choice(words) for w in base]
+            docs[100 * k + j] = " ".join(near[: n - int(0.5 * share * n)]) + "\nshared tail of five words here"
+    base = rng.sample(words, 40)
+    for j in range(150):
+        near = list(base)
+        for _ in range(rng.randrange(5)):
+            near[rng.randrange(40)] = rng.choice(words[:50])
+        docs[5000 + j] = " ".join(near)
+    monkeypatch.setattr(lines, "STAR_BUCKET_LOG2", 4)
+    got = {r["doc_id"]: r["text"] for r in lines.dedupe_lines(frame(spark, docs)).collect()}
+    want = brute.line_removals(docs)
+    assert got == {i: "\n".join(want[i]) for i in docs}
+
+
+def test_lines_clashing_names(spark):
+    rows = [(1, "a b", 9, "x", "y"), (2, "a b", 8, "z", "w")]
+    out = lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, __id string, __gone string")).orderBy("doc_id")
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "__id", "__gone"]
+    assert [tuple(r) for r in out.collect()] == [(1, "a b", 1, 0, "x", "y"), (2, "", 1, 1, "z", "w")]
+
+
 # ------------------------------------------------------------------ token files
 def test_token_files(spark, docs, tmp_path):
     rans.write_token_files(frame(spark, docs), public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/t")

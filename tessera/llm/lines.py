@@ -80,10 +80,14 @@ def _parity(tokens: Column) -> Column:
 
 def sketches(tokens: Column, n: Column, percent: int) -> Column:
     """Lanes of parity bits, as many as the widest class needs in which a line of n words can be the shorter side."""
+
+    def wide(lanes: int) -> Column:
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))
+        return F.transform(numbers, lambda i: _parity(F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(lanes - 1)) == i)))
+
     out = F.array(_parity(tokens))
     for (top, _), (_, lanes) in zip(CLASSES, CLASSES[1:]):
-        lane = lambda i, k=lanes: _parity(F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(k - 1)) == i))
-        out = F.when(n * 100 < percent * (top + 1), out).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint")), lane))
+        out = F.when(n * 100 < percent * (top + 1), out).otherwise(wide(lanes))
     return out
 
 

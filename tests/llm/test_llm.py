@@ -123,6 +123,25 @@ def test_lines_long_and_near(spark, monkeypatch):
     assert got == {i: "\n".join(want[i]) for i in docs}
 
 
+def test_line_sketches(spark):
+    """Every lane against a plain count of bits, and the same when folded."""
+    rng = random.Random(2)
+    rows = [([rng.randrange(1 << 40) for _ in range(n)],) for n in (1, 50, 77, 78, 96, 100, 330, 1500, 2000)]
+    df = spark.createDataFrame(rows, "t array<long>").withColumn("n", F.size("t"))
+    df = df.withColumn("s", lines.sketches(F.col("t"), F.col("n"), 80))
+    widths = []
+    for r in df.collect():
+        k = len(r["s"])
+        widths.append(k)
+        want = [0] * k
+        for t in r["t"]:
+            want[(t >> 6) % k] ^= 1 << (t & 63)
+        assert [x % (1 << 64) for x in r["s"]] == want
+    assert widths == [1, 1, 1, 4, 4, 4, 16, 64, 64]
+    four = df.where(F.size("s") == 16).select("s", *[lines._lane(F.col("s"), i, 4).alias(f"f{i}") for i in range(4)]).first()
+    assert all(four[f"f{i}"] == four["s"][i] ^ four["s"][i + 4] ^ four["s"][i + 8] ^ four["s"][i + 12] for i in range(4))
+
+
 def test_lines_clashing_names(spark):
     rows = [(1, "a b", 9, "x", "y"), (2, "a b", 8, "z", "w")]
     out = lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, __id string, __gone string")).orderBy("doc_id")

@@ -37,6 +37,8 @@ CLASSES = ((96, 1), (400, 4), (1600, 16), (1 << 31, 64))
 STAR_WORDS, STAR_BUCKET_LOG2 = 4, 12
 #: Lists of documents that are broadcast have at most so many rows; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: A set with more than one in so many of all lines is joined by broadcast.
+OFTEN_SHARE = 1000
 _HASH = (1 << 56) - 1
 
 
@@ -128,7 +130,7 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     need = F.ceil(c("n") * percent / 100).cast("int")
     lines = lines.select("id", "h", "pos", "n", F.xxhash64("tokens", "n").alias("key"), F.slice("tokens", 1, c("n") - need + 1).alias("prefix"), sketches(c("tokens"), c("n"), percent).alias("sketch"))
     lines = work.save(lines, "lines")
-    sets = work.save(lines.groupBy("key").agg(F.min(F.struct("id", "pos", "h")).alias("first"), *[F.first(x).alias(x) for x in ("n", "prefix", "sketch")]), "sets")
+    sets = work.save(lines.groupBy("key").agg(F.min(F.struct("id", "pos", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(x).alias(x) for x in ("n", "prefix", "sketch")]), "sets")
     places = work.save(lines.select("id", "h", "pos", "key"), "places")
     work.drop("lines")
     del lines
@@ -158,8 +160,11 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
         late = late.unionByName(verified(ordered.join(done.withColumnRenamed("key", "x"), "x", "left_anti"), "rest").select(c("x").alias("key")))
     late = late.distinct().withColumn("late", F.lit(True))
 
-    first = sets.select("key", "first").join(late, "key", "left")
-    gone = places.join(first, "key").where(c("late") | (F.struct("id", "pos", "h") != c("first")))
+    first = sets.select("key", "first", "copies").join(late, "key", "left")
+    often = places.count() // OFTEN_SHARE  # more copies than this have OFTEN_SHARE sets at most
+    usual, common_ones = first.where(c("copies") <= often), first.where(c("copies") > often)
+    found = places.join(F.broadcast(common_ones), "key").unionByName(places.join(F.broadcast(common_ones.select("key")), "key", "left_anti").join(usual, "key"))
+    gone = found.where(c("late") | (F.struct("id", "pos", "h") != c("first")))
     gone = work.save(gone.groupBy("id", "h").agg(F.collect_set("pos").alias("gone")), "gone")
     for part in ("places", "sets", "settled", "rest", *[f"met-{lanes}" for _, lanes in CLASSES]):
         work.drop(part)
@@ -186,18 +191,21 @@ def _stars(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _class_pairs(sets: DataFrame, low: int, top: int, lanes: int, percent: int) -> DataFrame:
-    """``a, b``: pairs that may be similar, of which the longer one has more than ``low`` words and no more than ``top``, and not both are settled."""
+    """``a, b``: pairs that may be similar, of which the longer one has more than ``low`` words and no more than ``top``, and the later one isn't settled."""
     c = F.col
-    own = [c("key"), c("n"), c("settled"), *[_lane(c("sketch"), i, lanes).alias(f"s{i}") for i in range(lanes)]]
+    names = ["key", "n", "settled", "id", *[f"s{i}" for i in range(lanes)]]
+    lean = sets.select("key", "n", "settled", c("first.id").alias("id"), "prefix", *[_lane(c("sketch"), i, lanes).alias(f"s{i}") for i in range(lanes)])
     # ceil(2t / (1 + t) * n) words of the shorter side are shared at least
     shared = F.ceil(2 * percent * c("n") / (100 + percent)).cast("int")
-    shorter = sets.where((c("n") * 100 >= percent * (low + 1)) & (c("n") <= top)).select(*own, F.posexplode(F.slice("prefix", 1, c("n") - shared + 1)).alias("p", "token"))
-    longer = sets.where((c("n") > low) & (c("n") <= top)).select(*own, F.posexplode("prefix").alias("p", "token"))
+    shorter = lean.where((c("n") * 100 >= percent * (low + 1)) & (c("n") <= top)).select(*names, F.posexplode(F.slice("prefix", 1, c("n") - shared + 1)).alias("p", "token"))
+    longer = lean.where((c("n") > low) & (c("n") <= top)).select(*names, F.posexplode("prefix").alias("p", "token"))
     a, b = shorter.alias("a"), longer.alias("b")
     gap = reduce(lambda x, y: x + y, [F.bit_count(c(f"a.s{i}").bitwiseXOR(c(f"b.s{i}"))) for i in range(lanes)])
     order = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.key") < c("b.key")))
     place = (100 + percent) * F.least(c("a.n") - c("a.p"), c("b.n") - c("b.p")) >= percent * (c("a.n") + c("b.n"))
-    meets = (c("a.token") == c("b.token")) & order & place & _may_link(c("a.n"), c("b.n"), gap, percent) & (c("a.settled").isNull() | c("b.settled").isNull())
+    # the later one isn't settled; ids tell which that may be
+    open_ = (c("a.settled").isNull() & (c("a.id") >= c("b.id"))) | (c("b.settled").isNull() & (c("b.id") >= c("a.id")))
+    meets = (c("a.token") == c("b.token")) & order & place & _may_link(c("a.n"), c("b.n"), gap, percent) & open_
     return a.join(b, meets).select(c("a.key").alias("a"), c("b.key").alias("b"))
 
 

@@ -49,7 +49,6 @@ BLOCK_SETS = 512
 BROADCAST_IDS = 1_000_000
 _HASH_BITS = 51
 _HASH = U64((1 << _HASH_BITS) - 1)
-_NO_ID = -(1 << 63)
 _DOCS_A_BATCH = 2048
 
 
@@ -226,7 +225,7 @@ def frequent_slots(texts: DataFrame, k: int) -> np.ndarray:
     return (counts.reshape(-1) >= max(FREQUENT, FREQUENT_TIMES * counts.mean()))
 
 
-_INDEXED = "id long, crc long, n long, node long, sigs array<long>, sketch binary"
+_INDEXED = "id long, h long, n long, node long, sigs array<long>, sketch binary"
 
 
 def _index(k: int, percent: int, frequent):
@@ -240,13 +239,13 @@ def _index(k: int, percent: int, frequent):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id").combine_chunks(),
-                    b.column("crc").combine_chunks(),
+                    b.column("h").combine_chunks(),
                     pa.array(s.n, pa.int64()),
                     pa.array(s.digests().view(np.int64), mask=s.n == 0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     pa.array(s.sketches(percent), pa.binary()),
                 ],
-                names=["id", "crc", "n", "node", "sigs", "sketch"],
+                names=["id", "h", "n", "node", "sigs", "sketch"],
             )
 
     return run
@@ -340,9 +339,9 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent:
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if (n := ids.count()) == 0:
         return pairs.select("a", "b")
-    chosen = reps.select("node", "id", "crc").join(ids, "node", "left_semi").dropDuplicates(["node"])
+    chosen = reps.select("node", "id", "h").join(ids, "node", "left_semi").dropDuplicates(["node"])
     chosen = F.broadcast(chosen) if n <= BROADCAST_IDS else chosen
-    sets = work.save(texts.join(chosen, ["id", "crc"]).select("node", "text").mapInArrow(_token_sets(k), "node long, tokens binary").dropDuplicates(["node"]), f"{name}-sets")
+    sets = work.save(texts.join(chosen, ["id", "h"]).select("node", "text").mapInArrow(_token_sets(k), "node long, tokens binary").dropDuplicates(["node"]), f"{name}-sets")
     left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
     out = work.save(both.mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
@@ -352,9 +351,11 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent:
 
 
 def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row; ``100 * |x & y| >= percent * |x | y|`` links two texts.
+    """``doc_id, n_shingles, component_id, row_hash, is_first`` of every row; ``100 * |x & y| >= percent * |x | y|`` links two texts.
 
-    component_id is the smallest id that links reach, itself included.
+    component_id is the smallest id that links reach, itself included. ``row_hash`` tells rows of one id
+    apart by their texts (``common.row_key``); ``is_first`` marks one row of each component, of the smallest
+    id, where no id comes first, and the smallest hash among those.
 
     * null and empty texts, and those without words, have an empty set and link with nothing
     * texts with fewer than ``shingle_words`` words have one shingle, the whole sequence
@@ -365,14 +366,15 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     common.small_batches(spark)
     work = common.Workspace(spark, "jaccard")
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), text.alias("text"))
+    key_id, key_h = common.row_key(F.col(id_col), text)
+    rows = docs.select(key_id.alias("id"), key_h.alias("h"), text.alias("text"))
     bits = np.packbits(frequent_slots(rows.select("text"), shingle_words)).tobytes()  # SLOTS bits
     frequent = spark.sparkContext.broadcast(bits)
     indexed = work.save(rows.mapInArrow(_index(shingle_words, percent, frequent), _INDEXED), "indexed")
-    first = indexed.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "crc")).alias("rep"))
+    first = indexed.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"))
     # one row for each node: repeated rows would cancel in the XOR below
-    reps = indexed.where("node is not null").dropDuplicates(["node", "id", "crc"]).join(first.select("node", F.col("rep.id").alias("id"), F.col("rep.crc").alias("crc")), ["node", "id", "crc"])
-    reps = work.save(reps.select("node", "id", "crc", "n", "sigs", "sketch"), "reps")
+    reps = indexed.where("node is not null").dropDuplicates(["node", "id", "h"]).join(first.select("node", "rep.id", "rep.h"), ["node", "id", "h"])
+    reps = work.save(reps.select("node", "id", "h", "n", "sigs", "sketch"), "reps")
     common.release_shuffles(spark)
 
     # sets by signature; a signature of one set is dropped, and sets that meet in many signatures alike meet once
@@ -402,9 +404,12 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     work.drop("dealt")
     labels = connected_components(near.union(rest), work)
 
-    per_node = first.select("node", F.col("rep.id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = per_node.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = per_node.join(per_label, "label").select("node", "component")
-    out = indexed.select("id", "n", "node").join(of_node, "node", "left")
-    back = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), back("id")).otherwise(back("component")).alias("component_id"))
+    per_node = first.select("node", F.col("rep").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_label = per_node.groupBy("label").agg(F.min("least").alias("least"))
+    of_node = per_node.select("node", "label").join(per_label, "label").select("node", "least")
+    out = indexed.select("id", "h", "n", "node").join(of_node, "node", "left")
+    component = F.coalesce("least", F.struct("id", "h"))
+    given = lambda row: F.when(row["h"] >= 0, row["id"])
+    return out.select(
+        given(F.struct("id", "h")).alias("doc_id"), F.col("n").alias("n_shingles"), given(component).alias("component_id"), F.col("h").alias("row_hash"), (component == F.struct("id", "h")).alias("is_first")
+    )

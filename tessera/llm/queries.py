@@ -35,7 +35,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similarity_components(read(spark, sf_dir, "documents"))
+    return ngram_join.similarity_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,6 @@ PREFIX_SLOTS, SLICES = 1 << 16, 256
 #: Landmarks that one task compares.
 BUCKET_LANDMARKS = 1_000_000
 BATCH_BYTES = 6 << 20
-_NO_ID = -(1 << 63)
 
 
 class Batch:
@@ -45,11 +44,11 @@ class Batch:
 
     def __init__(self, b: pa.Table, window: int):
         self.id = np.asarray(b.column("id"), dtype=np.int64)
-        self.crc = np.asarray(b.column("crc"), dtype=np.uint32)
+        self.hash = np.asarray(b.column("row_hash"), dtype=np.int64)
         buf, starts, _ = common.text_bytes(b.column("text"))
         self.words = common.Words(buf, starts, common.BLANK_SEPARATED)
         once = np.zeros(len(starts), bool)
-        once[np.unique(np.stack((self.id, self.crc.astype(np.int64))), axis=1, return_index=True)[1]] = True
+        once[np.unique(np.stack((self.id, self.hash)), axis=1, return_index=True)[1]] = True
         count = np.where(once, self.words.count, 0)
         self.h = self.words.hashes()
         self.at = common.window_starts(count, self.words.first, window)
@@ -77,19 +76,19 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def pack(doc_id: np.ndarray, crc: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns of entries, sorted by document; a document's id and checksum are stored once."""
-    first = _runs(doc_id, crc)
+def pack(doc_id: np.ndarray, row_hash: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns of entries, sorted by document; a document's id and hash are stored once."""
+    first = _runs(doc_id, row_hash)
     sizes = np.diff(np.append(first, len(doc_id)))
     head = struct.pack("<II", len(first), len(doc_id))
-    return b"".join([head, doc_id[first].astype("<i8").tobytes(), crc[first].astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), *[c.tobytes() for c in columns]])
+    return b"".join([head, doc_id[first].astype("<i8").tobytes(), row_hash[first].astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), *[c.tobytes() for c in columns]])
 
 
 def unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     n_docs, n = struct.unpack_from("<II", raw)
     at = 8
     out = []
-    for kind in ("<i8", "<u4", "<u4"):
+    for kind in ("<i8", "<i8", "<u4"):
         out.append(np.frombuffer(raw, kind, n_docs, at))
         at += n_docs * np.dtype(kind).itemsize
     cols = [np.repeat(out[0], out[2]), np.repeat(out[1], out[2])]
@@ -103,13 +102,13 @@ def _join(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)]
 
 
-def _by_group(group: np.ndarray, doc_id: np.ndarray, crc: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((crc, doc_id, group))
-    group, doc_id, crc = group[order], doc_id[order], crc[order]
+def _by_group(group: np.ndarray, doc_id: np.ndarray, row_hash: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    order = np.lexsort((row_hash, doc_id, group))
+    group, doc_id, row_hash = group[order], doc_id[order], row_hash[order]
     columns = [c[order] for c in columns]
     first = _runs(group)
     for a, z in zip(first.tolist(), [*first[1:].tolist(), len(group)]):
-        yield int(group[a]), pack(doc_id[a:z], crc[a:z], *[c[a:z] for c in columns])
+        yield int(group[a]), pack(doc_id[a:z], row_hash[a:z], *[c[a:z] for c in columns])
 
 
 # ------------------------------------------------------------------ pass 1: landmarks
@@ -126,7 +125,7 @@ def _landmarks(window: int, buckets: int):
             place, mark, doc = x.place[new][order], x.mark[new][order], x.doc[new][order]
             keep = np.concatenate(([True], place[1:] != place[:-1]))
             mark, doc = mark[keep], doc[keep]
-            rows = list(_by_group((mark % np.uint64(buckets)).astype(np.int64), x.id[doc], x.crc[doc], [mark]))
+            rows = list(_by_group((mark % np.uint64(buckets)).astype(np.int64), x.id[doc], x.hash[doc], [mark]))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows]), pa.array([r for _, r in rows], pa.binary())], names=["bucket", "entries"])
         parts = counts.reshape(SLICES, -1)
         some = np.flatnonzero(parts.any(axis=1))
@@ -140,21 +139,21 @@ def _repeated_landmarks(key: tuple, t: pa.Table) -> pa.Table:
     raws = t.column("entries").to_pylist()
     if bucket < 0:  # a slice of the prefix counts
         total = np.sum([np.frombuffer(r, "<i8") for r in raws], axis=0)
-        return pa.table({"id": pa.array([bucket], pa.int64()), "crc": pa.array([None], pa.int64()), "marks": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-    doc_id, crc, mark = _join([unpack(r, "<u8") for r in raws])
+        return pa.table({"id": pa.array([bucket], pa.int64()), "row_hash": pa.array([None], pa.int64()), "marks": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    doc_id, row_hash, mark = _join([unpack(r, "<u8") for r in raws])
     order = np.argsort(mark)
-    mark, doc_id, crc = mark[order], doc_id[order], crc[order]
+    mark, doc_id, row_hash = mark[order], doc_id[order], row_hash[order]
     first = _runs(mark)
     size = np.diff(np.append(first, len(mark)))
     common.trim()
     many = np.repeat(size > 1, size)
-    mark, doc_id, crc = mark[many], doc_id[many], crc[many]
-    order = np.lexsort((mark, crc, doc_id))
-    mark, doc_id, crc = mark[order], doc_id[order], crc[order]
-    first = _runs(doc_id, crc)
+    mark, doc_id, row_hash = mark[many], doc_id[many], row_hash[many]
+    order = np.lexsort((mark, row_hash, doc_id))
+    mark, doc_id, row_hash = mark[order], doc_id[order], row_hash[order]
+    first = _runs(doc_id, row_hash)
     ends = [*first[1:].tolist(), len(mark)]
     marks = [np.unique(mark[a:z]).astype("<u8").tobytes() for a, z in zip(first.tolist(), ends if len(first) else [])]
-    return pa.table({"id": pa.array(doc_id[first], pa.int64()), "crc": pa.array(crc[first].astype(np.int64), pa.int64()), "marks": pa.array(marks, pa.binary())})
+    return pa.table({"id": pa.array(doc_id[first], pa.int64()), "row_hash": pa.array(row_hash[first].astype(np.int64), pa.int64()), "marks": pa.array(marks, pa.binary())})
 
 
 def prefix_groups(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,9 +198,9 @@ def _suffixes(window: int, groups):
             run20 = common.rolling(x.h, window, seed=2)[at]
             other = common.rolling(x.words.hashes(seed=1), window, seed=3)[at].astype(np.uint32)
             pos = (at - x.words.first[doc]).astype(np.uint32)
-            doc_id, crc = x.id[doc], x.crc[doc]
+            doc_id, row_hash = x.id[doc], x.hash[doc]
             # what repeats within the batch is settled here; only the first of equal runs travels
-            order = np.lexsort((pos, crc, doc_id, other, run20))
+            order = np.lexsort((pos, row_hash, doc_id, other, run20))
             firsts = _runs(run20[order], other[order])
             lead = np.zeros(len(order), bool)
             lead[firsts] = True
@@ -210,9 +209,9 @@ def _suffixes(window: int, groups):
             four = common.rolling(x.h, 4)[at[go]]
             deal = np.where(words[slot] == 4, four, run20[go]) % spread[slot].astype(np.uint64)
             group = first[slot] + deal.astype(np.int64)
-            rows = [(g, True, r) for g, r in _by_group(group, doc_id[go], crc[go], [pos[go], run20[go], other[go]])]
+            rows = [(g, True, r) for g, r in _by_group(group, doc_id[go], row_hash[go], [pos[go], run20[go], other[go]])]
             if len(stay):
-                rows += [(g, False, r) for g, r in _by_group(np.full(len(stay), int(group[0])), doc_id[stay], crc[stay], [pos[stay]])]
+                rows += [(g, False, r) for g, r in _by_group(np.full(len(stay), int(group[0])), doc_id[stay], row_hash[stay], [pos[stay]])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["grp", "leaf", "entries"])
 
     return run
@@ -225,23 +224,23 @@ def _subtree(key: tuple, t: pa.Table) -> pa.Table:
     leaves = [unpack(r, "<u4", "<u8", "<u4") for r, yes in zip(raws, leaf) if yes]
     settled = [unpack(r, "<u4") for r, yes in zip(raws, leaf) if not yes]
     if leaves:
-        doc_id, crc, pos, run, other = _join(leaves)
-        order = np.lexsort((pos, crc, doc_id, other, run))
-        doc_id, crc, pos, run, other = (c[order] for c in (doc_id, crc, pos, run, other))
+        doc_id, row_hash, pos, run, other = _join(leaves)
+        order = np.lexsort((pos, row_hash, doc_id, other, run))
+        doc_id, row_hash, pos, run, other = (c[order] for c in (doc_id, row_hash, pos, run, other))
         again = np.ones(len(run), bool)
         node = _runs(run, other)
         again[node] = False
         # the same place may arrive twice (a repeated row in another batch): it doesn't repeat itself
         head = np.repeat(node, np.diff(np.append(node, len(run))))
-        again &= (doc_id != doc_id[head]) | (crc != crc[head]) | (pos != pos[head])
-        settled.append([doc_id[again], crc[again], pos[again]])
-    doc_id, crc, pos = _join(settled)
-    order = np.lexsort((pos, crc, doc_id))
-    doc_id, crc, pos = doc_id[order], crc[order], pos[order]
-    first = _runs(doc_id, crc)
+        again &= (doc_id != doc_id[head]) | (row_hash != row_hash[head]) | (pos != pos[head])
+        settled.append([doc_id[again], row_hash[again], pos[again]])
+    doc_id, row_hash, pos = _join(settled)
+    order = np.lexsort((pos, row_hash, doc_id))
+    doc_id, row_hash, pos = doc_id[order], row_hash[order], pos[order]
+    first = _runs(doc_id, row_hash)
     ends = [*first[1:].tolist(), len(pos)]
     out = [pos[a:z].astype("<u4").tobytes() for a, z in zip(first.tolist(), ends if len(first) else [])]
-    return pa.table({"id": pa.array(doc_id[first], pa.int64()), "crc": pa.array(crc[first].astype(np.int64), pa.int64()), "starts": pa.array(out, pa.binary())})
+    return pa.table({"id": pa.array(doc_id[first], pa.int64()), "row_hash": pa.array(row_hash[first].astype(np.int64), pa.int64()), "starts": pa.array(out, pa.binary())})
 
 
 # ------------------------------------------------------------------ pass 3: removal
@@ -299,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
     """``doc_id, n_words, n_removed, kept, spans`` of every row: removed word ranges [start, stop), and the other words joined by one space.
 
     * null and empty texts have no words
-    * rows with a null id come before all others; rows that share an id come in the order of their texts' checksums
+    * rows with a null id come before all others; rows that share an id come in the order of their texts' hashes
     * rows with the same id and the same text count as one document and get the same result
     * an empty table gives no rows; other columns are not read
     """
@@ -307,25 +306,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
     common.small_batches(spark)
     work = common.Workspace(spark, "repeats")
     text = F.col(text_col).cast("string")
+    key_id, key_hash = common.row_key(F.col(id_col), text)
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), text.alias("text")
+        F.col(id_col).cast("bigint").alias("doc_id"), key_id.alias("id"), key_hash.alias("row_hash"), text.alias("text")
     )
     landmarks = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 50
     least = max(64, common.shuffle_parts(spark))
     buckets = max(48, landmarks // BUCKET_LANDMARKS)
-    found = rows.select("id", "crc", "text").mapInArrow(_landmarks(window, buckets), "bucket long, entries binary").groupBy("bucket").applyInArrow(_repeated_landmarks, "id long, crc long, marks binary")
+    found = rows.select("id", "row_hash", "text").mapInArrow(_landmarks(window, buckets), "bucket long, entries binary").groupBy("bucket").applyInArrow(_repeated_landmarks, "id long, row_hash long, marks binary")
     found = work.save(found, "landmarks")
     common.release_shuffles(spark)
     counts = np.zeros((SLICES, PREFIX_SLOTS // SLICES), np.int64)
-    for r in found.where("crc is null").select("id", "marks").collect():  # SLICES rows at most
+    for r in found.where("row_hash is null").select("id", "marks").collect():  # SLICES rows at most
         counts[-1 - r["id"]] = np.frombuffer(r["marks"], "<i8")
     groups = spark.sparkContext.broadcast(prefix_groups(counts.reshape(-1), least))  # a fixed number of slots
-    marks = found.where("crc is not null").groupBy("id", "crc").agg(F.collect_list("marks").alias("marks"))
-    near = rows.select("id", "crc", "text").join(marks, ["id", "crc"])
+    marks = found.where("row_hash is not null").groupBy("id", "row_hash").agg(F.collect_list("marks").alias("marks"))
+    near = rows.select("id", "row_hash", "text").join(marks, ["id", "row_hash"])
     leaves = near.mapInArrow(_suffixes(window, groups), "grp long, leaf boolean, entries binary")
-    repeated = work.save(leaves.groupBy("grp").applyInArrow(_subtree, "id long, crc long, starts binary"), "starts")
+    repeated = work.save(leaves.groupBy("grp").applyInArrow(_subtree, "id long, row_hash long, starts binary"), "starts")
     work.drop("landmarks")
     del found, marks, near, leaves
     common.release_shuffles(spark)
-    starts = repeated.groupBy("id", "crc").agg(F.collect_list("starts").alias("starts"))
-    return rows.join(starts, ["id", "crc"], "left").select("doc_id", "text", "starts").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, stop: long>>")
+    starts = repeated.groupBy("id", "row_hash").agg(F.collect_list("starts").alias("starts"))
+    return rows.join(starts, ["id", "row_hash"], "left").select("doc_id", "text", "starts").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, stop: long>>")

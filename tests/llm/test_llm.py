@@ -206,7 +206,7 @@ def test_components_frequent_tokens(spark, monkeypatch):
 def test_components_odd_tables(spark):
     assert ngram_join.similarity_components(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, None), (7, ""), (8, "")], "doc_id long, text string")
-    got = sorted(tuple(r) for r in ngram_join.similarity_components(rows).where("doc_id is not null").collect())
+    got = sorted(tuple(r) for r in ngram_join.similarity_components(rows).where("doc_id is not null").select("doc_id", "n_shingles", "component_id").collect())
     assert got == [(5, 2, None), (5, 2, None), (6, 0, 6), (7, 0, 7), (8, 0, 8)]
 
 
@@ -502,3 +502,22 @@ def test_pipeline_near_duplicates_under_repeated_ids(spark, tmp_path):
     assert out.columns == docs.columns and len(kept) == len(set(kept)) == 9
     assert sum(i == 7 for i, _ in kept) == 1
     assert {x for x in kept if x[0] != 7} == {(0, base[0]), (1, base[1]), (8, base[3]), (8, base[4]), (10, base[5]), (11, ""), (12, ""), (13, None)}
+
+
+# ------------------------------------------------------------------ rows that share an id
+@pytest.mark.parametrize("times", [2, 3])
+def test_components_of_repeated_rows(spark, times):
+    docs = corpus(seed=8, n=60)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_components(frame(spark, docs).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times))))).collect()}
+    assert got == brute.jaccard_components(docs)
+
+
+def test_rows_of_one_id_and_checksum(spark):
+    """Texts of one CRC-32 under one id, or under none, stay apart."""
+    rows = [(7, LIKE_CRC[0]), (7, LIKE_CRC[1]), (None, LIKE_CRC[0]), (None, LIKE_CRC[1]), (-(1 << 63), LIKE_CRC[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["is_first"]) for r in ngram_join.similarity_components(df).collect()), key=repr)
+    assert got == sorted([(7, None, False), (7, None, False), (None, None, True), (None, None, True), (-(1 << 63), None, False)], key=repr)
+    long = [(i, t + " " + " ".join(f"q{k}" for k in range(20))) for i, t in rows]
+    kept = [(r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(long, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, 0), (None, 20), (-(1 << 63), 26), (7, 26), (7, 26)], key=repr)

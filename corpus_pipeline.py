@@ -40,7 +40,7 @@ def _columns(docs: DataFrame) -> DataFrame:
     return own.select(*[c for c in docs.columns])
 
 
-def _anti(docs: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+def _anti(docs: DataFrame, gone: DataFrame, on: str | list[str]) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti")
 
 
@@ -60,16 +60,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release_all()
     work = common.Workspace(spark, "groups")
-    least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keyed = docs.withColumn("__key", F.xxhash64(least_id, "text"))
-    found = work.save(ngram_join.similarity_components(keyed, SHINGLE_WORDS, PERCENT, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id"), "found")
-    ids = keyed.select("__key", least_id.alias("id")).distinct()
-    first = found.distinct().join(ids, "__key").groupBy("component_id").agg(F.min(F.struct("id", "__key"))["__key"].alias("__key"))
-    gone = work.save(found.select("__key").distinct().join(first, "__key", "left_anti"), "gone")
-    kept = _anti(keyed, gone, "__key")
-    if not found.groupBy("__key").count().where("count > 1").isEmpty():  # repeated rows: one of equal rows stays
-        kept = kept.dropDuplicates(["__key"])
-    return _columns(kept.drop("__key"))
+    least_id, row_hash = common.row_key(F.col("doc_id"), F.col("text"))
+    key = ["__id", "__hash"]
+    keyed = docs.withColumns(dict(zip(key, (least_id, row_hash))))
+    found = ngram_join.similarity_components(docs, SHINGLE_WORDS, PERCENT)
+    found = work.save(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("row_hash").alias("__hash"), "is_first"), "found")
+    gone = work.save(found.where(~F.col("is_first")).select(*key).distinct(), "gone")
+    kept = _anti(keyed, gone, key)
+    if not found.groupBy(*key).count().where("count > 1").isEmpty():  # repeated rows: one of equal rows stays
+        kept = kept.dropDuplicates(key)
+    return _columns(kept.drop(*key))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters that are encoded without halving.
-LEAF_CHARS = 8192
+LEAF_CHARS = 128
 #: Texts are worked on in groups of about so many bytes.
 BATCH_BYTES = 1 << 20
 #: First width of a window on either side of a seam; doubled until both ends are certain.

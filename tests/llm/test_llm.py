@@ -405,6 +405,19 @@ def test_bpe_joins(leaf):
         assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_texts_are_joined(docs, monkeypatch):
+    """Production parameters: every text longer than a leaf goes through joins, one less than it has leaves."""
+    coder, joins = bpe.TreeCodec(RANKS, PATTERN), []
+    own = bpe.TreeCodec._join
+    monkeypatch.setattr(bpe.TreeCodec, "_join", lambda self, *a: joins.append(1) or own(self, *a))
+    long = [t for t in docs.values() if t and len(t) > bpe.LEAF_CHARS]
+    assert len(long) > 20
+    for text in long:
+        joins.clear()
+        coder.encode(text)
+        assert len(joins) >= len(text) // bpe.LEAF_CHARS
+
+
 def test_pieces_are_independent():
     """The token files' memo splits where every byte-level splitting does."""
     import pyarrow as pa

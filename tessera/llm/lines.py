@@ -13,10 +13,10 @@ line's length, so joins run class by class: a class holds the pairs whose longer
 has a length in its range, and only long lines carry wide sketches.
 
 Only whether an *earlier* line is similar matters. Equal sets are one line with its
-first place. In the buckets of their few rarest words lines first meet the earliest
-line alone; those that are found similar to it are settled, and pairs of settled lines
-need not meet again. So a group of near copies costs a pair for each member, not for
-each two.
+first place. In the buckets of a few of those words lines first meet the few
+earliest lines of like length alone; those that are found similar to one are settled,
+and pairs whose later line is settled need not meet again. So a group of near copies
+costs a few pairs for each member, not one for each two.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ PERCENT = 80
 SLOTS = 1 << 16
 #: Lengths of the longer side up to which pairs belong to a class, and 64-bit lanes of its sketches.
 CLASSES = ((96, 1), (400, 4), (1600, 16), (1 << 31, 64))
-#: Rarest words in whose buckets lines meet the earliest line; buckets of frequent words are split into parts of about so many lines.
-STAR_WORDS, STAR_BUCKET_LOG2 = 4, 12
+#: Words of a prefix, those of smallest hash, in whose buckets lines of like length meet the earliest ones; buckets of frequent words are split into parts of about so many lines.
+STAR_WORDS, STAR_BUCKET_LOG2 = 6, 12
+#: Earliest lines of a bucket that the others meet first.
+STAR_HUBS = 4
 #: Lists of documents that are broadcast have at most so many rows; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: A set with more than one in so many of all lines is joined by broadcast.
@@ -173,21 +175,30 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 
 def _stars(sets: DataFrame, percent: int) -> DataFrame:
-    """``x, y``: lines and the earliest line in the bucket of one of their rarest words, where they may be similar."""
+    """``x, y``: lines and the earliest lines in the bucket of one of their words, where they may be similar."""
     c = F.col
     # one lane is as good as four for short lines; wider sketches are folded to four lanes
     wide = F.when(F.size("sketch") <= 4, c("sketch")).otherwise(F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", F.lit(i + 4 * k)) for k in range(4)]) for i in range(4)]))
     wide = F.when(F.size("sketch") <= 16, wide).otherwise(F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", F.lit(i + 4 * k)) for k in range(16)]) for i in range(4)]))
-    posted = sets.select("key", "first", "n", wide.alias("sketch"), F.explode(F.slice("prefix", 1, STAR_WORDS)).alias("token"))
-    frequent = F.greatest(F.shiftright("token", 56).cast("int") - STAR_BUCKET_LOG2, F.lit(0))
+    # by hash, the class in the last byte: the rarest words of near copies are those in which they differ
+    by_hash = F.sort_array(F.transform("prefix", lambda t: F.shiftleft(t, 8).bitwiseOR(F.shiftrightunsigned(t, 56))))
+    posted = sets.select("key", "first", "n", wide.alias("sketch"), F.slice(by_hash, 1, STAR_WORDS).alias("some")).select("key", "first", "n", "sketch", F.explode("some").alias("token"))
+    frequent = F.greatest(c("token").bitwiseAND(F.lit(255)).cast("int") - STAR_BUCKET_LOG2, F.lit(0))
     part = F.pmod(c("key"), F.call_function("shiftleft", F.lit(1).cast("bigint"), frequent))
-    in_order = Window.partitionBy("token", part).orderBy("first", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = posted.withColumn("hub", F.first(F.struct("key", "n", "sketch")).over(in_order)).where(c("key") != c("hub.key"))
+    like = F.floor(4 * F.log("n")).cast("int")  # lengths that differ by a quarter or less
+    in_order = Window.partitionBy("token", like, part).orderBy("first", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    star = posted.select("key", "n", "sketch", *[F.nth_value(F.struct("key", "n", "sketch"), i + 1).over(in_order).alias(f"hub{i}") for i in range(STAR_HUBS)])
     # of 64 bits or, where both have them, of 256
     one = lambda s: F.when(F.size(s) == 1, F.get(s, F.lit(0))).otherwise(reduce(lambda a, b: a.bitwiseXOR(b), [F.get(s, F.lit(i)) for i in range(4)]))
-    gap4 = reduce(lambda a, b: a + b, [F.bit_count(F.get(c("sketch"), F.lit(i)).bitwiseXOR(F.get(c("hub.sketch"), F.lit(i)))) for i in range(4)])
-    gap = F.when((F.size("sketch") == 4) & (F.size("hub.sketch") == 4), gap4).otherwise(F.bit_count(one(c("sketch")).bitwiseXOR(one(c("hub.sketch")))))
-    return star.where(_may_link(c("n"), c("hub.n"), gap, percent)).select(c("key").alias("x"), c("hub.key").alias("y")).distinct()
+
+    def near(hub: str) -> Column:
+        other = c(f"{hub}.sketch")
+        four = reduce(lambda a, b: a + b, [F.bit_count(F.get(c("sketch"), F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(4)])
+        gap = F.when((F.size("sketch") == 4) & (F.size(other) == 4), four).otherwise(F.bit_count(one(c("sketch")).bitwiseXOR(one(other))))
+        return F.when((c("key") != c(f"{hub}.key")) & _may_link(c("n"), c(f"{hub}.n"), gap, percent), c(f"{hub}.key"))
+
+    hubs = F.array_compact(F.array(*[near(f"hub{i}") for i in range(STAR_HUBS)]))
+    return star.select(c("key").alias("x"), hubs.alias("hubs")).where(F.size("hubs") > 0).select("x", F.explode("hubs").alias("y")).distinct()
 
 
 def _class_pairs(sets: DataFrame, low: int, top: int, lanes: int, percent: int) -> DataFrame:

@@ -415,7 +415,7 @@ def test_bpe_texts_are_joined(docs, monkeypatch):
     for text in long:
         joins.clear()
         coder.encode(text)
-        assert len(joins) >= len(text) // bpe.LEAF_CHARS
+        assert len(joins) >= len(text) / bpe.LEAF_CHARS - 1
 
 
 def test_pieces_are_independent():

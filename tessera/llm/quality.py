@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams.
 
 Features are words and word pairs, hashed to a fixed number of weights, present or
-absent, divided by the root of their number, and a few hashed shape features of the
-text. Weights are learned with follow-the-regularised-leader updates (per-weight
+absent, divided by the root of their number, the words' shapes, hashed likewise, and
+tenths of five shares of the whole text (``_habits``). Weights are learned with follow-the-regularised-leader updates (per-weight
 rates, L1 and L2). A score is the logistic of a sparse dot product.
 """
 
@@ -21,8 +21,8 @@ from . import common
 BITS = 20
 #: At most so many labelled rows are learned from, drawn by a hash of the id; the documented bound.
 TRAIN_ROWS = 12_000
-#: Learning rate and its offset, the two penalties, and the updates made in all (whole passes).
-ALPHA, BETA, L1, L2, UPDATES = 2.0, 1.0, 0.01, 0.05, 48_000
+#: Learning rate and its offset, the two penalties, and the passes over the labelled rows.
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.01, 0.05, 4
 #: Texts are worked on in groups of about so many bytes.
 BATCH_BYTES = 1 << 20
 #: Value of the features of a whole text and of the intercept.
@@ -63,8 +63,8 @@ class Features:
 
 
 def _habits(words: common.Words, h: np.ndarray, pair_at: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of a text's words, in tenths: word pairs that repeat a word, first occurrences, words that
-    end in no letter or digit, words without any, upper-case starts, pairs that occurred before."""
+    """Shares of a text's words, in tenths: words said twice in a row, first occurrences, words that
+    end in no letter or digit, words without any, words with two capitals or more."""
     total = np.maximum(words.count, 1)
     by_doc = np.argsort(h, kind="stable")
     by_doc = by_doc[np.argsort(doc[by_doc], kind="stable")]
@@ -129,12 +129,12 @@ class FTRL:
         self.n[at] = n + g * g
 
 
-def train(examples: Iterable[tuple[Features, np.ndarray]], bits: int = BITS, updates: int = UPDATES) -> np.ndarray:
+def train(examples: Iterable[tuple[Features, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights; the last of 2**bits + 1 is the intercept."""
     model = FTRL((1 << bits) + 1)
     data = [(f.slot.astype(np.int32), f.value.astype(np.float32), f.bound, y) for f, y in examples]
     bias = np.array([1 << bits], np.int32), np.array([HABIT], np.float32)
-    for p in range(max(1, -(-updates // max(1, sum(len(y) for *_, y in data))))):
+    for p in range(epochs):
         for slot, value, bound, y in data:
             for i in np.random.default_rng(p).permutation(len(y)):
                 part = slice(bound[i], bound[i + 1])

@@ -9,6 +9,7 @@ from math import log10
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,41 @@ def test_quality(spark):
     assert quality.score(df, quality.fit(df, labels.limit(0))).count() == 302
 
 
+def test_quality_updates():
+    """Weights against follow-the-regularised-leader in plain Python."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["red", "Blue!", "12", "green", "green"]) for _ in range(rng.randrange(12))) for _ in range(40)]
+    y = np.array([float("Blue!" in t) for t in texts])
+    f = quality.Features(pa.array(texts), bits=10)
+    got = quality.train([(f, y)], bits=10, epochs=3)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for p in range(3):
+        for i in np.random.default_rng(p).permutation(len(y)):
+            row = [(int(s), float(np.float32(v))) for s, v in zip(f.slot[f.bound[i] : f.bound[i + 1]], f.value[f.bound[i] : f.bound[i + 1]])] + [(1 << 10, float(np.float32(quality.HABIT)))]
+            w = {s: weight(s) for s, _ in row}
+            p1 = 1 / (1 + np.exp(-sum(w[s] * v for s, v in row)))
+            old = dict(n)
+            for s, v in dict(row).items():
+                g = (p1 - y[i]) * v
+                z[s] += g - ((old.get(s, 0) + g * g) ** 0.5 - old.get(s, 0) ** 0.5) / quality.ALPHA * w[s]
+                n[s] = old.get(s, 0) + g * g
+    assert got == pytest.approx([weight(i) for i in range((1 << 10) + 1)], abs=2e-3)
+
+
+def test_quality_ties_and_long_texts(spark):
+    """Equal texts have equal scores, whatever their ids; a very long text is scored whole."""
+    df = spark.createDataFrame([(1, "good words here"), (2, "good words here"), (None, "good words here"), (3, "bad " * 50_000 + "end"), (4, "bad " * 50_000)], "doc_id long, text string")
+    w = quality.fit(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))
+    got = [(r["doc_id"], r["score"]) for r in quality.score(df, w).collect()]
+    assert len({s for i, s in got if i in (1, 2, None)}) == 1 and dict(got)[3] < 0.5 < dict(got)[1]
+
+
 # ------------------------------------------------------------------ line dedup
 def test_lines(spark, docs):
     got = {r["doc_id"]: r for r in lines.dedupe_lines(frame(spark, docs)).collect()}

@@ -8,6 +8,7 @@ regular expressions of the contracts, whatever the script of the text.
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,9 +29,11 @@ _MIX_STEP, _MIX_A, _MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U6
 
 # ------------------------------------------------------------------ work folders
 def work_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names; a local one only where none is set and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

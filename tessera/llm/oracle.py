@@ -56,11 +56,22 @@ h AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
 y AS (SELECT doc_id, list_transform(string_split(regexp_replace(h, '(..)', '\\1,', 'g'), ','), lambda p: CASE WHEN p = '' THEN NULL ELSE CAST('0x' || p AS BIGINT) END) AS y, len(h) // 2 AS n FROM h),
 c AS (SELECT doc_id, n, xor(list_reduce(list_prepend(4294967295, list_filter(y, lambda v: v IS NOT NULL)), lambda a, v: xor(a >> 8, t[xor(a, v) % 256 + 1])), 4294967295) AS crc FROM y, t),
 n AS (SELECT COUNT(*) AS total, greatest(64, CAST(ceil(COUNT(*) / 2000000) AS BIGINT)) AS buckets FROM documents),
-r AS (SELECT c.doc_id, CAST(c.n + 16 AS BIGINT) AS size, CAST(c.crc AS BIGINT) AS text_crc32, s.shard, s.grown, CAST('0x' || substr(md5(CAST(c.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % n.buckets AS bucket FROM c JOIN s ON c.doc_id = s.doc_id, n)
+r AS (SELECT c.doc_id, CAST(c.n + 16 AS BIGINT) AS size, CAST(c.crc AS BIGINT) AS text_crc32, s.shard, s.grown, CAST('0x' || substr(md5(concat_ws(':', c.doc_id, CAST(c.crc AS BIGINT))), 1, 8) AS BIGINT) % n.buckets AS bucket FROM c JOIN s ON c.doc_id = s.doc_id, n)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM r
 """
 
+#: What op6 fixes exactly, without the model's own score.
+LM_BASE = rf"""
+WITH t AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+i AS (SELECT doc_id, list_append(regexp_extract_all({_LOWER.replace('text', "COALESCE(text, '')")}, '{_BLANK}'), ' ') AS w, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM documents),
+d AS (SELECT doc_id, w, xor(list_reduce(list_prepend(4294967295, b), lambda a, v: xor(a >> 8, t[xor(a, v) % 256 + 1])), 4294967295) % 5 = 1 AS held FROM i, t),
+k AS (SELECT doc_id, held, unnest(w) AS k FROM d), c AS (SELECT k, COUNT(*) AS c FROM k WHERE NOT held GROUP BY 1), n AS (SELECT SUM(c) AS n, COUNT(*) AS v FROM c)
+SELECT k.doc_id, k.held AS held_out, COUNT(*) AS n_tokens, COUNT(c.c) AS n_known, CAST(ANY_VALUE(n.n) AS BIGINT) AS train_tokens, round(SUM(log10((COALESCE(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 5) AS base_score
+FROM k LEFT JOIN c ON k.k = c.k, n GROUP BY 1, 2
+"""
+
 ORACLE = {
+    "lm_base_scores": LM_BASE,
     "op2_line_dedup": OP2,
     "op4_ngram_jaccard_join": OP4,
     "op7_substring_dedup": OP7,

@@ -47,6 +47,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", ~F.col("training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 fixes exactly, for SQL to check."""
+    return op6_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 5))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -70,4 +75,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), 40)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_lm_scoring, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_lm_scoring, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding, lm_base_scores)}

@@ -418,7 +418,7 @@ _TABLES: dict[bytes, Table] = {}
 
 
 def _table(counts: np.ndarray) -> Table:
-    key = zlib.adler32(counts.tobytes()).to_bytes(4, "big") + len(counts).to_bytes(8, "big")
+    key = counts.tobytes()
     if key not in _TABLES:
         _TABLES.clear()
         _TABLES[key] = Table(counts)

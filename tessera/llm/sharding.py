@@ -52,7 +52,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
     """Shard, slot and sizes of every row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     * null text: size 16, checksum 0, as for an empty text
-    * null id: key 0; it is numbered before other ids of its bucket
+    * null id: key 0; it is numbered before other ids of its bucket; buckets within a shard are dealt by id and text
     * repeated ids share a shard; equal rows get different slots, all the same in the set of results
     * an empty table gives no rows; other columns of the input are not read
     """
@@ -66,7 +66,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
     rows = rows.select("doc_id", "size", "text_crc32", F.col("jump.b").cast("int").alias("shard"), F.col("jump.g").cast("int").alias("grown_shard"))
     n = docs.count()
     buckets = max(LEAST_BUCKETS, -(-n // (n_shards * BUCKET_ROWS)))
-    digest = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8)
+    # by id and text: rows of one id, or of none, spread over all buckets
+    digest = F.substring(F.md5(F.concat_ws(":", "doc_id", "text_crc32").cast("binary")), 1, 8)
     rows = rows.withColumn("bucket", (F.conv(digest, 16, 10).cast("bigint") % buckets).cast("int"))
     sizes = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

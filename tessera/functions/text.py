@@ -7,8 +7,8 @@ Spark has no function for.
 
 from __future__ import annotations
 
+import html
 from functools import reduce
-from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,46 +64,53 @@ PLACEHOLDERS = (
 
 
 def unescape_html(c: Column) -> Column:
-    """Decode named and numeric character references; unknown names stay. Texts without ``&`` pass untouched."""
-    pattern = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    """Decode character references as HTML 5 does: all its names, with or without a semicolon, and its table of codes.
 
-    def of_code(number: Column) -> Column:
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    Only texts with ``&`` travel to Python; all others pass untouched.
+    """
+    import pandas as pd
+
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    some = F.when(c.contains("&"), c)
+    return F.coalesce(F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR)(some), c)
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with the value worked out once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
-    def one(ref: Column) -> Column:
-        body = F.substring(ref, 2, 1 << 20)
-        body = F.substring_index(body, ";", 1)
-        decimal = of_code(F.substring(body, 2, 12).try_cast("bigint"))
-        hexadecimal = of_code(F.conv(F.substring(body, 3, 12), 16, 10).try_cast("bigint"))
-        return F.coalesce(F.when(body.rlike("^#[0-9]"), decimal).when(body.rlike("^#[xX]"), hexadecimal).otherwise(F.try_element_at(names, body)), ref)
 
-    found = F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), one)
-    pieces = F.split(c, pattern, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
+# What is deleted or replaced, in this order. The first entry is a test that any text with a match passes.
+CLEANING = (
+    ("<", r"<[^>]+>", ""),
+    (r"[*_`#]", r"[*_`#]+", ""),
+    (r"[•●▪◦]", r"[•●▪◦]", "-"),
+    ("%%%", r"%{3,}", " "),
+    (r"http|www\.", r"(?U)https?://\S+|www\.\S+", ""),
+    ("@", r"(?U)\b[\w\.-]+@[\w\.-]+\.\w+\b", ""),
+    (r"\]\[", r"\[[^\]]+\]\[\d+\]", ""),
+    (r"\]:", r"\[\d+\]:.*", ""),
+    (r"[\[\]]", r"[\[\]]", ""),
+    (r"(?U)\s\s|[^\S ]", r"(?U)\s+", " "),
+)
 
 
 def clean_text(c: Column) -> Column:
-    """Strip markup, encoding artefacts, links and addresses; null where nothing but punctuation and symbols is left."""
-    out = unescape_html(c)
-    out = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), REPLACEMENTS.items(), out)
-    for pattern, to in (
-        (r"<[^>]+>", ""),
-        (r"[*_`#]+", ""),
-        (r"[•●▪◦]", "-"),
-        (r"%{3,}", " "),
-        (r"(?U)https?://\S+|www\.\S+", ""),
-        (r"(?U)\b[\w\.-]+@[\w\.-]+\.\w+\b", ""),
-        (r"\[[^\]]+\]\[\d+\]", ""),
-        (r"\[\d+\]:.*", ""),
-        (r"[\[\]]", ""),
-        (r"(?U)\s+", " "),
-    ):
-        out = F.regexp_replace(out, pattern, to)
-    out = F.trim(out)
-    return F.when(out.rlike(r"(?U)[^\p{P}\p{S}\s]"), out)
+    """Strip markup, encoding artefacts, links and addresses; null where nothing but punctuation and symbols is left.
+
+    A pattern runs over the texts that pass its test only; most pass none.
+    """
+    starts = "".join(sorted({k[0] for k in REPLACEMENTS}))
+    out = _let(unescape_html(c), lambda x: F.when(x.rlike(f"[{starts}]"), reduce(lambda y, kv: F.replace(y, F.lit(kv[0]), F.lit(kv[1])), REPLACEMENTS.items(), x)).otherwise(x))
+    for test, pattern, to in CLEANING:
+        out = _let(out, _guarded(test, pattern, to))
+    return _let(F.trim(out), lambda x: F.when(x.rlike(r"(?U)[^\p{P}\p{S}\s]"), x))
+
+
+def _guarded(test: str, pattern: str, to: str):
+    return lambda x: F.when(x.rlike(test), F.regexp_replace(x, pattern, to)).otherwise(x)
 
 
 def clean_copies(df: DataFrame, *columns: str) -> DataFrame:

@@ -106,8 +106,18 @@ def test_names(spark):
     assert names.comparison_key("Müller, Jörg") == "muller j"
     assert names.comparison_key("Prof Wei van der Berg") == "van der berg w"
     assert names.comparison_key(None) == ""
-    got = one(spark, names.strip_identifiers(c), t="Jane Smith (ORCID: 0000–0001–2345–678x)")
-    assert (got["name"], got["orcid"]) == ("Jane Smith", "0000-0001-2345-678X")
+    assert [names.comparison_key(x) for x in ("Wang Li", "Sir Ang", "Prof Ang", "Zu Wang", "Ann St Clair", "Ann (Bo) Lee Jr", "Dr", "Lee, , Ann")] == ["wang l", "ang s", "ang", "wang z", "st clair a", "lee a", "", "lee ,"]
+    given = {("", "Zhang", "Zhang Jianguo"): "Zhang, Jianguo", ("", "Patay-Horváth", "Patay-Horvath A."): "Patay-Horváth, A.", ("Ehecatl Antonio del", "Rio-Chanona", ""): "del Rio-Chanona, Ehecatl Antonio"}
+    given |= {("ANN", "ST CLAIR", None): "St Clair, Ann", ("Jo", "ZU BERG", None): "zu Berg, Jo", ("Morgan", "-Green", None): "Green, Morgan", (None, None, "Hogg‐Johnson 2, S."): "Hogg-Johnson, S.", (None, None, "Mendoza J.M.F."): "Mendoza, J. M. F."}
+    given |= {(None, None, "Dr"): "Dr", ("Y.C.", "LEE", None): "Lee, Y. C.", ("Ann Jr", "Lee", None): "Lee, Ann", (None, "Lee", "Kim Park"): "Lee", ("Al", "Lee", None): "Al Lee"}
+    assert {k: names.display_name(*k) for k in given} == given
+    assert [one(spark, names.normalise_name(c), t=x) for x in ("Dr Smith", "John Jr.", "Li Wang", "Wang Li")] == ["Dr Smith", "John Jr", "Wang L", "Wang Li"]
+    from html import unescape
+
+    odd = ["a&#150;b x", "&ampT &apos;q&apos; &lbrack;z&rbrack; w", "R&amp;D &notit; &#x110000; &#128; &nosuch; & alone", "plain", "caf&eacute &Eacute;t&eacute"]
+    assert [one(spark, text.unescape_html(c), t=x) for x in odd] == [unescape(x) for x in odd]
+    found = [one(spark, names.strip_identifiers(c), t=x) for x in ("Wooles, Ashley; id_orcid 0000–0001–7411–962x", "Louise S.; id_orcid 0000-0002-9451-3557 Natrajan", "Ann Lee;")]
+    assert [tuple(x) for x in found] == [("Wooles, Ashley", "0000-0001-7411-962X"), ("Louise S. Natrajan", "0000-0002-9451-3557"), ("Ann Lee", None)]
     assert one(spark, names.completeness(c), t="Smith, J. A.") == "initials_only"
     assert one(spark, names.completeness(c), t="Smith, Jane") == "full_forename"
     assert one(spark, names.completeness(c), t="Smith") == "surname_only"

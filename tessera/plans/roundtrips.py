@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, names, text
-from tessera.operators import audit, evaluate, outcomes, quality, rollup, tables
+from tessera.operators import audit, evaluate, learn, outcomes, quality, rollup, tables
 from tessera.plans.catalog import query, t
 from tessera.sources import io
 from tessera.streaming import incremental
@@ -294,3 +295,22 @@ def q02_q05_gates(spark, sf_dir):
             out.append((name, "stops"))
     return spark.createDataFrame(out, "gate string, outcome string")
 
+
+
+@query(
+    "m07_setups",
+    """
+WITH p AS (SELECT o_orderpriority AS label FROM orders WHERE o_orderkey % 5 = 0 AND o_orderpriority < '4'), b AS (SELECT o_orderpriority AS label FROM orders WHERE o_orderkey % 5 = 1), k AS (SELECT o_orderpriority AS label FROM orders WHERE o_orderkey % 5 > 1),
+c AS (SELECT label, COUNT(*) AS n FROM k GROUP BY 1), w AS (SELECT label, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS m FROM p GROUP BY 1),
+f AS (SELECT c.label, CAST(least(c.n, greatest(1, round_even(w.n / w.m * (SELECT SUM(n) FROM c), 0))) AS BIGINT) AS n FROM c JOIN w ON c.label = w.label),
+a AS (SELECT 'A' AS s, label, COUNT(*) AS n, 1.0 AS w FROM p GROUP BY 2 UNION ALL SELECT 'B', label, COUNT(*), 1 FROM b GROUP BY 2 UNION ALL SELECT 'C', label, COUNT(*), 1 FROM (FROM p UNION ALL FROM b) GROUP BY 2 UNION ALL SELECT 'D', label, n, 1 FROM c
+ UNION ALL SELECT 'E', label, COUNT(*), 1 FROM (FROM p UNION ALL FROM k) GROUP BY 2 UNION ALL SELECT 'F', label, n, 1 FROM f UNION ALL SELECT 'G', label, n, 1 FROM c UNION ALL SELECT 'G', label, n, 50 FROM w)
+SELECT s AS setup, label, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(n * w) AS DOUBLE) AS weight FROM a GROUP BY 1, 2
+""",
+)
+def m07_setups(spark, sf_dir):
+    """Rows and weights of each class in each set-up."""
+    o = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("label"))
+    parts = o.where("id % 5 = 0 AND label < '4'"), o.where("id % 5 = 1"), o.where("id % 5 > 1")
+    out = [learn.setup(s, *parts).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).select(F.lit(s).alias("setup"), "label", "n", "weight") for s in "ABCDEFG"]
+    return reduce(lambda x, y: x.unionByName(y), out)

@@ -85,13 +85,15 @@ def _parity(tokens: Column) -> Column:
 def sketches(tokens: Column, n: Column, percent: int) -> Column:
     """Lanes of parity bits, as many as the widest class needs in which a line of n words can be the shorter side."""
 
-    def wide(lanes: int) -> Column:
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))
-        return F.transform(numbers, lambda i: _parity(F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(lanes - 1)) == i)))
+    def wide(some: Column, lanes: int) -> Column:  # in fours, upper bits of the lane's number first
+        if lanes == 1:
+            return F.array(_parity(some))
+        own = lambda g: F.filter(some, lambda t: F.shiftright(t, 6 + (lanes // 4).bit_length() - 1).bitwiseAND(F.lit(3)) == g)
+        return F.flatten(F.transform(F.array(*[F.lit(g).cast("bigint") for g in range(4)]), lambda g: wide(own(g), lanes // 4)))
 
     out = F.array(_parity(tokens))
     for (top, _), (_, lanes) in zip(CLASSES, CLASSES[1:]):
-        out = F.when(n * 100 < percent * (top + 1), out).otherwise(wide(lanes))
+        out = F.when(n * 100 < percent * (top + 1), out).otherwise(wide(tokens, lanes))
     return out
 
 

@@ -235,11 +235,11 @@ def a05_count_pivot(spark, sf_dir):
     return rollup.count_pivot(t(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "X"])
 
 
-@query("a45_merge_review", "SELECT CAST(s_nationkey % 3 AS BIGINT) AS k, CASE CAST(s_nationkey % 3 AS INTEGER) WHEN 0 THEN 'several given names' WHEN 1 THEN 'initials beside a given name' ELSE 'initials only' END AS reason FROM supplier GROUP BY 1, 2")
+@query("a45_merge_review", "SELECT CAST(p_partkey % 3 AS BIGINT) AS k, CASE CAST(p_partkey % 3 AS INTEGER) WHEN 0 THEN 'several given names' WHEN 1 THEN 'initials beside a given name' ELSE 'initials only' END AS reason FROM part GROUP BY 1, 2")
 def a45_merge_review(spark, sf_dir):
-    k, odd = (c("s_nationkey") % 3).cast("bigint"), c("s_suppkey") % 2 == 1
+    k, odd = (c("p_partkey") % 3).cast("bigint"), F.floor(c("p_partkey") / 3) % 2 == 1
     given = F.when(k == 0, F.when(odd, "Ann M.").otherwise("Bea")).when(k == 1, F.when(odd, "Ann").otherwise("A.")).otherwise("J.")
-    return audit.merge_review(t(spark, sf_dir, "supplier").select(k.alias("k"), "s_name", given.alias("given")), "k", "s_name", "given").select("k", "reason")
+    return audit.merge_review(t(spark, sf_dir, "part").select(k.alias("k"), "p_name", given.alias("given")), "k", "p_name", "given").select("k", "reason")
 
 
 @query("a51_identifier_coverage", "SELECT event_type, CAST(2 * COUNT(*) AS BIGINT) AS n_slots, COUNT(*) FILTER (WHERE event_id % 2 = 0) AS n_ids, COUNT(*) AS n_given, CASE WHEN 0.5 * COUNT(*) FILTER (WHERE event_id % 2 = 0) / COUNT(*) >= 0.40 THEN 'good' WHEN 0.5 * COUNT(*) FILTER (WHERE event_id % 2 = 0) / COUNT(*) >= 0.15 THEN 'partial' ELSE 'poor' END AS verdict FROM events GROUP BY 1")

@@ -12,6 +12,7 @@ import re
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,23 @@ def work_root(spark: SparkSession) -> str:
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to reuse results.
 
-    A folder lives as long as the session unless its owner calls ``release``;
+    A folder lives as long as the session's JVM unless its owner calls ``release``;
     results that an operator returns may still read from it.
     """
 
     _open: list["Workspace"] = []
+    _recorders: list[list["Workspace"]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
         Workspace._open.append(self)
+        for made in Workspace._recorders:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.path}/{name}"
@@ -72,6 +80,17 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def recorded() -> Iterator[list[Workspace]]:
+    """A list of the work folders that are opened meanwhile, for a caller who knows when their results are written."""
+    made: list[Workspace] = []
+    Workspace._recorders.append(made)
+    try:
+        yield made
+    finally:
+        Workspace._recorders.remove(made)
+
+
 def release_all() -> None:
     """Delete every open work folder; only for callers whose results are written elsewhere."""
     for w in list(Workspace._open):

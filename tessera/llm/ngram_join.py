@@ -13,11 +13,7 @@ partner, so a prefix that no such loss can empty must meet its partner's prefix:
 
 Sets around the border between the two schemes are indexed by both.
 
-Equal sets are one node. Sets that share a signature are compared by length and by
-parity sketches, whose difference never exceeds the sets' own, in blocks of bounded
-size; what passes is verified on the sets themselves. Links within a
-component that is already known aren't verified again: a first round verifies a few
-pairs for each set, a second one all remaining pairs between different components.
+How sets that share a signature are compared and linked: ``meeting``.
 """
 
 from __future__ import annotations
@@ -30,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from .meeting import similar_components
+from .shingles import HASH_BITS, Sets, pieces
 
 U64 = np.uint64
 SHINGLE_WORDS, PERCENT = 3, 90
@@ -41,131 +38,31 @@ CLASSES = 16
 #: A token is frequent if its slot of the corpus counts has so many occurrences and so many times the mean.
 FREQUENT, FREQUENT_TIMES = 256, 4
 SLOTS, SLICES = 1 << 20, 64
-#: Bits of the smallest sketch; see ``sketch_class``.
-SKETCH_BITS = 512
-#: Sets of one signature that are compared in one block.
-BLOCK_SETS = 512
-#: Lists of ids that are broadcast have at most so many rows; longer ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-_HASH_BITS = 51
-_HASH = U64((1 << _HASH_BITS) - 1)
-_DOCS_A_BATCH = 2048
 
 
-class Sets:
-    """Distinct shingles of some texts: ``key`` = text (12 bits), frequent or not (1 bit), hash (51 bits), ascending."""
-
-    def __init__(self, texts, k: int, frequent: np.ndarray | None):
-        buf, starts, _ = common.text_bytes(texts)
-        words = common.Words(common.lower_ascii(buf), starts, common.BLANK_SEPARATED)
-        h = words.hashes()
-        at = common.window_starts(words.count, words.first, k)
-        tokens, doc = common.rolling(h, k)[at], words.doc[at]
-        for n in range(1, k):  # fewer words: the whole sequence
-            few = np.flatnonzero(words.count == n)
-            if len(few):
-                tokens = np.concatenate((tokens, common.rolling(h, n, seed=50 + n)[words.first[few]]))
-                doc = np.concatenate((doc, few))
-        tokens = tokens >> U64(64 - _HASH_BITS)
-        self.all = tokens
-        key = (doc.astype(U64) << U64(52)) | tokens
-        if frequent is not None:
-            key |= frequent[(tokens >> U64(_HASH_BITS - 20)).astype(np.int64)].astype(U64) << U64(51)
-        key = np.sort(key)
-        self.key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-        self.doc = (self.key >> U64(52)).astype(np.int64)
-        self.n = np.bincount(self.doc, minlength=len(starts))
-        self.first = np.cumsum(self.n) - self.n
-        self.token = self.key & _HASH
-
-    def digests(self) -> np.ndarray:
-        out = np.zeros(len(self.n), U64)
-        some = self.n > 0
-        if some.any():
-            out[some] = np.add.reduceat(common.mix(self.token + U64(1)), self.first[some])
-        return common.mix(out + self.n.astype(U64))
-
-    def sketches(self, percent: int) -> list[bytes]:
-        """Parity sketches: a token flips one bit, chosen by the low bits of a hash, so halves fold together."""
-        h = common.mix(self.token ^ U64(0x5BD1E995))
-        kind = sketch_class(self.n, percent)
-        out: list[bytes] = [b""] * len(self.n)
-        for k in np.unique(kind).tolist():
-            docs = np.flatnonzero(kind == k)
-            bits = SKETCH_BITS << k
-            local = np.full(len(self.n), -1)
-            local[docs] = np.arange(len(docs))
-            mine = local[self.doc] >= 0
-            at = local[self.doc[mine]] * bits + (h[mine] & U64(bits - 1)).astype(np.int64)
-            parity = (np.bincount(at, minlength=len(docs) * bits) & 1).astype(np.uint8).reshape(len(docs), bits)
-            for d, raw in zip(docs.tolist(), np.packbits(parity, axis=1)):
-                out[d] = raw.tobytes()
-        return out
-
-    def signatures(self, percent: int) -> list[np.ndarray]:
-        loss = self.n - (percent * self.n + 99) // 100
-        rank = np.arange(len(self.key)) - self.first[self.doc]
-        rare = (self.key >> U64(51)) & U64(1) == 0
-        border = -(-PAIRS_FROM * 100 // percent)
-        single = common.mix(self.token + U64(0x51ED270B))  # scheme for small sets
-        own = common.mix(self.token + U64(0xA24BAED4))
-        in_prefix = rank <= loss[self.doc]
-        small = in_prefix & (self.n[self.doc] <= border)
-        large = in_prefix & rare & (self.n[self.doc] >= PAIRS_FROM)
-        n_rare = np.bincount(self.doc[rare], minlength=len(self.n))
-        sig = np.concatenate((single[small], own[large]))
-        owner = np.concatenate((self.doc[small], self.doc[large]))
-        order = np.argsort(owner, kind="stable")
-        bounds = np.searchsorted(owner[order], np.arange(len(self.n) + 1))
-        sig = sig[order]
-        out = [sig[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for d in np.flatnonzero((self.n >= PAIRS_FROM) & (n_rare <= loss)).tolist():
-            a = int(self.first[d])
-            tokens = self.token[a + int(n_rare[d]) : a + int(self.n[d])]
-            out[d] = np.concatenate((out[d], _pair_signatures(tokens, int(loss[d]) + 1 - int(n_rare[d]))))
-        return out
-
-
-def sketch_class(n: np.ndarray, percent: int) -> np.ndarray:
-    """How often the smallest sketch doubles for sets of n tokens.
-
-    Sketches of unrelated sets differ in half of their bits; that half must exceed by a fifth or
-    more what sets that link may differ in, 2n(100 - percent) / (100 + percent).
-    """
-    most = n * (2.0 * (100 - percent) / (100 + percent))
-    return np.ceil(np.log2(np.maximum(1.0, 2.6 * most / SKETCH_BITS))).astype(np.int64)
-
-
-class _Sketches:
-    """Sketches of rows at a common width: those of the next class are folded to it."""
-
-    def __init__(self, raw: list[bytes], n: np.ndarray, percent: int):
-        self.kind = sketch_class(n, percent)
-        self._raw = raw
-        self._at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _width(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self._at:
-            rows = np.flatnonzero((self.kind == k) | (self.kind == k + 1))
-            words = (SKETCH_BITS << k) // 64
-            out = np.empty((len(rows), words), U64)
-            for i, r in enumerate(rows.tolist()):
-                x = np.frombuffer(self._raw[r], U64)
-                out[i] = x if len(x) == words else x[:words] ^ x[words:]
-            place = np.full(len(self.kind), -1)
-            place[rows] = np.arange(len(rows))
-            self._at[k] = place, out
-        return self._at[k]
-
-    def gap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Differing bits; never more than the sets differ in tokens."""
-        out = np.zeros(len(x), np.int64)
-        narrow = np.minimum(self.kind[x], self.kind[y])
-        for k in np.unique(narrow).tolist():
-            some = np.flatnonzero(narrow == k)
-            place, table = self._width(k)
-            out[some] = np.bitwise_count(table[place[x[some]]] ^ table[place[y[some]]]).sum(axis=1, dtype=np.int64)
-        return out
+def prefix_signatures(sets: Sets, percent: int) -> list[np.ndarray]:
+    """Each set's single tokens and pairs of its extended prefix."""
+    loss = sets.n - (percent * sets.n + 99) // 100
+    rank = np.arange(len(sets.key)) - sets.first[sets.doc]
+    rare = (sets.key >> U64(51)) & U64(1) == 0
+    border = -(-PAIRS_FROM * 100 // percent)
+    single = common.mix(sets.token + U64(0x51ED270B))  # scheme for small sets
+    own = common.mix(sets.token + U64(0xA24BAED4))
+    in_prefix = rank <= loss[sets.doc]
+    small = in_prefix & (sets.n[sets.doc] <= border)
+    large = in_prefix & rare & (sets.n[sets.doc] >= PAIRS_FROM)
+    n_rare = np.bincount(sets.doc[rare], minlength=len(sets.n))
+    sig = np.concatenate((single[small], own[large]))
+    owner = np.concatenate((sets.doc[small], sets.doc[large]))
+    order = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[order], np.arange(len(sets.n) + 1))
+    sig = sig[order]
+    out = [sig[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    for d in np.flatnonzero((sets.n >= PAIRS_FROM) & (n_rare <= loss)).tolist():
+        a = int(sets.first[d])
+        tokens = sets.token[a + int(n_rare[d]) : a + int(sets.n[d])]
+        out[d] = np.concatenate((out[d], _pair_signatures(tokens, int(loss[d]) + 1 - int(n_rare[d]))))
+    return out
 
 
 def _pair_signatures(tokens: np.ndarray, need: int) -> np.ndarray:
@@ -188,20 +85,14 @@ def _pair_signatures(tokens: np.ndarray, need: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, U64)
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    for b in common.text_batches(batches, "text"):
-        for at in range(0, b.num_rows, _DOCS_A_BATCH):
-            yield b.slice(at, _DOCS_A_BATCH)
-
-
 def _count_slots(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(SLOTS, np.int64)
-        for b in _pieces(batches):
+        for b in pieces(batches):
             s = Sets(b.column("text"), k, None)
-            counts += np.bincount((s.all >> U64(_HASH_BITS - 20)).astype(np.int64), minlength=SLOTS)
+            counts += np.bincount((s.all >> U64(HASH_BITS - 20)).astype(np.int64), minlength=SLOTS)
         part = TaskContext.get().partitionId() % 64
         slices = counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8").reshape(SLICES, -1)
         rows = [s.astype("<i8").tobytes() for s in slices]
@@ -231,9 +122,9 @@ _INDEXED = "id long, h long, n long, node long, sigs array<long>, sketch binary"
 def _index(k: int, percent: int, frequent):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
-        for b in _pieces(batches):
+        for b in pieces(batches):
             s = Sets(b.column("text"), k, table)
-            sigs = s.signatures(percent)
+            sigs = prefix_signatures(s, percent)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate(sigs).astype(U64).view(np.int64) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -251,105 +142,6 @@ def _index(k: int, percent: int, frequent):
     return run
 
 
-# ------------------------------------------------------------------ comparison in blocks
-def _compare(percent: int, first_round: bool):
-    """Rows sorted by (sig, i, j): the sets of block i, and of block j if another. Emits pairs that may link."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 20_000:
-                continue
-            g = np.stack([np.asarray(held.column(c)) for c in ("sig", "i", "j")])
-            whole = int(np.flatnonzero((g != g[:, -1:]).any(axis=0))[-1]) + 1 if (g != g[:, -1:]).any() else 0
-            if whole:
-                yield from _pairs(held.slice(0, whole), percent, first_round)
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from _pairs(held, percent, first_round)
-
-    return run
-
-
-def _pairs(t: pa.Table, percent: int, first_round: bool) -> Iterator[pa.RecordBatch]:
-    sig, i, j, node, n, block, comp = (np.asarray(t.column(c)) for c in ("sig", "i", "j", "node", "n", "block", "comp"))
-    sketch = _Sketches(t.column("sketch").to_pylist(), n, percent)
-    start = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-    size = np.diff(np.append(start, len(sig)))
-    end = np.repeat(start + size, size)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rows = np.arange(len(sig))
-    for d in range(1, int(size.max())):
-        rows = rows[rows + d < end[rows]]
-        x, y = rows, rows + d
-        low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        ok = (100 * low >= percent * high) & (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
-        x, y = x[ok], y[ok]
-        if len(x):
-            gap = sketch.gap(x, y)
-            near = gap * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
-            if near.any():
-                found.append((x[near], y[near], gap[near]))
-    if not found:
-        return
-    x, y, gap = (np.concatenate(c) for c in zip(*found))
-    if first_round:  # of each set the nearest other one, and the one of its group that most are near to
-        degree = np.bincount(np.concatenate((x, y)), minlength=len(sig))
-        ends, other = np.concatenate((x, y)), np.concatenate((y, x))
-        both_gap = np.concatenate((gap, gap))
-        keep = []
-        for order in (np.lexsort((other, both_gap, ends)), np.lexsort((other, -degree[other], ends))):
-            lead = np.concatenate(([True], ends[order][1:] != ends[order][:-1]))
-            keep.append(order[lead])
-        keep = np.unique(np.concatenate(keep))
-        x, y = ends[keep], other[keep]
-    a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-    once = np.unique(np.stack((a, b)), axis=1, return_index=True)[1]
-    yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (a, b)], names=["a", "b"])
-
-
-def _token_sets(k: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
-            s = Sets(b.column("text"), k, None)
-            sets = [s.token[f : f + n].astype("<u8").tobytes() for f, n in zip(s.first.tolist(), s.n.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("node").combine_chunks(), pa.array(sets, pa.binary())], names=["node", "tokens"])
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = []
-            for p, q in zip(t.column(t.schema.get_field_index("left")), t.column(t.schema.get_field_index("right"))):
-                x, y = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, work: common.Workspace, name: str) -> DataFrame:
-    """The pairs that do link, by their whole sets."""
-    pairs = work.save(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    if (n := ids.count()) == 0:
-        return pairs.select("a", "b")
-    chosen = reps.select("node", "id", "h").join(ids, "node", "left_semi").dropDuplicates(["node"])
-    chosen = F.broadcast(chosen) if n <= BROADCAST_IDS else chosen
-    sets = work.save(texts.join(chosen, ["id", "h"]).select("node", "text").mapInArrow(_token_sets(k), "node long, tokens binary").dropDuplicates(["node"]), f"{name}-sets")
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
-    out = work.save(both.mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
-    work.drop(f"{name}-pairs")
-    work.drop(f"{name}-sets")
-    return out
-
-
 def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, row_hash, is_first`` of every row; ``100 * |x & y| >= percent * |x | y|`` links two texts.
 
@@ -371,45 +163,4 @@ def similarity_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     bits = np.packbits(frequent_slots(rows.select("text"), shingle_words)).tobytes()  # SLOTS bits
     frequent = spark.sparkContext.broadcast(bits)
     indexed = work.save(rows.mapInArrow(_index(shingle_words, percent, frequent), _INDEXED), "indexed")
-    first = indexed.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"))
-    # one row for each node: repeated rows would cancel in the XOR below
-    reps = indexed.where("node is not null").dropDuplicates(["node", "id", "h"]).join(first.select("node", "rep.id", "rep.h"), ["node", "id", "h"])
-    reps = work.save(reps.select("node", "id", "h", "n", "sigs", "sketch"), "reps")
-    common.release_shuffles(spark)
-
-    # sets by signature; a signature of one set is dropped, and sets that meet in many signatures alike meet once
-    sigs = reps.select("node", "n", F.explode("sigs").alias("sig"))
-    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
-    groups = work.save(shared.groupBy("size", "who").agg(F.min("sig").alias("sig")).select("sig", "size"), "groups")
-    n_groups = groups.count()
-    met = sigs.join(F.broadcast(groups) if n_groups <= BROADCAST_IDS else groups, "sig")
-    sketched = met.join(reps.select("node", "sketch").dropDuplicates(["node"]), "node")
-    blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
-    own = F.pmod(F.xxhash64("node", "sig"), blocks.cast("bigint")).cast("int")
-    dealt = sketched.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = work.save(
-        dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "block", "sketch"), "dealt"
-    )
-    common.release_shuffles(spark)
-
-    def compare(labels: DataFrame | None, first_round: bool) -> DataFrame:
-        known = dealt.withColumn("comp", F.col("node")) if labels is None else dealt.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-        known = known.select("sig", "i", "j", "node", "n", "block", "comp", "sketch")
-        parts = common.shuffle_parts(spark)
-        return known.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent, first_round), "a long, b long")
-
-    near = _links(compare(None, True), reps, rows, shingle_words, percent, work, "near")
-    labels = connected_components(near, work, "near-components")
-    rest = _links(compare(labels, False), reps, rows, shingle_words, percent, work, "rest")
-    work.drop("dealt")
-    labels = connected_components(near.union(rest), work)
-
-    per_node = first.select("node", F.col("rep").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = per_node.groupBy("label").agg(F.min("least").alias("least"))
-    of_node = per_node.select("node", "label").join(per_label, "label").select("node", "least")
-    out = indexed.select("id", "h", "n", "node").join(of_node, "node", "left")
-    component = F.coalesce("least", F.struct("id", "h"))
-    given = lambda row: F.when(row["h"] >= 0, row["id"])
-    return out.select(
-        given(F.struct("id", "h")).alias("doc_id"), F.col("n").alias("n_shingles"), given(component).alias("component_id"), F.col("h").alias("row_hash"), (component == F.struct("id", "h")).alias("is_first")
-    )
+    return similar_components(rows, indexed, shingle_words, percent, work)

@@ -70,6 +70,55 @@ SELECT k.doc_id, k.held AS held_out, COUNT(*) AS n_tokens, COUNT(c.c) AS n_known
 FROM k LEFT JOIN c ON k.k = c.k, n GROUP BY 1, 2
 """
 
+OP11 = rf"""
+WITH t AS (SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t), n AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+i AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS p FROM w, range(1, 4) v(k)),
+g AS MATERIALIZED (SELECT lang, k, p, COUNT(*) AS f FROM i GROUP BY ALL HAVING COUNT(*) >= 10),
+c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS s, unnest(range(1, k)) AS j FROM g WHERE k > 1),
+d AS MATERIALIZED (SELECT lang, k, p, a, j, array_to_string(s[1 : j], ' ') AS lp, array_to_string(s[j + 1 : k], ' ') AS rp FROM c),
+cut AS (SELECT d.lang, d.k, d.p, d.a, d.j, l.f AS l, r.f AS r, CAST((CAST(d.a AS HUGEINT) * d.a * 1000000) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+ FROM d JOIN g l ON l.lang = d.lang AND l.p = d.lp JOIN g r ON r.lang = d.lang AND r.p = d.rp),
+b AS (SELECT lang, k, p, a, l, r, score FROM cut QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+x AS (SELECT lang, p, MAX(a) AS f FROM (SELECT lang, lp AS p, a FROM d WHERE k = 3 AND j = 2 UNION ALL SELECT lang, rp, a FROM d WHERE k = 3 AND j = 1) GROUP BY 1, 2),
+s AS (SELECT b.lang, b.p AS phrase, a, l, r, score FROM b LEFT JOIN x ON b.lang = x.lang AND b.p = x.p WHERE x.f IS NULL OR 100 * x.f < 50 * a)
+SELECT s.lang, ROW_NUMBER() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN n ON s.lang = n.lang QUALIFY rank <= 2000
+"""
+
+OP12 = (
+    OP4.replace("len(w) >= 3", "len(w) >= 4").replace("len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])", "len(w) - 2), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] || chr(1) || w[i + 3])")
+    .replace("10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)", "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)")
+    .replace("100 * k >= 90 *", "100 * k >= 80 *")
+    .replace("AS component_id FROM", "AS component_id, s.doc_id = COALESCE(c.c, s.doc_id) AS kept FROM")
+)
+
+
+def _assigned(k: int) -> str:
+    """Parts with their nearest entry of the k-th codebooks; all products are exact in doubles."""
+    d = "CAST(p.q - 2 * list_inner_product(p.x, c.x) + c.q AS BIGINT)"
+    return f"a{k} AS MATERIALIZED (SELECT vec_id, label, part, v, x, m.e AS entry, m.d AS d FROM (SELECT p.row, ANY_VALUE(p.vec_id) AS vec_id, ANY_VALUE(p.label) AS label, p.part, ANY_VALUE(p.v) AS v, ANY_VALUE(p.x) AS x, MIN({{'d': {d}, 'e': c.entry}}) AS m FROM p JOIN c{k} c ON p.part = c.part GROUP BY p.row, p.part))"
+
+
+def _codebooks(k: int) -> str:
+    return (
+        f"s{k} AS (SELECT part, entry, i, CAST(floor(SUM(x[i]) / COUNT(*)) AS DOUBLE) AS y FROM a{k - 1}, (SELECT unnest(range(1, size + 1)) AS i FROM z) GROUP BY 1, 2, 3),"
+        f"n{k} AS (SELECT part, entry, list(y ORDER BY i) AS x FROM s{k} GROUP BY 1, 2),"
+        f"c{k} AS MATERIALIZED (SELECT part, entry, x, list_inner_product(x, x) AS q FROM (SELECT c.part, c.entry, COALESCE(n.x, c.x) AS x FROM c{k - 1} c LEFT JOIN n{k} n ON c.part = n.part AND c.entry = n.entry))"
+    )
+
+
+#: Four rounds written out; sums of integers under 2^53 are exact in doubles.
+OP13 = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * CAST(y AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY vec_id, v) - 1 AS row FROM k), z AS (SELECT MAX(len(v)) // 4 AS size FROM r),
+p AS MATERIALIZED (SELECT row, vec_id, label, part, v, x, list_inner_product(x, x) AS q FROM (SELECT row, vec_id, label, v, part, v[part * size + 1 : part * size + size] AS x FROM r, z, range(4) t(part))),
+c0 AS MATERIALIZED (SELECT part, row AS entry, x, q FROM p WHERE row < 256),
+{", ".join(f"{_assigned(k)}, {_codebooks(k + 1)}" for k in range(4))}, {_assigned(4)},
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS h FROM (SELECT part, entry, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM c4)),
+o AS (SELECT vec_id, v, label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(SUM(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id, v, label)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o, h
+"""
+
 ORACLE = {
     "lm_base_scores": LM_BASE,
     "op2_line_dedup": OP2,
@@ -77,4 +126,7 @@ ORACLE = {
     "op7_substring_dedup": OP7,
     "op9_benchmark_decontamination": OP9,
     "op10_sharding": OP10,
+    "op11_phrase_collocations": OP11,
+    "op12_minhash_dedup": OP12,
+    "op13_vector_codes": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fmindex, hilbert, lines, ngram_join, quality, rans, sharding, substring, trie_lm
+from . import bpe, common, fmindex, hilbert, lines, minmax, ngram_join, phrases, quality, rans, sharding, substring, trie_lm, yinyang
 from .common import read
 from .oracle import ORACLE  # noqa: F401  registered beside QUERIES
 
@@ -75,4 +75,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), 40)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_lm_scoring, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding, lm_base_scores)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read(spark, sf_dir, "documents"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_lm_scoring, op7_substring_dedup, op8_byte_bpe, op9_benchmark_decontamination, op10_sharding, op11_phrase_collocations, op12_minhash_dedup, op13_vector_codes, lm_base_scores)}

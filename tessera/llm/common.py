@@ -91,12 +91,6 @@ def recorded() -> Iterator[list[Workspace]]:
         Workspace._recorders.remove(made)
 
 
-def release_all() -> None:
-    """Delete every open work folder; only for callers whose results are written elsewhere."""
-    for w in list(Workspace._open):
-        w.release()
-
-
 def release_shuffles(spark) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 

@@ -195,9 +195,13 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def with_score(docs: DataFrame, weights: np.ndarray, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and the score of each row as the last one; cases as in ``score``."""
+    """``docs`` with all its columns and the score of each row as the last one; cases as in ``score``.
+
+    A column that has the name already stays, and the score's name gets underscores before it until it is free.
+    """
     from pyspark.sql import types as T
 
+    name = common.free_name(docs.columns, name)
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)

@@ -519,24 +519,76 @@ def test_sharding(spark, docs):
 
 
 # ------------------------------------------------------------------ pipeline
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
 
+def pipeline_input(spark, path):
     rng = random.Random(0)
     vocabulary = [f"v{i}" for i in range(400)]
     item = " ".join(rng.choice(vocabulary) for _ in range(20))
-    docs = {i: " ".join(rng.choice(vocabulary) for _ in range(120)) for i in range(60)}
+    docs = {i: "\n".join(" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(3)) for i in range(60)}
     docs |= {i: " ".join(["BUY!!"] * 100 + [str(i)]) for i in range(60, 90)}
-    docs[90] = docs[0].replace("\n", " ") + " extra words here"  # a near copy
+    docs[90] = docs[0].replace("\n", " ") + " extra words here"  # a near copy, but of no line
     docs[91] = item + " " + item
     docs[92], docs[93] = None, ""
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    kept = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(range(60)) <= set(kept) and not set(range(60, 90)) & set(kept) and 91 not in kept
-    assert kept[5]["text_sha256"] == hashlib.sha256(docs[5].encode()).hexdigest()
-    assert 90 not in kept or kept[90]["n_tokens"] == 0
+    docs[94] = docs[7].split("\n")[1] + "\n" + " ".join(f"u{i}" for i in range(30))  # a repeated line
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs.items()], DOCUMENTS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return docs, {1: item}
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against its plain version, on all that the stage before it kept."""
+    import corpus_pipeline
+    from test_mining import plain_components
+
+    docs, items = pipeline_input(spark, tmp_path)
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    w = quality.fit(table, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    scores = {r["doc_id"]: r["score"] for r in quality.score(table, w).collect()}
+    docs = {i: t for i, t in docs.items() if scores[i] >= corpus_pipeline.QUALITY_THRESHOLD}
+    assert set(range(60)) <= set(docs) and not set(range(60, 90)) & set(docs)
+    docs = {i: "\n".join(x) for i, x in brute.line_removals(docs).items()}
+    assert docs[94].startswith("u0 ")
+    groups = plain_components(docs, 5, 80)
+    assert groups[90][1] == 0
+    docs = {i: t for i, t in docs.items() if groups[i][1] == i}
+    hits = brute.contamination(docs, items)
+    assert hits[91][-1]
+    docs = {i: t for i, t in docs.items() if not hits[i][-1]}
+    want = {i: (x[0], x[2]) for i, x in brute.bpe(docs).items()}
+    got = {r["doc_id"]: (r["n_tokens"], r["text_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """Clashing columns, null ids, repeated rows and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    docs, _ = pipeline_input(spark, tmp_path)
+    more = {c: F.lit(i) for i, c in enumerate(("__score", "score", "__id", "id", "__hash", "hash", "__key", "key", "node", "_score"))}
+    rows = [(None, docs[3], "en", "s", 1), (None, None, "en", "s", 0), (5, docs[5], "en", "s", 1), (5, docs[5], "en", "s", 1)]
+    odd = spark.createDataFrame(rows, DOCUMENTS).withColumns(more)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd.limit(0), str(tmp_path))
+        assert out.collect() == []
+        got = stage(spark, odd, str(tmp_path)).collect()
+        assert len(got) == {"near_duplicates": 3}.get(name, 4), name
+        if name != "tokens":
+            assert out.columns == odd.columns
+            assert all(r[c] == i for r in got for i, c in enumerate(more))
+
+
+def test_other_results_outlive_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_input(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    lazy = [lines.dedupe_lines(docs), ngram_join.similarity_components(docs), substring.remove_repeats(docs), corpus_pipeline.run(spark, str(tmp_path))]
+    n = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert [df.count() for df in lazy] == [95, 95, 95, n]
 
 
 def test_pipeline_near_duplicates_under_repeated_ids(spark, tmp_path):

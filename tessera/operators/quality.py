@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +83,39 @@ def compare_collections(old: DataFrame, new: DataFrame, keys: list[str], toleran
     a, b = old.count(), new.count()
     o, n = old.select(*keys).distinct(), new.select(*keys).distinct()
     return {"old": a, "new": b, "within": abs(b - a) <= tolerance * max(a, 1), "lost": o.join(n, keys, "left_anti").count(), "gained": n.join(o, keys, "left_anti").count()}
+
+
+class GateFailed(CheckFailed):
+    """A gate of ``write_checked`` that the rows didn't pass; what was measured is in ``measured``."""
+
+    def __init__(self, failed: list[str], measured: dict):
+        super().__init__(f"{', '.join(failed)}: {measured}")
+        self.failed, self.measured = failed, measured
+
+
+def write_checked(df: DataFrame, path: str, gates: dict[str, tuple[Column, Callable[[object], bool]]]) -> dict:
+    """Q02 Q03 Q05 in the pass that writes: each gate is an aggregate of the rows and what it must satisfy.
+
+    The rows are written beside ``path`` and measured on the way, with no scan of their own; they move to ``path`` only if
+    all gates pass, else they are deleted and ``GateFailed`` says which failed. ``path`` must not exist yet.
+    """
+    from pyspark.sql import Observation
+
+    spark = df.sparkSession
+    jvm, staged = spark._jvm, f"{path.rstrip('/')}__staged"
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(at(path)):
+        raise FileExistsError(path)
+    seen = Observation("gates")
+    try:
+        df.observe(seen, *[what.alias(name) for name, (what, _) in gates.items()]).write.mode("overwrite").parquet(staged)
+        measured = seen.get
+        failed = [name for name, (_, passes) in gates.items() if not passes(measured.get(name))]
+        if failed:
+            raise GateFailed(failed, measured)
+        if not system.rename(at(staged), at(path)):
+            raise OSError(f"could not move {staged} to {path}")
+    finally:
+        system.delete(at(staged), True)
+    return measured

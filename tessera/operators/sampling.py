@@ -51,18 +51,26 @@ def matched_sample(df: DataFrame, key: str, stratum: str, wanted: dict, order: C
     return first.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(by, key))).where("__r <= __k").drop("__k", "__part", "__r")
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 5, seed: int = 20260803) -> DataFrame:
-    """``key, repeat, fold``: rows of each class dealt in turn in hash order, for each repeat."""
+def positions(df: DataFrame, key: str, label: str, repeats: int, seed: int) -> DataFrame:
+    """``key, label, repeat, position, n_class``: each row's place from 0 in its class in hash order, for each repeat.
+
+    Numbered within parts of the order, with the parts before as offset: a large class takes no single task.
+    """
     each = df.select(key, label, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    # numbered within parts of the order, with the parts before as offset: a large class takes no single task
     each = each.withColumn("__h", F.xxhash64(F.col(key), F.col("repeat") + F.lit(seed))).withColumn("__part", F.shiftright("__h", 58))
     by = [label, "repeat", "__part"]
     sizes = each.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(label, "repeat").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.struct(*by).alias("__by"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    whole = Window.partitionBy(label, "repeat")
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.struct(*by).alias("__by"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("n_class"))
     at = F.row_number().over(Window.partitionBy(*by).orderBy("__h", key)) - 1
     numbered = each.withColumn("__at", at).join(offsets, F.struct(*by).eqNullSafe(F.col("__by")))
-    return numbered.select(key, "repeat", ((F.col("__before") + F.col("__at")) % folds).cast("int").alias("fold"))
+    return numbered.select(key, label, "repeat", (F.col("__before") + F.col("__at")).alias("position"), "n_class")
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 5, seed: int = 20260803) -> DataFrame:
+    """``key, repeat, fold``: rows of each class dealt in turn in hash order, for each repeat."""
+    return positions(df, key, label, repeats, seed).select(key, "repeat", (F.col("position") % folds).cast("int").alias("fold"))
 
 
 def rare_classes_out(df: DataFrame, label: str, least: int = 5) -> DataFrame:

@@ -38,6 +38,21 @@ def append_new_keys(spark: SparkSession, source: str, schema: StructType, sink:
     return query
 
 
+def append_keys_once(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, key: str, time: str, keep: str = "30 days", source_format: str = "json") -> StreamingQuery:
+    """As ``append_new``, and of each key only the first row, without reading the sink.
+
+    The keys are state in the checkpoint folder, dealt by key, and expire once the watermark (the latest ``time`` seen
+    less ``keep``) has passed a key's time plus ``keep``; a key that comes again later than that is appended again. A
+    batch that is replayed after a failure replaces its own files, as the file sink commits by batch. Rows with a null
+    key or time are left out.
+    """
+    rows = spark.readStream.schema(schema).format(source_format).load(source)
+    known = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
+    query = known.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def yearly_counts(events: DataFrame, time: str, category: str, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Counts by event-time window and category of a stream, late rows up to ``delay``; works on batches too."""
     marked = events.withWatermark(time, delay) if events.isStreaming else events

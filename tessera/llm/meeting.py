@@ -1,11 +1,11 @@
 """Sets that share a signature meet, and those that are similar are linked, without pairing a group off.
 
-Equal sets are one node. In each turn every signature whose sets aren't yet known to belong together
-names a few hubs, the first and last of its nodes in an order of that turn, within classes of like
-sizes; other nodes are compared with the hubs only, so a group of m near copies makes some m pairs
-and is one component afterwards. Turns go on while a signature with many sets is left. What they
-leave apart is compared in blocks by sketches, all pairs between different components, so that no
-link is lost.
+Equal sets are one node. First each node meets the hubs of a few of its signatures, the two that most
+sets share and the two that fewest do: the hub is the node whose signatures are shared most, which of
+a group of near copies is the text that they were made from. So a group of m near copies makes some m
+pairs, and what is linked to a hub has the hub's label. The same again, with other hubs within classes
+of like sizes, while a signature of many sets with different labels is left. Then all sets that share a
+signature and have different labels are compared in blocks by sketches, so that no link is lost.
 
 A pair is first judged by lengths and parity sketches, whose difference never exceeds the sets' own;
 what passes is verified on the whole sets, read again from the texts.
@@ -18,7 +18,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,7 +27,9 @@ from .shingles import Sets, pieces, sketch_class, SKETCH_BITS
 
 U64 = np.uint64
 #: Turns with hubs before what is left is compared in blocks; after the first only while a signature has so many sets.
-TURNS, MANY_SETS = 3, 256
+TURNS, MANY_SETS = 2, 1024
+#: Signatures of a node that name a hub: so many of the most and of the least shared ones.
+NAMING = 2
 #: Sets of one signature that are compared in one block.
 BLOCK_SETS = 512
 #: Lists of ids that are broadcast have at most so many rows of three numbers; longer ones are joined by shuffle.
@@ -183,22 +185,32 @@ def _with_component(met: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _hub_pairs(known: DataFrame, reps: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each node with the first and last node of its signature and class of sizes, where these are of another component.
+    """Each node with the hub of a few of its signatures, where that has another label and may link.
 
-    Sets of one class differ by a factor of 100 / percent at most; every other turn's classes begin halfway.
-    Hubs come by an order of components that differs from turn to turn, so large components aren't preferred.
+    From the second turn on a signature has a hub for each class of sizes; sets of one class differ by a factor of
+    100 / percent at most, and hubs come by an order of labels, so that large groups aren't preferred.
     """
-    kind = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent) + 0.5 * (turn % 2))
-    known = known.withColumn("kind", kind)
-    key = F.struct(F.xxhash64("comp", F.lit(turn)).alias("order"), "node", "comp", "n")
-    hubs = known.groupBy("sig", "kind").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo.comp <> hi.comp")
-    both = known.join(hubs, ["sig", "kind"]).select("node", "n", "comp", F.explode(F.array("lo", "hi")).alias("hub"))
-    apart = both.where((F.col("comp") != F.col("hub.comp")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    own = Window.partitionBy("node")
+    shared = known.withColumn("weight", F.sum("size").over(own) if turn == 0 else F.xxhash64("comp", F.lit(turn)))
+    shared = shared.withColumn("most", F.row_number().over(own.orderBy(F.desc("size"), "sig"))).withColumn("least", F.row_number().over(own.orderBy("size", "sig")))
+    kind = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent)) if turn else F.lit(0)
+    few = shared.where((F.col("most") <= NAMING) | (F.col("least") <= NAMING)).select("sig", kind.alias("kind"), "node", "n", "comp", "weight")
+    hubs = few.groupBy("sig", "kind").agg(F.max(F.struct("weight", "node", "comp", "n")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    apart = few.join(hubs.drop("lo", "hi"), ["sig", "kind"]).where((F.col("comp") != F.col("hub.comp")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
     pairs = apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close(percent), "a long, b long")
 
 
+def _nearby(links: DataFrame) -> DataFrame:
+    """``node, label``: of a node and those it is linked to the one with the most links; equal labels are one component."""
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("degree"))
+    seen = both.join(degree, "b").select(F.col("a").alias("node"), F.struct("degree", "b").alias("best"))
+    own = degree.select(F.col("b").alias("node"), F.struct("degree", "b").alias("best"))
+    return seen.unionByName(own).groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.b").alias("label"))
+
+
 def _mixed(known: DataFrame, work: common.Workspace, name: str) -> DataFrame:
     """Rows of signatures whose sets are in several components still."""
     open_ = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
@@ -249,8 +261,10 @@ def similar_components(rows: DataFrame, indexed: DataFrame, k: int, percent: int
         new = _links(pairs, reps, rows, k, percent, work, f"turn-{turn}")
         if new is not None:
             links = new if links is None else links.union(new)
-            labels = connected_components(links, work, f"components-{turn}")
+            labels = None if in_blocks else work.save(_nearby(links), f"labels-{turn}")
         turn += 1
+    if links is not None:
+        labels = connected_components(links, work)
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")

@@ -261,7 +261,10 @@ def similar_components(rows: DataFrame, indexed: DataFrame, k: int, percent: int
         new = _links(pairs, reps, rows, k, percent, work, f"turn-{turn}")
         if new is not None:
             links = new if links is None else links.union(new)
-            labels = None if in_blocks else work.save(_nearby(links), f"labels-{turn}")
+            if turn + 1 >= TURNS:  # what is compared in blocks next needs whole components
+                labels = connected_components(links, work, f"components-{turn}")
+            elif not in_blocks:
+                labels = work.save(_nearby(links), f"labels-{turn}")
         turn += 1
     if links is not None:
         labels = connected_components(links, work)

@@ -8,7 +8,7 @@ from glob import glob
 import duckdb
 import pytest
 
-from tessera.plans import catalog, experiments, more, roundtrips  # noqa: F401
+from tessera.plans import catalog, experiments, more, records, roundtrips  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.io import shared_folder
+
 
 def connected_components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """``node, component`` (the smallest node) for an edge table ``a, b``.
@@ -14,7 +16,7 @@ def connected_components(edges: DataFrame, checkpoint: bool = True) -> DataFrame
     """
     spark = edges.sparkSession
     if checkpoint and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     cut = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df.persist())
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))

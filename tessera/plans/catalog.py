@@ -881,6 +881,36 @@ def g02_identities(spark, sf_dir):
     return graph.resolve_identities(graph.assign_identities(rows)).select("row_id", "identity_id", "identity_type")
 
 
+@query(
+    "g02_chains",
+    """
+WITH l AS (SELECT c_custkey AS k, p, side FROM customer, range(7) p(p), range(3) s(side)),
+x AS (SELECT *, CASE k % 3 WHEN 0 THEN 0 ELSE 7 END AS top, CASE k % 3 WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE -1 END AS alone, p + LEAST(side, 1) AS pos FROM l),
+y AS (SELECT *, CASE WHEN side = 2 AND (p = alone OR p + 1 = alone) THEN 'name:n' WHEN side < 2 AND pos = alone THEN 'orcid:' || k || '-' || pos ELSE 'orcid:' || k || '-' || top END AS identity_id FROM x)
+SELECT k * 21 + p * 3 + side AS row_id, identity_id, CASE WHEN identity_id = 'name:n' THEN 'name_only' ELSE 'orcid' END AS identity_type FROM y
+""",
+)
+def g02_chains(spark, sf_dir):
+    """A chain of eight people for each customer, linked by seven papers, with an ORCID at its end and mostly at both.
+
+    Papers go up the chain or, where the key leaves a rest of 1, down; the last of them would join two ORCIDs and is
+    refused, and so is its row known by name only.
+    """
+    k, p, side = c("k"), c("p"), c("side")
+    links = t(spark, sf_dir, "customer").select(c("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("p")).select("k", "p", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("side"))
+    at = p + F.least(side, F.lit(1))
+    ident = F.concat_ws("-", k, at)
+    rows = links.select(
+        (k * 21 + p * 3 + side).alias("row_id"),
+        F.concat_ws("-", k, F.when(k % 3 == 1, 6 - p).otherwise(p)).alias("paper_key"),
+        F.lit("n").alias("name_key"),
+        F.lit("ann").alias("given_key"),
+        F.when((side < 2) & ((at == 7) | (at == 0) & (k % 3 != 2)), ident).alias("orcid"),
+        F.when(side < 2, ident).alias("native_id"),
+    )
+    return graph.resolve_identities(graph.assign_identities(rows)).select("row_id", "identity_id", "identity_type")
+
+
 @query("m01_m02_text_classifier")
 def m01_m02_text_classifier(spark, sf_dir):
     """TF-IDF and weighted logistic regression on labelled documents; predictions for all labelled ones."""

@@ -18,7 +18,7 @@ c = F.col
 
 def folder(spark, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------ sources and sinks

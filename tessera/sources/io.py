@@ -10,7 +10,23 @@ from pyspark.sql import types as T
 
 # Types of known columns; all others of the outcome tables are text.
 PROJECT_NUMBERS = {"funding_amount": "double", "primary_topic_score": "double", "value_gbp": "double"}
-PROJECT_TEXT = "discipline_primary fund_end fund_start grant_reference gtr_url lead_organisation participant_organisations principal_investigator project_id project_openalex_url project_title research_subjects research_topics sectors ukri_url".split()
+PROJECT_TEXT = (
+    "discipline_primary",
+    "fund_end",
+    "fund_start",
+    "grant_reference",
+    "gtr_url",
+    "lead_organisation",
+    "participant_organisations",
+    "principal_investigator",
+    "project_id",
+    "project_openalex_url",
+    "project_title",
+    "research_subjects",
+    "research_topics",
+    "sectors",
+    "ukri_url",
+)
 OUTCOME_NUMBERS = {"amount": "double", "cited_by": "bigint", "end": "bigint", "fwci": "double", "n_addresses": "bigint", "reference_count": "bigint", "start": "bigint", "times_cited_all_db": "bigint", "times_cited_core": "bigint", "total_pages": "bigint"}
 PROJECT_TYPES = {**{c: "string" for c in PROJECT_TEXT}, **PROJECT_NUMBERS}
 
@@ -22,6 +38,16 @@ def canonical_column(name: str, types: dict[str, str]) -> str:
     return rest if base not in types and rest in types else base
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one only where none is set and all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "/tmp/checkpoints"
+    return root.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -23,9 +23,17 @@ NON_LATIN = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\u0400-\u04ff\u
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d"
 FOLDS = {"ı": "i", "İ": "i", "ł": "l", "Ł": "l", "ø": "o", "Ø": "o", "đ": "d", "Đ": "d", "ß": "s", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe"}
 
-# Titles before a single name and suffixes after it, which a parser of personal names takes for no name of their own.
-TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "professor", "sir", "dame", "lady", "lord", "rev", "hon", "judge", "president", "captain", "capt", "col", "gen", "lt", "sgt")
-AFTER_NAMES = ("jr", "sr", "ii", "iii", "iv", "v", "esq", "phd", "md", "dds", "dphil")
+# Titles before a single name and suffixes after it, which a parser of personal names takes for no name of
+# their own. Two words are too few for it to join particles or conjunctions, so that these need no list here.
+TITLES = (
+    "admiral", "ambassador", "archbishop", "associate", "attorney", "aunt", "auntie", "baron", "baroness", "baronet", "bishop", "brigadier", "brother",
+    "canon", "capt", "captain", "cardinal", "chairman", "chancellor", "chaplain", "chief", "cllr", "cmdr", "col", "colonel", "commander", "commissioner", "congressman", "congresswoman", "corporal", "councillor", "count", "countess", "cpl", "cpt",
+    "dame", "deacon", "dean", "deputy", "director", "doctor", "dr", "duchess", "duke", "earl", "emperor", "empress", "father", "fr", "gen", "general", "gov", "governor", "hon", "honorable", "honourable", "judge", "justice", "king",
+    "lady", "lieutenant", "lord", "lt", "ltc", "madam", "madame", "maj", "major", "marquess", "marquis", "marshal", "master", "mayor", "messrs", "minister", "miss", "monsignor", "mother", "mr", "mrs", "ms", "msgr", "mx",
+    "officer", "pastor", "pope", "president", "priest", "prince", "princess", "private", "prof", "professor", "provost", "queen", "rabbi", "rear", "rep", "representative", "rev", "reverend",
+    "secretary", "sen", "senator", "sergeant", "sgt", "sheikh", "sheriff", "sir", "sister", "sultan", "superintendent", "treasurer", "uncle", "vice", "viscount", "viscountess", "warden",
+)
+AFTER_NAMES = ("jr", "jnr", "junior", "sr", "snr", "ii", "iii", "iv", "v", "esq", "esquire", "phd", "md", "dds", "dphil", "obe", "mbe", "cbe", "frs", "mba", "msc", "bsc")
 
 
 def normalise_name(c: Column) -> Column:

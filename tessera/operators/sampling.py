@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,36 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeat
 def rare_classes_out(df: DataFrame, label: str, least: int = 5) -> DataFrame:
     """rows of classes with so many rows at least."""
     return df.join(df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi")
+
+
+# ------------------------------------------------------------------ S26: samples that add up over runs
+def bottom_k(df: DataFrame, group: str, key: str, k: int, order: Column | None = None, seed: int = 42) -> DataFrame:
+    """Of each group the ``k`` different keys that come first in ``order`` (a hash of the key), one row for each.
+
+    Samples of parts add up: the first keys of all rows are the first among the parts' first, so ``bottom_k`` of a union
+    of samples is that of all rows. ``order`` must follow from the key alone. Each task lets only its first ``k`` keys of
+    a group through, so a group with most of the rows is no more to one task than any other. Of a repeated key's rows the
+    smallest stays, by the other columns in their order. Rows with a null key are left out; null is a group.
+    """
+    first = Window.partitionBy(group).orderBy(lot(key, seed) if order is None else order, key)
+    taken = df.where(F.col(key).isNotNull()).withColumn("__nth", F.dense_rank().over(first)).where(F.col("__nth") <= k).drop("__nth")
+    others = [c for c in df.columns if c not in (group, key)]
+    if not others:
+        return taken.distinct()
+    return taken.groupBy(group, key).agg(F.min(F.struct(*others)).alias("__row")).select(*[c if c in (group, key) else F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def sample_run(df: DataFrame, group: str, key: str, k: int, path: str, run: int, order: Column | None = None, seed: int = 42) -> None:
+    """Leave a run's sample in ``path``; a run that is made again replaces its own."""
+    bottom_k(df, group, key, k, order, seed).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
+
+
+def sampled(spark: SparkSession, path: str, group: str, key: str, k: int, order: Column | None = None, seed: int = 42) -> DataFrame:
+    """The sample over all runs left in ``path``, made with the same ``k`` or a larger one, the same order and seed."""
+    return bottom_k(spark.read.parquet(path).drop("run"), group, key, k, order, seed)
+
+
+def coverage(sample: DataFrame, group: str, has: Column) -> DataFrame:
+    """``group, n, n_has, share``: how many of a sample's rows have what is asked for; unknown counts as no."""
+    found = F.count_if(F.coalesce(has, F.lit(False)))
+    return sample.groupBy(group).agg(F.count(F.lit(1)).alias("n"), found.alias("n_has"), (found / F.count(F.lit(1))).alias("share"))

@@ -18,6 +18,7 @@ import posixpath
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -125,13 +126,12 @@ def land_pages(queries: DataFrame, fetch: Fetch, path: str, page_size: int, atte
 # ------------------------------------------------------------------ reading
 @dataclass
 class Pages(InputPartition):
-    """Some pages of one query."""
+    """Pages that one task reads."""
 
-    query: str
-    pages: list[int]
+    pages: list[tuple[str, int]]
 
     def __post_init__(self) -> None:
-        super().__init__(self.query)
+        super().__init__(self.pages)
 
 
 class _Reader:
@@ -139,22 +139,21 @@ class _Reader:
         self.path = options["path"]
         self.size = int(options.get("pagesPerTask", 64))
 
-    def split(self, query: str, pages: list[int]) -> Iterator[Pages]:
-        for i in range(0, len(pages), self.size):
-            yield Pages(query, pages[i : i + self.size])
+    def split(self, pages: Iterable[tuple[str, int]]) -> list[Pages]:
+        return [Pages(list(some)) for some in batched(pages, self.size)]
 
     def read(self, partition: Pages | None) -> Iterator[pa.RecordBatch]:
         landing = Landing(self.path)
-        for page in partition.pages if partition else ():  # Spark reads one partition, None, where there are none
-            records = landing.read(partition.query, page)
+        for query, page in partition.pages if partition else ():  # Spark reads one partition, None, where there are none
+            records = landing.read(query, page)
             n = len(records)
-            yield pa.RecordBatch.from_arrays([pa.array([partition.query] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(records, pa.string())], names=["query", "page", "ord", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array([query] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(records, pa.string())], names=["query", "page", "ord", "record"])
 
 
 class _BatchReader(_Reader, DataSourceReader):
     def partitions(self) -> list[Pages]:
         landing = Landing(self.path)
-        return [p for q in landing.queries() for p in self.split(q, landing.pages(q))]
+        return self.split((q, page) for q in landing.queries() for page in landing.pages(q))
 
 
 class _StreamReader(_Reader, DataSourceStreamReader):
@@ -171,7 +170,7 @@ class _StreamReader(_Reader, DataSourceStreamReader):
         return {q: n for q, n in self.known.items() if n}
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
-        return [p for q, n in sorted(end.items()) for p in self.split(q, list(range(start.get(q, 0), n)))]
+        return self.split((q, page) for q, n in sorted(end.items()) for page in range(start.get(q, 0), n))
 
 
 class LandedPages(DataSource):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.io import shared_folder
@@ -51,52 +51,158 @@ def assign_identities(df: DataFrame) -> DataFrame:
     return df.withColumns({"identity_id": ident, "identity_type": kind})
 
 
-def resolve_identities(df: DataFrame) -> DataFrame:
+#: Places of ids in groups that one task works on at most, where rounds can bring a component so far.
+MOST_LINKS = 250_000
+
+
+def resolve_identities(df: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
     """Unite identities that share a paper and a name key, when one given name and at most one ORCID speak for it.
 
     ``df`` has row_id, paper_key, name_key, given_key, identity_id, identity_type. Groups with no given name, several,
     or several ORCIDs are left alone. Rows known by name only take their group's identity one by one. Unions are made
-    in the order of papers and names within each component of candidate links, so two ORCIDs never meet in a chain;
-    a component is worked on by one task, everything else by shuffles.
+    in the order of papers and names, so two ORCIDs never meet in a chain. Components of candidate links stream through
+    tasks in that order; where one has more than ``most_links`` places, ``_contract`` first makes those unions that
+    don't depend on the order of others.
     """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     groups = (
         df.where("paper_key is not null and name_key is not null")
         .groupBy("paper_key", "name_key")
-        .agg(F.collect_set(F.when(F.col("identity_type") != "name_only", F.col("identity_id"))).alias("strong"), F.count_distinct("identity_id").alias("n_ids"), F.count_distinct("given_key").alias("n_given"))
-        .where("n_ids >= 2 and n_given = 1 and size(strong) >= 1")
-        .withColumn("strong", F.array_sort("strong"))
+        .agg(F.collect_set(F.when(F.col("identity_type") != "name_only", F.col("identity_id"))).alias("strong"), F.min("identity_id").alias("a"), F.max("identity_id").alias("b"), F.min("given_key").alias("c"), F.max("given_key").alias("d"))
+        .where("a < b and c = d and size(strong) >= 1")  # two identities, one given name
+        .select("paper_key", "name_key", F.array_sort("strong").alias("strong"))
+        .checkpoint()
     )
-    links = groups.where("size(strong) >= 2").select("paper_key", "name_key", F.col("strong")[0].alias("a"), F.explode(F.slice("strong", 2, 1 << 20)).alias("b"))
-    counts = df.groupBy("identity_id").agg(F.count(F.lit(1)).alias("n"))
-    components = connected_components(links.select("a", "b"))
-    sized = links.join(components.withColumnRenamed("node", "a"), "a").join(counts.select(F.col("identity_id").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("identity_id").alias("b"), F.col("n").alias("nb")), "b")
-
-    def unite(pdf):
-        import pandas as pd
-
-        parent: dict[str, str] = {}
-        size = {**dict(zip(pdf["a"], pdf["na"])), **dict(zip(pdf["b"], pdf["nb"]))}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        strength = lambda x: (not x.startswith("orcid:"), -size[x], x)
-        for _, g in pdf.sort_values(["paper_key", "name_key", "a", "b"]).groupby(["paper_key", "name_key"], sort=True):
-            roots = {root(x) for x in [*g["a"], *g["b"]]}
-            if sum(r.startswith("orcid:") for r in roots) > 1:
-                continue
-            best = min(roots, key=strength)
-            for r in roots - {best}:
-                parent[r] = best
-        names = sorted({*pdf["a"], *pdf["b"]})
-        return pd.DataFrame({"identity_id": names, "person": [root(x) for x in names]})
-
-    people = sized.groupBy("component").applyInPandas(unite, "identity_id string, person string")
-    anchor = groups.select("paper_key", "name_key", F.col("strong")[0].alias("identity_id"), "strong").join(people, "identity_id", "left")
-    clash = groups.select("paper_key", "name_key", F.explode("strong").alias("identity_id")).join(people, "identity_id", "left").groupBy("paper_key", "name_key").agg(F.count_distinct(F.coalesce("person", "identity_id")).alias("n_people"))
-    anchor = anchor.join(clash.where("n_people = 1"), ["paper_key", "name_key"]).select("paper_key", "name_key", F.coalesce("person", "identity_id").alias("anchor"))
+    links = _open(groups.withColumnRenamed("strong", "ids")).checkpoint()
+    sizes = df.groupBy("identity_id").agg(F.count(F.lit(1)).alias("n")).join(links.select(F.explode("ids").alias("identity_id")).distinct(), "identity_id", "left_semi").checkpoint()
+    places = lambda x: x.agg(F.sum(F.size("ids"))).first()[0] or 0
+    n, labels, components = places(links), None, None
+    if n > most_links:
+        components = connected_components(_hashed(_star(links)))
+        if _largest(links, components) > most_links:
+            components, before = None, n + 1
+            while n > most_links and n < before:
+                links, labels = _contract(links, labels, sizes)
+                n, before = places(links), n - n // 10
+            if n > most_links:
+                components = connected_components(_hashed(_star(links)))
+    people = _settle(links, components, sizes)
+    if labels is not None:
+        people = labels.join(people.withColumnRenamed("identity_id", "root"), "root", "full").select(F.coalesce("identity_id", "root").alias("identity_id"), F.coalesce("person", "root").alias("person"))
+    people = people.checkpoint()
+    members = groups.select("paper_key", "name_key", F.explode("strong").alias("identity_id")).join(people, "identity_id", "left")
+    one = members.groupBy("paper_key", "name_key").agg(F.min(F.coalesce("person", "identity_id")).alias("anchor"), F.max(F.coalesce("person", "identity_id")).alias("other"))
+    anchor = one.where("anchor = other").drop("other")
     out = df.join(people, "identity_id", "left").join(anchor, ["paper_key", "name_key"], "left")
     final = F.when(F.col("identity_type") == "name_only", F.coalesce("anchor", "identity_id")).otherwise(F.coalesce("person", "identity_id"))
     return out.withColumn("identity_id", final).drop("person", "anchor").withColumn("identity_type", F.when(F.col("identity_id").startswith("orcid:"), "orcid").when(F.col("identity_id").startswith("native:"), "native_id").otherwise("name_only"))
+
+
+def _open(links: DataFrame) -> DataFrame:
+    """Groups that may still unite something: two different ORCIDs are never united, so a group of two is refused whenever its turn comes."""
+    return links.where((F.size("ids") >= 2) & (F.size(F.filter("ids", lambda x: x.startswith("orcid:"))) <= 1))
+
+
+def _star(links: DataFrame) -> DataFrame:
+    return links.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a <> b")
+
+
+def _hashed(edges: DataFrame) -> DataFrame:
+    """Names by hashes: where two are equal, two components go to the same task, one after the other, to the same result."""
+    return edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+
+
+def _largest(links: DataFrame, components: DataFrame) -> int:
+    of = links.select(F.xxhash64(F.array_min("ids")).alias("node"), F.size("ids").alias("n")).join(components, "node")
+    return of.groupBy("component").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _strength(identity: Column, n: Column) -> Column:
+    """The least is the strongest: an ORCID, then the identity of most rows, then the first by name."""
+    return F.struct((~identity.startswith("orcid:")).alias("native"), (-n).alias("n"), identity.alias("root"))
+
+
+def _contract(links: DataFrame, labels: DataFrame | None, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A round: unions that are made whatever other groups do, then the groups left, by roots, and ``identity_id, root``.
+
+    A group is ready for an identity without ORCID if it is the first of that identity's groups: until its turn nothing
+    happens to that identity. A group that is so for all of its identities but one holds at most one ORCID when its turn comes,
+    so it is accepted now. The first group of all always is; of pairs, each identity without ORCID has one, so that their
+    number at least halves. An identity gets an ORCID by the first of its groups only, so groups left come after all
+    unions that lead from them to an ORCID, and those that hold two by now are refused.
+    """
+    members = links.select("paper_key", "name_key", F.explode("ids").alias("id"))
+    first = members.where(~F.col("id").startswith("orcid:")).groupBy("id").agg(F.min(F.struct("paper_key", "name_key")).alias("first"))
+    seen = members.join(first, "id", "left").groupBy("paper_key", "name_key").agg(F.collect_list("id").alias("ids"), F.count_if(F.coalesce(F.col("first") != F.struct("paper_key", "name_key"), F.lit(True))).alias("waiting"))
+    united = connected_components(_star(seen.where("waiting <= 1"))).withColumnRenamed("node", "identity_id")
+    sized = united.join(sizes, "identity_id")
+    best = sized.groupBy("component").agg(F.min(_strength(F.col("identity_id"), F.col("n"))).alias("best"))
+    step = united.join(best, "component").select(F.col("identity_id").alias("id"), F.col("best.root").alias("root")).checkpoint()
+    left = members.join(step, "id", "left").groupBy("paper_key", "name_key").agg(F.collect_set(F.coalesce("root", "id")).alias("ids"))
+    known = step.select(F.col("id").alias("identity_id"), "root")
+    if labels is not None:
+        known = labels.withColumnRenamed("root", "id").join(step, "id", "full").select(F.coalesce("identity_id", "id").alias("identity_id"), F.coalesce("root", "id").alias("root"))
+    return _open(left).checkpoint(), known.checkpoint()
+
+
+def _settle(links: DataFrame, components: DataFrame | None, sizes: DataFrame) -> DataFrame:
+    """``identity_id, person``: components (by hash) in turn, the groups of each in order; a task keeps the identities of one component."""
+    rows = links.withColumn("component", F.lit(0)) if components is None else links.withColumn("node", F.xxhash64(F.array_min("ids"))).join(components, "node").drop("node")
+    rows = rows.select("component", "paper_key", "name_key", F.explode("ids").alias("identity_id")).join(sizes, "identity_id")
+    rows = rows.repartition("component") if components is not None else rows.repartition(1)
+    ordered = rows.sortWithinPartitions("component", "paper_key", "name_key").select("component", "paper_key", "name_key", "identity_id", "n")
+    return ordered.mapInArrow(_unite, "identity_id string, person string")
+
+
+def _unite(batches):
+    import pyarrow as pa
+
+    parent: dict[str, str] = {}
+    size: dict[str, int] = {}
+    group: list[str] = []
+    at, names, people = None, [], []
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def close():
+        roots = {root(x) for x in group}
+        if len(roots) > 1 and sum(r.startswith("orcid:") for r in roots) <= 1:
+            best = min(roots, key=lambda x: (not x.startswith("orcid:"), -size[x], x))
+            for r in roots:
+                parent[r] = best
+        group.clear()
+
+    def out():
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(people, pa.string())], ["identity_id", "person"])
+        names.clear()
+        people.clear()
+        return batch
+
+    for batch in batches:
+        for component, paper, name, identity, n in zip(*[c.to_pylist() for c in batch.columns]):
+            if (component, paper, name) != at:
+                close()
+                if at is not None and component != at[0]:
+                    for x in size:
+                        names.append(x)
+                        people.append(root(x))
+                        if len(names) >= 10_000:
+                            yield out()
+                    parent.clear()
+                    size.clear()
+                at = (component, paper, name)
+            group.append(identity)
+            size[identity] = n
+    close()
+    for x in size:
+        names.append(x)
+        people.append(root(x))
+        if len(names) >= 10_000:
+            yield out()
+    yield out()

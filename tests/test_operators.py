@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,49 @@ def test_identities(spark):
     assert got == {1: "orcid:1", 2: "orcid:1", 3: "orcid:1", 4: "name:smith_j", 5: "orcid:1", 6: "orcid:2", 7: "native:5", 8: "native:6"}
 
 
+def united(data):
+    """G02 said plainly: groups in order, each united unless that joins two ORCIDs."""
+    groups, size, parent = {}, {}, {}
+    for _, paper, name, given, ident, kind in data:
+        size[ident] = size.get(ident, 0) + 1
+        if paper is not None and name is not None:
+            g = groups.setdefault((paper, name), (set(), set(), set()))
+            g[0].add(ident), kind != "name_only" and g[1].add(ident), given is not None and g[2].add(given)
+
+    def root(x):
+        return x if parent.get(x, x) == x else root(parent[x])
+
+    good = {k: strong for k, (ids, strong, given) in groups.items() if len(ids) >= 2 and len(given) == 1 and strong}
+    for k in sorted(good):
+        roots = {root(x) for x in good[k]}
+        if sum(r.startswith("orcid:") for r in roots) <= 1:
+            best = min(roots, key=lambda x: (not x.startswith("orcid:"), -size[x], x))
+            parent |= {r: best for r in roots}
+    anchor = {k: roots.pop() for k, strong in good.items() if len(roots := {root(x) for x in strong}) == 1}
+    return {i: anchor.get((paper, name), ident) if kind == "name_only" else root(ident) for i, paper, name, _, ident, kind in data}
+
+
+@pytest.mark.parametrize("most_links", [0, 6, 10_000])
+def test_identities_by_rounds(spark, most_links):
+    rng = random.Random(most_links)
+    data = []
+    for i in range(400):
+        kind = rng.choice(["orcid", "native_id", "native_id", "native_id", "name_only"])
+        block = rng.randrange(6)
+        ident = "name:n" if kind == "name_only" else f"{kind[:6].rstrip('_')}:{block}-{rng.randrange(12 if kind == 'orcid' else 40)}"
+        data.append((i, f"{block}-{rng.randrange(30)}", rng.choice("nnm"), "ann", ident, kind))
+    df = spark.createDataFrame(data, "row_id int, paper_key string, name_key string, given_key string, identity_id string, identity_type string")
+    assert dict(rows(graph.resolve_identities(df, most_links), "row_id", "identity_id")) == united(data)
+
+
+def test_identities_share_tasks(spark):
+    data = [(2 * i + j, f"p{i}", "n", "ann", f"native:{i}-{j}", "native_id") for i in range(500) for j in (0, 1)]
+    df = spark.createDataFrame(data, "row_id int, paper_key string, name_key string, given_key string, identity_id string, identity_type string")
+    got = graph.resolve_identities(df, 10)
+    assert len({r["identity_id"] for r in got.collect()}) == 500
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # no call for each component
+
+
 def test_registry(spark):
     seen = spark.createDataFrame([("Firm Ltd", "a"), ("FIRM LIMITED", "b"), ("Firm Ltd", "b"), (" ", "a"), (None, "a"), ("Uni of X", "a")], "name string, source string")
     got = registry.entities(seen)
@@ -180,3 +224,9 @@ def test_io(spark, tmp_path):
     assert io.manifest(spark, {"c": f"{tmp_path}/c"}, {"n": 1}, {"n": 2}).count() >= 1
     sheet = spark.createDataFrame([("title", None), ("project_id", "code"), ("p1", "A"), ("", "B")], "a string, b string")
     assert rows(io.coded_sheet(sheet.coalesce(1)), "project_id", "code") == [("p1", "A")]
+
+
+def test_extract_keeps_every_row(spark):
+    df = spark.range(200_001).select("id", F.lit("abcdef").alias("s"), F.lit("x").alias("long"))
+    got = io.extract(df, drop=("long",), characters=5)
+    assert got.columns == ["id", "s"] and got.count() == 200_001 and got.first()["s"] == "abcde"

@@ -367,3 +367,8 @@ def to_number(c: Column) -> Column:
 def to_timestamp_ms(c: Column) -> Column:
     """From milliseconds since the epoch."""
     return F.timestamp_millis(c.cast("string").try_cast("double").cast("bigint"))
+
+
+def day_text(c: Column) -> Column:
+    """A time's day as year, month and day; the year in four digits or, after 9999, in as many as it has, without a sign."""
+    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd"), r"^\+", "")

@@ -23,7 +23,7 @@ def p03_casts(spark, sf_dir):
     flag = F.when(k == 0, " Yes").when(k == 1, "0.0").when(k == 2, "maybe")
     num = F.when(c("event_id") % 3 == 0, "n/k").otherwise(c("value").cast("string"))
     ms = F.concat((c("event_id") * 86_400_000).cast("string"), F.lit(".0"))
-    return t(spark, sf_dir, "events").select("event_id", text.to_boolean(flag).alias("flag"), text.to_number(num).alias("num"), F.date_format(text.to_timestamp_ms(ms), "yyyy-MM-dd").alias("day"))
+    return t(spark, sf_dir, "events").select("event_id", text.to_boolean(flag).alias("flag"), text.to_number(num).alias("num"), text.day_text(text.to_timestamp_ms(ms)).alias("day"))
 
 
 @query(

@@ -123,3 +123,10 @@ def test_names(spark):
     assert one(spark, names.completeness(c), t="Smith") == "surname_only"
     assert one(spark, names.flags(c, c), t="Smith 2, 真") == "non_latin_script; digits_remain"
     assert one(spark, text.name_shape(c), t="Smith J.A.") == "surname + initials"
+
+
+def test_days_of_late_years(spark):
+    ms = [0, 253_402_300_799_000, 253_402_300_800_000, 518_400_000_000_000]
+    df = spark.createDataFrame([(str(x) + ".0",) for x in ms] + [(None,)], "ms string")
+    got = [r["d"] for r in df.select(text.day_text(text.to_timestamp_ms(F.col("ms"))).alias("d")).collect()]
+    assert got == ["1970-01-01", "9999-12-31", "10000-01-01", "18397-06-11", None]

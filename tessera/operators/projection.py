@@ -28,7 +28,8 @@ def project(weights: DataFrame, key: str, dims: int = 256) -> DataFrame:
     if dims % BLOCKS or not BLOCKS <= dims <= BLOCKS << 15:
         raise ValueError(f"{dims} places")
     width, digest = dims // BLOCKS, F.md5(F.col("term").cast("binary"))
-    group = [F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("int") for j in range(BLOCKS)]
+    words = [F.conv(F.substring(digest, i, 12), 16, 10).cast("bigint") for i in (1, 13, 21)]  # twelve digits hold three groups, the last word the last two
+    group = [F.shiftright(words[w], shift).bitwiseAND(0xFFFF).cast("int") for w, shift in ((0, 32), (0, 16), (0, 0), (1, 32), (1, 16), (1, 0), (2, 16), (2, 0))]
     amount = F.round(F.col("weight") * UNIT).cast("bigint")
     adds = [F.struct((j * width + F.shiftright(g, 1) % width).cast("int").alias("pos"), F.when(g % 2 == 0, amount).otherwise(-amount).alias("v")) for j, g in enumerate(group)]
     rows = weights.where("term is not null and weight is not null").select(key, F.explode(F.array(*adds)).alias("__add"))

@@ -153,56 +153,61 @@ def _settle(links: DataFrame, components: DataFrame | None, sizes: DataFrame) ->
     rows = rows.select("component", "paper_key", "name_key", F.explode("ids").alias("identity_id")).join(sizes, "identity_id")
     rows = rows.repartition("component") if components is not None else rows.repartition(1)
     ordered = rows.sortWithinPartitions("component", "paper_key", "name_key").select("component", "paper_key", "name_key", "identity_id", "n")
-    return ordered.mapInArrow(_unite, "identity_id string, person string")
-
-
-def _unite(batches):
-    import pyarrow as pa
-
-    parent: dict[str, str] = {}
-    size: dict[str, int] = {}
-    group: list[str] = []
-    at, names, people = None, [], []
-
-    def root(x):
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    def close():
-        roots = {root(x) for x in group}
-        if len(roots) > 1 and sum(r.startswith("orcid:") for r in roots) <= 1:
-            best = min(roots, key=lambda x: (not x.startswith("orcid:"), -size[x], x))
-            for r in roots:
-                parent[r] = best
-        group.clear()
-
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(people, pa.string())], ["identity_id", "person"])
-        names.clear()
-        people.clear()
-        return batch
-
-    for batch in batches:
-        for component, paper, name, identity, n in zip(*[c.to_pylist() for c in batch.columns]):
-            if (component, paper, name) != at:
-                close()
-                if at is not None and component != at[0]:
-                    for x in size:
-                        names.append(x)
-                        people.append(root(x))
-                        if len(names) >= 10_000:
-                            yield out()
-                    parent.clear()
-                    size.clear()
-                at = (component, paper, name)
-            group.append(identity)
-            size[identity] = n
-    close()
-    for x in size:
-        names.append(x)
-        people.append(root(x))
-        if len(names) >= 10_000:
-            yield out()
-    yield out()
+    return ordered.mapInArrow(_uniter(), "identity_id string, person string")
+
+
+def _uniter():
+    """The function of the tasks, made here so that it travels by value and workers need not import this package for it."""
+
+    def unite(batches):
+        import pyarrow as pa
+
+        parent: dict[str, str] = {}
+        size: dict[str, int] = {}
+        group: list[str] = []
+        at, names, people = None, [], []
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def close():
+            roots = {root(x) for x in group}
+            if len(roots) > 1 and sum(r.startswith("orcid:") for r in roots) <= 1:
+                best = min(roots, key=lambda x: (not x.startswith("orcid:"), -size[x], x))
+                for r in roots:
+                    parent[r] = best
+            group.clear()
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(people, pa.string())], ["identity_id", "person"])
+            names.clear()
+            people.clear()
+            return batch
+
+        for batch in batches:
+            for component, paper, name, identity, n in zip(*[c.to_pylist() for c in batch.columns]):
+                if (component, paper, name) != at:
+                    close()
+                    if at is not None and component != at[0]:
+                        for x in size:
+                            names.append(x)
+                            people.append(root(x))
+                            if len(names) >= 10_000:
+                                yield out()
+                        parent.clear()
+                        size.clear()
+                    at = (component, paper, name)
+                group.append(identity)
+                size[identity] = n
+        close()
+        for x in size:
+            names.append(x)
+            people.append(root(x))
+            if len(names) >= 10_000:
+                yield out()
+        yield out()
+
+    return unite

@@ -248,7 +248,7 @@ def similar_components(rows: DataFrame, indexed: DataFrame, k: int, percent: int
     met = work.save(sigs.join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups, "sig").select("node", "n", "sig"), "met-0")
     common.release_shuffles(spark)
 
-    links, labels, turn, in_blocks = None, None, 0, False
+    links, labels, whole, turn, in_blocks = None, None, False, 0, False
     while not in_blocks:
         known = _mixed(_with_component(met, labels), work, f"met-{turn + 1}")
         work.drop(f"met-{turn}")
@@ -262,11 +262,12 @@ def similar_components(rows: DataFrame, indexed: DataFrame, k: int, percent: int
         if new is not None:
             links = new if links is None else links.union(new)
             if turn + 1 >= TURNS:  # what is compared in blocks next needs whole components
-                labels = connected_components(links, work, f"components-{turn}")
+                labels, whole = connected_components(links, work, f"components-{turn}"), True
+                links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # a star says the same
             elif not in_blocks:
                 labels = work.save(_nearby(links), f"labels-{turn}")
         turn += 1
-    if links is not None:
+    if links is not None and not whole:
         labels = connected_components(links, work)
 
     if labels is None:

@@ -613,6 +613,31 @@ def test_components_of_repeated_rows(spark, times):
     assert got == brute.jaccard_components(docs)
 
 
+def test_components_of_large_groups(spark, monkeypatch):
+    """A star, a path, two stars that share their leaves, loops and repeated edges; edges left fall fast from round to round."""
+    from tessera.llm import common, components
+
+    star = [(1000, k) for k in range(1001, 1400)]
+    path = [(k, k + 1) for k in range(2000, 2200)]
+    hubs = [(h, k) for h in (3000, 3999) for k in range(3001, 3300)]
+    edges = star + path + hubs + [(7, 7), (8, 9), (9, 8), (8, 9)]
+    sizes, save = [], common.Workspace.save
+
+    def counted(self, df, name, *rest):
+        out = save(self, df, name, *rest)
+        if "-edges" in name:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Workspace, "save", counted)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), common.Workspace(spark, "test"))
+    want = {k: 1000 for k in range(1000, 1400)} | {k: 2000 for k in range(2000, 2201)} | {k: 3000 for k in [*range(3000, 3300), 3999]} | {8: 8, 9: 8}
+    assert {r["node"]: r["label"] for r in got.collect()} == want and got.count() == len(want)
+    assert sizes[-1] == 0 and sum(sizes) <= 2 * sizes[0]
+    none = components.connected_components(spark.createDataFrame([(5, 5)], "a long, b long"), common.Workspace(spark, "test"))
+    assert none.columns == ["node", "label"] and none.count() == 0
+
+
 def test_rows_of_one_id_and_checksum(spark):
     """Texts of one CRC-32 under one id, or under none, stay apart."""
     rows = [(7, LIKE_CRC[0]), (7, LIKE_CRC[1]), (None, LIKE_CRC[0]), (None, LIKE_CRC[1]), (-(1 << 63), LIKE_CRC[1])]

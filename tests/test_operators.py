@@ -203,6 +203,21 @@ def test_learning(spark):
     assert vote.join(df, "id").where("prediction <> label").count() == 0
 
 
+def test_learning_sends_a_gradient_for_each_core(spark):
+    """However many partitions the rows are in."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame([(float(i % 2), 1.0, [float(i % 2), float(i % 3)]) for i in range(96)], "label double, weight double, x array<double>").repartition(48)
+    sc.setJobGroup("gradients", "fit")
+    try:
+        learn.logistic(df.select("label", "weight", learn.as_vector("x").alias("features")), 1.0)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("gradients") for s in track.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s is not None and "treeAggregate" in s.name]
+    assert tasks and max(tasks) <= sc.defaultParallelism
+
+
 def test_io(spark, tmp_path):
     df = spark.createDataFrame([("1", "x", "5")], "outcome_id string, gtr_title_clean string, gtr_cited_by string")
     io.write_csv(df, f"{tmp_path}/c")

@@ -65,6 +65,11 @@ WORK_SCALARS = {
 
 
 # ------------------------------------------------------------------ the walker
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with the value found once, however often it is used: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def text_at(node: Column, path: str = "$") -> Column:
     """The value at a path as text; null where it is absent or null."""
     return F.try_variant_get(node, path, "string")
@@ -155,8 +160,9 @@ def identified(people: Column, known: Column) -> Column:
     def one(p: Column) -> Column:
         same = F.filter(known, lambda k: (k["surname"] == p["surname"]) & (k["forename"] == p["forename"]))
         near = F.filter(known, lambda k: (k["surname"] == p["surname"]) & (k["forename"] != "") & (F.left(k["forename"], F.lit(1)) == F.left(p["forename"], F.lit(1))))
-        hit = F.when(F.size(same) > 0, F.try_element_at(same, F.lit(-1))).when((p["forename"] != "") & (F.size(near) == 1), F.get(near, 0))
-        return F.struct(p["author"].alias("author"), F.coalesce(hit["researcher_id"], F.lit("")).alias("researcher_id"), F.coalesce(hit["orcid"], F.lit("")).alias("orcid"))
+        alone = F.when(p["forename"] != "", once(near, lambda n: F.when(F.size(n) == 1, F.get(n, 0))))
+        hit = once(same, lambda s: F.when(F.size(s) > 0, F.try_element_at(s, F.lit(-1))).otherwise(alone))
+        return once(hit, lambda h: F.struct(p["author"].alias("author"), F.coalesce(h["researcher_id"], F.lit("")).alias("researcher_id"), F.coalesce(h["orcid"], F.lit("")).alias("orcid")))
 
     return F.transform(people, one)
 

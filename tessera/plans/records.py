@@ -16,10 +16,14 @@ ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_s
 
 
 def people(spark, sf_dir) -> DataFrame:
-    """A row for each order with its lines in order as ``people``."""
+    """A row for each order with its lines in order as ``people``.
+
+    Rows are few bytes, but much is made of each: dealt into a fixed number of parts, which aren't merged by their bytes.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     line = t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("o_orderkey"), F.struct(c("l_linenumber").alias("n"), c("l_partkey").alias("p"), c("l_suppkey").alias("s")).alias("x"))
-    gathered = line.groupBy("o_orderkey").agg(F.array_sort(F.collect_list("x")).alias("people"))
-    return t(spark, sf_dir, "orders").select("o_orderkey").join(gathered, "o_orderkey", "left")
+    gathered = line.repartition(parts, "o_orderkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list("x")).alias("people"))
+    return t(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey").join(gathered, "o_orderkey", "left")
 
 
 def last(x: Column) -> Column:
@@ -32,7 +36,8 @@ def first(x: Column) -> Column:
 
 def shaped(values: Column) -> Column:
     """JSON texts as a node: a list, one value alone, or null for none."""
-    return F.coalesce(F.when(F.size(values) > 1, F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))), F.get(values, 0), F.lit("null"))
+    one = lambda v: F.coalesce(F.when(F.size(v) > 1, F.concat(F.lit("["), F.array_join(v, ","), F.lit("]"))), F.get(v, 0), F.lit("null"))
+    return records.once(values, one)
 
 
 def each(make) -> Column:

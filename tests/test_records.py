@@ -1,7 +1,9 @@
 """Flattened records: one value, a list or none at any node; authors stay aligned with their identifiers."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import records
@@ -116,3 +118,21 @@ def test_works_and_awards(spark):
     award = {"id": "G", "amount": 5.5, "primary_topic": {"score": 0.5, "field": {"display_name": "F"}}}
     got = records.flatten_awards(variants(spark, [award, None]), "rec").orderBy("k").collect()
     assert (got[0]["project_openalex_url"], got[0]["funding_amount"], got[0]["field"], got[0]["domain"], got[1]["field"]) == ("G", "5.5", "F", None, None)
+
+
+def test_records_are_dealt_however_few_bytes_their_rows_have(spark):
+    """Merging small partitions by their bytes would leave all records to one task."""
+    from tessera.plans import records as plans
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    used = plans.people(spark, sf).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_once(spark):
+    rows = spark.createDataFrame([(None,), ([],), (["1"],), (["1", "2"],)], "v array<string>")
+    from tessera.plans import records as plans
+
+    assert [r[0] for r in rows.select(plans.shaped(F.col("v"))).collect()] == ["null", "null", "1", "[1,2]"]

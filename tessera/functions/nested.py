@@ -44,7 +44,7 @@ def tag_distribution(df: DataFrame, key: str, tags: str, mapping: DataFrame) ->
 def inverted_index_text(index: Column) -> Column:
     """``{word: [positions]}`` back to text."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(places), lambda x: x["w"]), " ")
+    return F.array_join(F.sort_array(places)["w"], " ")
 
 
 def work_url(doi: Column, locations: Column) -> Column:

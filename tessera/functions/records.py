@@ -65,6 +65,7 @@ WORK_SCALARS = {
 
 
 # ------------------------------------------------------------------ the walker
+# A list is read once into records of the fields that are asked for; a value of another kind becomes null there.
 def once(value: Column, make: Callable[[Column], Column]) -> Column:
     """``make(value)`` with the value found once, however often it is used: as a lambda's variable."""
     return F.get(F.transform(F.array(value), make), 0)
@@ -77,7 +78,11 @@ def text_at(node: Column, path: str = "$") -> Column:
 
 def filled(node: Column, path: str = "$") -> Column:
     """As ``text_at``, and null for empty text."""
-    return F.nullif(text_at(node, path), F.lit(""))
+    return blank_null(text_at(node, path))
+
+
+def blank_null(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
 def listed(node: Column, path: str) -> Column:
@@ -91,34 +96,50 @@ def nodes(node: Column, path: str) -> Column:
     return F.coalesce(listed(node, path), F.filter(F.array(one), lambda x: x.isNotNull() & ~F.is_variant_null(x)))
 
 
-def is_record(node: Column) -> Column:
-    """Whether a value has named fields."""
-    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
+def shape(*fields: str) -> str:
+    """The type of a record of texts; ``name type`` is a field of that type."""
+    return "struct<" + ", ".join(f"`{f}` string" if " " not in f else "`{}` {}".format(*f.split(" ", 1)) for f in fields) + ">"
+
+
+def many(node: Column, path: str, kind: str) -> Column:
+    """As ``nodes``, with values of one type; one of another type, or absent, is null."""
+    return F.coalesce(F.try_variant_get(node, path, f"array<{kind}>"), F.array(F.try_variant_get(node, path, kind)))
+
+
+def records_at(node: Column, path: str, *fields: str) -> Column:
+    """The records at a path, with the fields that are named."""
+    return F.array_compact(many(node, path, shape(*fields)))
 
 
-def records_at(node: Column, path: str) -> Column:
-    """As ``nodes``, only values with named fields."""
-    return F.filter(nodes(node, path), is_record)
+def words_with(node: Column, path: str, *fields: str) -> Column:
+    """What is at a path, texts or records with a ``content``, as (word, record), the record null for a text."""
+    one = lambda x, t: F.struct(F.when(x.isNotNull(), x["content"]).otherwise(t).alias("word"), x.alias("record"))
+    return F.zip_with(many(node, path, shape("content", *fields)), many(node, path, "string"), one)
 
 
-def words_of(values: Column) -> Column:
-    """Texts of an array whose values are texts or records with a ``content``; blanks are dropped."""
-    one = lambda x: F.when(is_record(x), filled(x, CONTENT)).otherwise(filled(x))
-    return F.array_compact(F.transform(values, one))
+def words_at(node: Column, path: str) -> Column:
+    """Texts at a path whose values are texts or records with a ``content``; blanks are dropped."""
+    return present(words_with(node, path)["word"])
 
 
-def fields_of(values: Column, path: str) -> Column:
-    """One field of each value, blanks dropped."""
-    return F.array_compact(F.transform(values, lambda x: filled(x, path)))
+def present(texts: Column) -> Column:
+    """Texts that are neither null nor empty."""
+    return F.filter(texts, lambda x: x != "")
 
 
-def joined(values: Column, separator: str = SEPARATOR) -> Column:
-    return F.array_join(values, separator)
+def joined(texts: Column, separator: str = SEPARATOR) -> Column:
+    """Texts joined, nulls and blanks left out."""
+    return F.array_join(F.array_remove(texts, ""), separator)
 
 
-def chosen(values: Column, test: Callable[[Column], Column], path: str = CONTENT, last: bool = False) -> Column:
-    """A field of the first (or last) value that passes a test."""
-    return text_at(F.try_element_at(F.filter(values, test), F.lit(-1 if last else 1)), path)
+def aligned(texts: Column) -> Column:
+    """Texts joined, each in its place: null as an empty one."""
+    return F.array_join(texts, SEPARATOR, "")
+
+
+def chosen(values: Column, test: Callable[[Column], Column], field: str = "content", last: bool = False) -> Column:
+    """A field of the first (or last) record that passes a test."""
+    return F.try_element_at(F.filter(values, test), F.lit(-1 if last else 1))[field]
 
 
 def letters(c: Column) -> Column:
@@ -131,26 +152,28 @@ def contributors(record: Column) -> Column:
     """People named with identifiers in a record, with surname and forename as letters; no surname, no entry."""
 
     def one(x: Column) -> Column:
+        name = x["name"]
         return F.struct(
-            letters(text_at(x, "$.name.last_name")).alias("surname"),
-            letters(text_at(x, "$.name.first_name")).alias("forename"),
-            F.coalesce(text_at(x, "$.name.r_id"), F.lit("")).alias("researcher_id"),
-            F.coalesce(text_at(x, "$.name.orcid_id"), F.lit("")).alias("orcid"),
+            letters(name["last_name"]).alias("surname"),
+            letters(name["first_name"]).alias("forename"),
+            F.coalesce(name["r_id"], F.lit("")).alias("researcher_id"),
+            F.coalesce(name["orcid_id"], F.lit("")).alias("orcid"),
         )
 
-    found = F.transform(records_at(record, "$.static_data.contributors.contributor"), one)
-    return F.filter(found, lambda p: p["surname"] != "")
+    found = records_at(record, "$.static_data.contributors.contributor", f"name {shape('last_name', 'first_name', 'r_id', 'orcid_id')}")
+    return F.filter(F.transform(found, one), lambda p: p["surname"] != "")
 
 
 def authors(record: Column) -> Column:
     """Authors in order as (author, surname, forename); names of another role are left out."""
-    role = lambda x: F.coalesce(filled(x, "$.role"), F.lit("author"))
+    role = lambda x: F.coalesce(blank_null(x["role"]), F.lit("author"))
 
     def one(x: Column) -> Column:
-        shown = F.coalesce(filled(x, "$.display_name"), filled(x, "$.full_name"), F.lit(""))
-        return F.struct(shown.alias("author"), letters(text_at(x, "$.last_name")).alias("surname"), letters(text_at(x, "$.first_name")).alias("forename"))
+        shown = F.coalesce(blank_null(x["display_name"]), blank_null(x["full_name"]), F.lit(""))
+        return F.struct(shown.alias("author"), letters(x["last_name"]).alias("surname"), letters(x["first_name"]).alias("forename"))
 
-    return F.transform(F.filter(records_at(record, f"{SUMMARY}.names.name"), lambda x: role(x) == "author"), one)
+    found = many(record, f"{SUMMARY}.names.name", shape("role", "display_name", "full_name", "last_name", "first_name"))
+    return F.transform(F.filter(found, lambda x: x.isNotNull() & (role(x) == "author")), one)
 
 
 def identified(people: Column, known: Column) -> Column:
@@ -175,17 +198,21 @@ def institution_name(c: Column) -> Column:
 
 def addresses(record: Column) -> Column:
     """Addresses in order; ``institution`` is the preferred name (the last of several), else the first other one."""
+    preferred = lambda o: F.coalesce(o["record"]["pref"] == "Y", F.lit(False))
 
     def one(x: Column) -> Column:
-        spec = F.try_variant_get(x, "$.address_spec", "variant")
-        names = nodes(spec, "$.organizations.organization")
-        preferred = lambda o: is_record(o) & F.coalesce(text_at(o, "$.pref") == "Y", F.lit(False))
-        raw = F.get(words_of(F.filter(names, lambda o: ~preferred(o))), 0)
-        best = F.nullif(chosen(names, preferred, last=True), F.lit(""))
-        return F.struct(F.coalesce(best, raw).alias("institution"), raw.alias("institution_raw"), *[text_at(spec, f"$.{f}").alias(f) for f in ("city", "country", "full_address")])
+        spec = x["address_spec"]
+
+        def named(names: Column) -> Column:
+            raw = F.get(F.filter(names, lambda o: ~preferred(o) & (o["word"] != "")), 0)["word"]
+            best = blank_null(chosen(names, preferred, "word", last=True))
+            return F.struct(F.coalesce(best, raw).alias("institution"), raw.alias("institution_raw"), *[spec[f].alias(f) for f in ("city", "country", "full_address")])
 
-    has_spec = lambda x: F.try_variant_get(x, "$.address_spec", "map<string,variant>").isNotNull()
-    return F.transform(F.filter(records_at(record, f"{META}.addresses.address_name"), has_spec), one)
+        return once(words_with(spec["organizations"]["organization"], "$", "pref"), named)
+
+    spec = shape("city", "country", "full_address", f"organizations {shape('organization variant')}")
+    found = many(record, f"{META}.addresses.address_name", shape(f"address_spec {spec}"))
+    return F.transform(F.filter(found, lambda x: x["address_spec"].isNotNull()), one)
 
 
 def flatten_citation_records(df: DataFrame, record: str) -> DataFrame:
@@ -193,15 +220,15 @@ def flatten_citation_records(df: DataFrame, record: str) -> DataFrame:
     ``people`` (author, researcher_id, orcid, aligned) and ``address_rows``. The joined ``researcher_ids`` and
     ``orcids`` list only those that are present."""
     r = F.col(record)
-    kind = lambda name, value: lambda x: F.coalesce(text_at(x, f"$['{name}']") == value, F.lit(False))
+    kind = lambda name, value: lambda x: F.coalesce(x[name] == value, F.lit(False))
     base = df.withColumns(
         {
-            "__titles": nodes(r, f"{SUMMARY}.titles.title"),
-            "__ids": records_at(r, "$.dynamic_data.cluster_related.identifiers.identifier"),
-            "__silos": nodes(r, f"{CITED}.tc_list.silo_tc"),
-            "__subjects": records_at(r, f"{META}.category_info.subjects.subject"),
-            "__topics": nodes(r, f"{CITED}.citation_topics['subj-group'].subject"),
-            "__grants": records_at(r, f"{META}.fund_ack.grants.grant"),
+            "__titles": many(r, f"{SUMMARY}.titles.title", shape("type", "content")),
+            "__ids": many(r, "$.dynamic_data.cluster_related.identifiers.identifier", shape("type", "value")),
+            "__silos": many(r, f"{CITED}.tc_list.silo_tc", shape("coll_id", "local_count")),
+            "__subjects": many(r, f"{META}.category_info.subjects.subject", shape("ascatype", "content")),
+            "__topics": many(r, f"{CITED}.citation_topics['subj-group'].subject", shape("content-type", "content")),
+            "__grants": many(r, f"{META}.fund_ack.grants.grant", shape("grant_agency", f"grant_ids {shape('grant_id variant')}")),
             "__known": contributors(r),
             "__authors": authors(r),
             "address_rows": addresses(r),
@@ -209,34 +236,33 @@ def flatten_citation_records(df: DataFrame, record: str) -> DataFrame:
     )
     base = base.withColumn("people", identified(F.col("__authors"), F.col("__known")))
     t, ids, silos, subjects, topics, grants = (F.col(f"__{x}") for x in ("titles", "ids", "silos", "subjects", "topics", "grants"))
-    ident = lambda name: chosen(ids, kind("type", name), "$.value")
-    part = lambda name: joined(F.filter(F.transform("people", lambda p: p[name]), lambda x: x != ""))
-    category = lambda test: joined(fields_of(F.filter(subjects, test), CONTENT))
+    ident = lambda name: chosen(ids, kind("type", name), "value")
+    category = lambda test: joined(F.filter(subjects, test)["content"])
     columns = {
         "wos_uid": text_at(r, "$.UID"),
-        "doi": F.coalesce(F.nullif(ident("doi"), F.lit("")), ident("xref_doi")),
+        "doi": F.coalesce(blank_null(ident("doi")), ident("xref_doi")),
         "issn": ident("issn"),
         "eissn": ident("eissn"),
         "title": chosen(t, kind("type", "item")),
         "source_title": chosen(t, kind("type", "source")),
         **{name: text_at(r, path) for name, path in CITATION_SCALARS.items()},
-        "type": joined(words_of(nodes(r, f"{SUMMARY}.doctypes.doctype"))),
-        "times_cited_core": chosen(silos, kind("coll_id", "WOS"), "$.local_count", last=True),
-        "cited_by": chosen(silos, kind("coll_id", "WOK"), "$.local_count", last=True),
-        "author": joined(F.transform("people", lambda p: p["author"])),
-        "researcher_ids": part("researcher_id"),
-        "orcids": part("orcid"),
-        "institutions": joined(F.array_compact(F.transform("address_rows", lambda a: institution_name(F.nullif(a["institution"], F.lit("")))))),
-        "funding_agencies": joined(fields_of(grants, "$.grant_agency")),
-        "funding_grant_ids": joined(F.flatten(F.transform(grants, lambda g: words_of(nodes(g, "$.grant_ids.grant_id"))))),
-        "funding_text": joined(words_of(nodes(r, f"{META}.fund_ack.fund_text.p")), " "),
-        "abstract": joined(words_of(nodes(r, f"{META}.abstracts.abstract.abstract_text.p")), " "),
-        "author_keywords": joined(words_of(nodes(r, f"{META}.keywords.keyword"))),
-        "keywords": joined(words_of(nodes(r, "$.static_data.item.keywords_plus.keyword"))),
+        "type": joined(words_at(r, f"{SUMMARY}.doctypes.doctype")),
+        "times_cited_core": chosen(silos, kind("coll_id", "WOS"), "local_count", last=True),
+        "cited_by": chosen(silos, kind("coll_id", "WOK"), "local_count", last=True),
+        "author": aligned(F.col("people")["author"]),
+        "researcher_ids": joined(F.col("people")["researcher_id"]),
+        "orcids": joined(F.col("people")["orcid"]),
+        "institutions": F.array_join(F.transform("address_rows", lambda a: institution_name(blank_null(a["institution"]))), SEPARATOR),
+        "funding_agencies": joined(grants["grant_agency"]),
+        "funding_grant_ids": joined(F.flatten(F.transform(grants, lambda g: words_at(g["grant_ids"]["grant_id"], "$")))),
+        "funding_text": joined(words_at(r, f"{META}.fund_ack.fund_text.p"), " "),
+        "abstract": joined(words_at(r, f"{META}.abstracts.abstract.abstract_text.p"), " "),
+        "author_keywords": joined(words_at(r, f"{META}.keywords.keyword")),
+        "keywords": joined(words_at(r, "$.static_data.item.keywords_plus.keyword")),
         "categories_traditional": category(kind("ascatype", "traditional")),
         "categories_extended": category(lambda x: ~kind("ascatype", "traditional")(x)),
         **{f"citation_topic_{level}": chosen(topics, kind("content-type", level), last=True) for level in ("macro", "meso", "micro")},
-        "sdg_categories": joined(F.transform(records_at(r, f"{CITED}.SDG.sdg_category"), lambda x: F.coalesce(text_at(x, CONTENT), F.lit("")))),
+        "sdg_categories": aligned(records_at(r, f"{CITED}.SDG.sdg_category", "content")["content"]),
     }
     kept = [f"`{x}`" for x in df.columns if x != record and x not in columns and x not in ("people", "address_rows")]
     return base.select(*kept, *[v.alias(k) for k, v in columns.items()], "people", "address_rows")
@@ -247,28 +273,37 @@ def flatten_bibliographic_records(df: DataFrame, author: str = "author", institu
     """VARIANT columns of a bibliographic record as text. ``author`` lists the names there are; ``author_names``,
     ``author_ids`` and ``author_given_names`` have a place for each author. What isn't a list gives null, but for one
     institution alone. ``institution_rows`` keeps the institutions as records."""
-    people = F.filter(listed(F.col(author), "$"), is_record)
-    name = lambda a: F.coalesce(filled(a, "$['ce:indexed-name']"), filled(a, "$['ce:surname']"))
-    aligned = lambda f: joined(F.transform(people, lambda a: F.coalesce(f(a), F.lit(""))))
-    places = F.coalesce(listed(F.col(institutions), "$"), F.when(is_record(F.col(institutions)), F.array(institutions)))
-    fields = {"institution": "$.affilname", "city": "$['affiliation-city']", "country": "$['affiliation-country']", "institution_id": "$['@id']"}
-    rows = F.transform(F.filter(places, is_record), lambda x: F.struct(*[text_at(x, p).alias(k) for k, p in fields.items()]))
-    names = F.array_sort(F.array_distinct(fields_of(F.filter(places, is_record), "$.affilname")))
-    dollar = lambda c: joined(fields_of(listed(F.col(c), "$"), "$['$']"))
+    only_list = lambda c, *fields: F.try_variant_get(c, "$", f"array<{shape(*fields)}>")
+    place = {"institution": "affilname", "city": "affiliation-city", "country": "affiliation-country", "institution_id": "@id"}
+    alone = F.try_variant_get(institutions, "$", shape(*place.values()))
+    places = F.coalesce(only_list(institutions, *place.values()), F.when(alone.isNotNull(), F.array(alone)))
+    person = lambda a: F.struct(F.coalesce(blank_null(a["ce:indexed-name"]), blank_null(a["ce:surname"])).alias("name"), a["@auid"].alias("id"), a["ce:given-name"].alias("given"))
+    people = F.transform(F.array_compact(only_list(author, "ce:indexed-name", "ce:surname", "@auid", "ce:given-name")), person)
+    read = free(df, "__people"), free(df, "__places")
+    rows = F.array_compact(places).cast(f"array<{shape(*place)}>")
+    df = df.withColumns(dict(zip(read, (people, rows))))
+    p, rows = (F.col(x) for x in read)
     columns = {
-        "author": joined(F.array_compact(F.transform(people, name))),
-        "author_names": aligned(name),
-        "author_ids": aligned(lambda a: filled(a, "$['@auid']")),
-        "author_given_names": aligned(lambda a: filled(a, "$['ce:given-name']")),
-        "institutions": F.nullif(joined(names), F.lit("")),
-        "institution_rows": F.coalesce(rows, F.array().cast("array<struct<institution:string,city:string,country:string,institution_id:string>>")),
-        "subject_areas": dollar(subject_areas),
-        "keywords": dollar(keywords),
+        "author": joined(p["name"]),
+        "author_names": aligned(p["name"]),
+        "author_ids": aligned(p["id"]),
+        "author_given_names": aligned(p["given"]),
+        "institutions": blank_null(F.array_join(F.sort_array(F.array_distinct(F.array_remove(rows["institution"], ""))), SEPARATOR)),
+        "institution_rows": F.coalesce(rows, F.array().cast(f"array<{shape(*place)}>")),
+        "subject_areas": joined(only_list(subject_areas, "$")["$"]),
+        "keywords": joined(only_list(keywords, "$")["$"]),
     }
-    taken = {author, institutions, subject_areas, keywords, *columns}
+    taken = {author, institutions, subject_areas, keywords, *read, *columns}
     return df.select(*[f"`{x}`" for x in df.columns if x not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 # ------------------------------------------------------------------ P36: works and awards
 def flatten_awards(df: DataFrame, record: str) -> DataFrame:
     """A funded award's fields beside the other columns of ``df``; absent ones are null."""
@@ -282,23 +317,27 @@ def flatten_works(df: DataFrame, record: str) -> DataFrame:
     from tessera.functions.nested import inverted_index_text
 
     r = F.col(record)
-    df = df.withColumns({"__a": records_at(r, "$.authorships"), "__l": nodes(r, "$.locations")})
-    people = F.filter(F.transform("__a", lambda a: F.try_variant_get(a, "$.author", "variant")), lambda p: F.coalesce(F.size(F.try_variant_get(p, "$", "map<string,variant>")) > 0, F.lit(False)))
-    place = lambda f: joined(F.transform(people, lambda p: F.coalesce(f(p), F.lit(""))))
-    shown = lambda values: joined(F.array_distinct(fields_of(values, "$.display_name")))
-    first = lambda path: F.get(fields_of(F.col("__l"), path), 0)
+    # all fields of an author, since one with none isn't an author
+    df = df.withColumn("__a", many(r, "$.authorships", shape("author map<string,string>", "institutions variant")))
+    some = F.filter(F.col("__a")["author"], lambda p: F.size(p) > 0)
+    person = lambda p: F.struct(p["display_name"].alias("display_name"), p["id"].alias("id"), F.when(blank_null(p["id"]).isNotNull(), p["orcid"]).alias("orcid"))
+    df = df.withColumns({"__p": F.transform(some, person), "__l": many(r, "$.locations", shape("landing_page_url", "pdf_url"))})
+    p, places = F.col("__p"), F.col("__l")
+    shown = lambda names: F.array_join(F.array_distinct(F.array_remove(names, "")), SEPARATOR)
+    named = lambda node, path: many(node, path, shape("display_name"))["display_name"]
+    first = lambda texts: F.get(present(texts), 0)
     index = F.try_variant_get(r, "$.abstract_inverted_index", "map<string,array<int>>")
     columns = {
-        **{k: text_at(r, p) for k, p in WORK_SCALARS.items()},
-        "author": shown(people),
-        "author_names": place(lambda p: text_at(p, "$.display_name")),
-        "author_ids": place(lambda p: text_at(p, "$.id")),
-        "author_orcids": place(lambda p: F.when(filled(p, "$.id").isNotNull(), text_at(p, "$.orcid"))),
-        "institutions": shown(F.flatten(F.transform("__a", lambda a: nodes(a, "$.institutions")))),
+        **{k: text_at(r, path) for k, path in WORK_SCALARS.items()},
+        "author": shown(p["display_name"]),
+        "author_names": aligned(p["display_name"]),
+        "author_ids": aligned(p["id"]),
+        "author_orcids": aligned(p["orcid"]),
+        "institutions": shown(F.flatten(F.transform(F.col("__a")["institutions"], lambda x: named(x, "$")))),
         "abstract": F.when(F.size(index) > 0, inverted_index_text(index)),
-        "topics": shown(nodes(r, "$.topics")),
-        "url": F.coalesce(filled(r, "$.doi"), first("$.landing_page_url"), first("$.pdf_url")),
+        "topics": shown(named(r, "$.topics")),
+        "url": F.coalesce(filled(r, "$.doi"), first(places["landing_page_url"]), first(places["pdf_url"])),
         "doi": F.replace(filled(r, "$.doi"), F.lit("https://doi.org/"), F.lit("")),
     }
-    kept = [f"`{x}`" for x in df.columns if x not in (record, "__a", "__l", *columns)]
+    kept = [f"`{x}`" for x in df.columns if x not in (record, "__a", "__p", "__l", *columns)]
     return df.select(*kept, *[v.alias(k) for k, v in columns.items()])

@@ -15,15 +15,17 @@ LINES = """a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_su
 ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)"""
 
 
-def people(spark, sf_dir) -> DataFrame:
-    """A row for each order with its lines in order as ``people``.
+def people(spark, sf_dir, **made) -> DataFrame:
+    """A row for each order with its lines in order as ``people``, and beside it an array of what each function makes of a line.
 
     Rows are few bytes, but much is made of each: dealt into a fixed number of parts, which aren't merged by their bytes.
     """
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     line = t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("o_orderkey"), F.struct(c("l_linenumber").alias("n"), c("l_partkey").alias("p"), c("l_suppkey").alias("s")).alias("x"))
-    gathered = line.repartition(parts, "o_orderkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list("x")).alias("people"))
-    return t(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey").join(gathered, "o_orderkey", "left")
+    line = line.repartition(parts, "o_orderkey").select("o_orderkey", F.struct("x.*", *[make(c("x")).alias(k) for k, make in made.items()]).alias("x"))
+    gathered = line.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("x")).alias("people"))
+    out = t(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey").join(gathered, "o_orderkey", "left")
+    return out.select("o_orderkey", "people", *[c("people")[k].alias(k) for k in made])
 
 
 def last(x: Column) -> Column:
@@ -36,12 +38,13 @@ def first(x: Column) -> Column:
 
 def shaped(values: Column) -> Column:
     """JSON texts as a node: a list, one value alone, or null for none."""
-    one = lambda v: F.coalesce(F.when(F.size(v) > 1, F.concat(F.lit("["), F.array_join(v, ","), F.lit("]"))), F.get(v, 0), F.lit("null"))
-    return records.once(values, one)
+    return F.coalesce(F.when(F.size(values) > 1, F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))), F.get(values, 0), F.lit("null"))
 
 
-def each(make) -> Column:
-    return F.transform(F.coalesce(c("people"), F.array().cast("array<struct<n:int,p:bigint,s:bigint>>")), lambda x: F.to_json(make(x)))
+def node(values: Column) -> Column:
+    """As ``shaped``, of records that aren't JSON yet."""
+    text = F.to_json(values)
+    return F.when(F.size(values) > 1, text).when(F.size(values) == 1, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise("null")
 
 
 @query(
@@ -61,21 +64,23 @@ FROM orders LEFT JOIN each ON k = o_orderkey
 )
 def p39_citation_records(spark, sf_dir):
     """Contributors are the lines of odd numbers; a fifth of the records has no summary at all."""
-    name = lambda x: F.struct(last(x).alias("last_name"), first(x).alias("first_name"))
-    names = each(lambda x: F.struct(F.when(x["n"] % 2 == 0, "author").alias("role"), F.concat_ws(", ", last(x), first(x)).alias("display_name"), name(x)["last_name"].alias("last_name"), name(x)["first_name"].alias("first_name")))
-    odd = F.filter("people", lambda x: x["n"] % 2 == 1)
-    known = F.transform(odd, lambda x: F.to_json(F.struct(F.struct(last(x).alias("last_name"), first(x).alias("first_name"), F.concat(F.lit("r"), x["p"]).alias("r_id"), F.when(x["n"] == 3, F.concat(F.lit("o"), x["s"])).alias("orcid_id")).alias("name"))))
+    named = lambda x: (last(x).alias("last_name"), first(x).alias("first_name"))
     word = lambda x: F.concat(F.lit("k"), x["n"])
-    keywords = F.transform("people", lambda x: F.when(x["p"] % 2 == 0, F.to_json(F.struct(word(x).alias("content")))).otherwise(F.concat(F.lit('"'), word(x), F.lit('"'))))
-    grants = F.transform("people", lambda x: F.to_json(F.struct(F.struct(F.when(x["n"] != 2, F.concat(F.lit("g"), x["p"])).alias("grant_id")).alias("grant_ids"))))
-    doi = F.coalesce(F.concat(F.lit('{"type":"xref_doi","value":"10.1/'), F.array_max(F.transform("people", lambda x: x["p"])), F.lit('"}')), F.lit("null"))
-    summary = F.when(c("o_orderkey") % 5 == 0, "null").otherwise(F.format_string('{"titles":{"title":{"type":"item","content":"T%d"}},"names":{"name":%s}}', "o_orderkey", shaped(names)))
+    df = people(
+        spark, sf_dir,
+        name=lambda x: F.struct(F.when(x["n"] % 2 == 0, "author").alias("role"), F.concat_ws(", ", last(x), first(x)).alias("display_name"), *named(x)),
+        known=lambda x: F.when(x["n"] % 2 == 1, F.struct(F.struct(*named(x), F.concat(F.lit("r"), x["p"]).alias("r_id"), F.when(x["n"] == 3, F.concat(F.lit("o"), x["s"])).alias("orcid_id")).alias("name"))),
+        keyword=lambda x: F.when(x["p"] % 2 == 0, F.to_json(F.struct(word(x).alias("content")))).otherwise(F.concat(F.lit('"'), word(x), F.lit('"'))),
+        grant=lambda x: F.struct(F.struct(F.when(x["n"] != 2, F.concat(F.lit("g"), x["p"])).alias("grant_id")).alias("grant_ids")),
+    ).withColumn("known", F.array_compact("known"))
+    doi = F.coalesce(F.concat(F.lit('{"type":"xref_doi","value":"10.1/'), F.array_max(c("people")["p"]), F.lit('"}')), F.lit("null"))
+    summary = F.when(c("o_orderkey") % 5 == 0, "null").otherwise(F.format_string('{"titles":{"title":{"type":"item","content":"T%d"}},"names":{"name":%s}}', "o_orderkey", node(c("name"))))
     text = F.format_string(
         '{"UID":"R%d","static_data":{"summary":%s,"contributors":{"contributor":%s},"fullrecord_metadata":{"keywords":{"keyword":%s},"fund_ack":{"grants":{"grant":%s}}}},"dynamic_data":{"cluster_related":{"identifiers":{"identifier":%s}}}}',
-        "o_orderkey", summary, shaped(known), shaped(keywords), shaped(grants), doi,
+        "o_orderkey", summary, node(c("known")), shaped(c("keyword")), node(c("grant")), doi,
     )
-    flat = records.flatten_citation_records(people(spark, sf_dir).select("o_orderkey", F.parse_json(text).alias("rec")), "rec")
-    aligned = F.array_join(F.transform("people", lambda p: p["researcher_id"]), "; ")
+    flat = records.flatten_citation_records(df.select("o_orderkey", F.parse_json(text).alias("rec")), "rec")
+    aligned = F.array_join(c("people")["researcher_id"], "; ")
     return flat.select("o_orderkey", "wos_uid", "title", "author", aligned.alias("aligned"), "researcher_ids", "orcids", "author_keywords", "funding_grant_ids", "doi")
 
 
@@ -89,11 +94,14 @@ SELECT o_orderkey, COALESCE(author, '') AS author, COALESCE(author_names, '') AS
 )
 def p37_bibliographic_records(spark, sf_dir):
     """Authors always as a list; institutions as a list, alone or absent; a subject alone isn't read."""
-    author = each(lambda x: F.struct(F.when(x["n"] != 4, last(x)).alias("ce:surname"), F.when(x["p"] % 3 != 0, x["p"]).alias("@auid"), F.when(x["n"] % 2 == 1, first(x)).alias("ce:given-name")))
-    place = each(lambda x: F.struct(F.concat(F.lit("I"), x["s"] % 10).alias("affilname")))
-    subject = each(lambda x: F.struct(F.concat(F.lit("S"), x["n"]).alias("$")))
-    parts = {"author": F.concat(F.lit("["), F.array_join(author, ","), F.lit("]")), "institutions": shaped(place), "subject_areas": shaped(subject), "indexed_keywords": F.lit("null")}
-    df = people(spark, sf_dir).select("o_orderkey", *[F.parse_json(v).alias(k) for k, v in parts.items()])
+    made = people(
+        spark, sf_dir,
+        author=lambda x: F.struct(F.when(x["n"] != 4, last(x)).alias("ce:surname"), F.when(x["p"] % 3 != 0, x["p"]).alias("@auid"), F.when(x["n"] % 2 == 1, first(x)).alias("ce:given-name")),
+        place=lambda x: F.struct(F.concat(F.lit("I"), x["s"] % 10).alias("affilname")),
+        subject=lambda x: F.struct(F.concat(F.lit("S"), x["n"]).alias("$")),
+    )
+    parts = {"author": F.coalesce(F.to_json("author"), F.lit("[]")), "institutions": node(c("place")), "subject_areas": node(c("subject")), "indexed_keywords": F.lit("null")}
+    df = made.select("o_orderkey", *[F.parse_json(v).alias(k) for k, v in parts.items()])
     flat = records.flatten_bibliographic_records(df)
     return flat.select("o_orderkey", "author", "author_names", "author_ids", "author_given_names", "institutions", "subject_areas", F.size("institution_rows").cast("bigint").alias("n_rows"))
 
@@ -109,9 +117,12 @@ CASE WHEN o_orderkey % 4 = 0 THEN 'https://doi.org/10.1/' || o_orderkey ELSE COA
 )
 def p36_works(spark, sf_dir):
     """An ORCID beside no id isn't kept; the address is the DOI, else a page, else a file."""
-    author = each(lambda x: F.struct(F.struct(last(x).alias("display_name"), F.when(x["p"] % 4 != 0, F.concat(F.lit("A"), x["p"])).alias("id"), F.when(x["n"] % 2 == 1, F.concat(F.lit("o"), x["s"])).alias("orcid")).alias("author")))
-    place = each(lambda x: F.struct(F.when(x["n"] > 2, F.concat(F.lit("u"), x["p"])).alias("landing_page_url"), F.concat(F.lit("f"), x["s"]).alias("pdf_url")))
+    made = people(
+        spark, sf_dir,
+        author=lambda x: F.struct(F.struct(last(x).alias("display_name"), F.when(x["p"] % 4 != 0, F.concat(F.lit("A"), x["p"])).alias("id"), F.when(x["n"] % 2 == 1, F.concat(F.lit("o"), x["s"])).alias("orcid")).alias("author")),
+        place=lambda x: F.struct(F.when(x["n"] > 2, F.concat(F.lit("u"), x["p"])).alias("landing_page_url"), F.concat(F.lit("f"), x["s"]).alias("pdf_url")),
+    )
     doi = F.when(c("o_orderkey") % 4 == 0, F.format_string('"https://doi.org/10.1/%d"', "o_orderkey")).otherwise("null")
-    text = F.format_string('{"authorships":%s,"locations":%s,"doi":%s,"abstract_inverted_index":{"works":[2],"n%d":[0],"of":[1]},"cited_by_count":%d}', shaped(author), shaped(place), doi, "o_orderkey", "o_orderkey")
-    flat = records.flatten_works(people(spark, sf_dir).select("o_orderkey", F.parse_json(text).alias("rec")), "rec")
+    text = F.format_string('{"authorships":%s,"locations":%s,"doi":%s,"abstract_inverted_index":{"works":[2],"n%d":[0],"of":[1]},"cited_by_count":%d}', node(c("author")), node(c("place")), doi, "o_orderkey", "o_orderkey")
+    flat = records.flatten_works(made.select("o_orderkey", F.parse_json(text).alias("rec")), "rec")
     return flat.select("o_orderkey", "author", "author_names", "author_ids", "author_orcids", "doi", "url", "abstract", "cited_by")

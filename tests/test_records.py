@@ -136,3 +136,26 @@ def test_once(spark):
     from tessera.plans import records as plans
 
     assert [r[0] for r in rows.select(plans.shaped(F.col("v"))).collect()] == ["null", "null", "1", "[1,2]"]
+
+
+def test_fields_of_a_list_are_read_together(spark):
+    """A read of the VARIANT for each field of each value made the CPU of a record grow with both."""
+
+    def reads(df):  # within lambdas: of a list's values one by one
+        return df._jdf.queryExecution().analyzed().toString().count("variant_get(lambda")
+
+    rec = variants(spark, [None])
+    assert reads(rec.select(F.transform(records.nodes(F.col("rec"), "$"), lambda x: records.text_at(x)))) == 1
+    assert reads(records.flatten_works(rec, "rec")) <= 2  # institutions, a list within a list
+    four = rec.select(*[F.col("rec").alias(x) for x in ("author", "institutions", "subject_areas", "indexed_keywords")])
+    assert reads(records.flatten_bibliographic_records(four)) == 0
+
+
+def test_values_of_other_kinds_in_a_list(spark):
+    """Texts, numbers, lists and nulls among records; authors with fields that aren't read."""
+    work = {"authorships": ["x", 5, None, [], {"author": []}, {"author": {"other": 1}}, {"author": {"id": 7, "display_name": ""}, "institutions": {"display_name": "U"}}], "locations": [None, "x", {"pdf_url": ""}, {"pdf_url": ["p"]}]}
+    a, b = (r.asDict() for r in records.flatten_works(variants(spark, [work, {"authorships": {"author": {"id": "A"}}}]), "rec").orderBy("k").collect())
+    assert (a["author"], a["author_names"], a["author_ids"], a["institutions"], a["url"]) == ("", "; ", "; 7", "U", '["p"]')
+    assert (b["author"], b["author_names"], b["author_ids"]) == ("", "", "A")
+    rec = cited(meta={"keywords": {"keyword": ["a", 1, None, [], {"content": ["c"]}, {"x": 1}, ""]}})
+    assert flat(spark, [rec])[0]["author_keywords"] == 'a; 1; []; ["c"]'

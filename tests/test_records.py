@@ -159,3 +159,15 @@ def test_values_of_other_kinds_in_a_list(spark):
     assert (b["author"], b["author_names"], b["author_ids"]) == ("", "", "A")
     rec = cited(meta={"keywords": {"keyword": ["a", 1, None, [], {"content": ["c"]}, {"x": 1}, ""]}})
     assert flat(spark, [rec])[0]["author_keywords"] == 'a; 1; []; ["c"]'
+
+
+def test_bibliographic_values_of_other_kinds(spark):
+    author = ["x", 5, None, [], {}, {"ce:surname": "", "@auid": 7}, {"ce:indexed-name": ["n"], "ce:given-name": ""}]
+    place = [None, "x", {}, {"affilname": ""}, {"affilname": 3}]
+    rows = [(1, author, place, [{"$": 1}, "x", None]), (2, "x", "y", 3)]
+    df = spark.createDataFrame([(k, *[json.dumps(v) for v in r]) for k, *r in rows], "k int, author string, institutions string, subject_areas string")
+    df = df.select("k", F.lit("kept").alias("__people"), F.lit(None).cast("variant").alias("indexed_keywords"), *[F.parse_json(x).alias(x) for x in df.columns[1:]])
+    a, b = (r.asDict(recursive=True) for r in records.flatten_bibliographic_records(df).orderBy("k").collect())
+    assert (a["author"], a["author_names"], a["author_ids"], a["author_given_names"]) == ('["n"]', '; ; ["n"]', "; 7; ", "; ; ")
+    assert (a["institutions"], [r["institution"] for r in a["institution_rows"]], a["subject_areas"], a["__people"]) == ("3", [None, "", "3"], "1", "kept")
+    assert (b["author"], b["institutions"], b["institution_rows"], b["subject_areas"]) == (None, None, [], None)

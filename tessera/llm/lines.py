@@ -49,13 +49,13 @@ def _slot(h: Column) -> Column:
 
 
 def rarity_classes(texts: DataFrame) -> Column:
-    """An array literal: for each slot the number of binary digits of its words' count in all texts."""
+    """An array literal: for each slot the number of binary digits of its words' count in all texts, in the uppermost byte."""
     words = texts.select(F.explode(F.split(_spaced("text"), "[ \n]")).alias("word")).where("word <> ''")
     counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()  # SLOTS rows at most
     classes = [0] * SLOTS
     for r in counts:
-        classes[r["slot"]] = r["n"].bit_length()
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")  # folded to a constant by the optimizer
+        classes[r["slot"]] = r["n"].bit_length() << 56
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant by the optimizer
 
 
 def _spaced(text) -> Column:
@@ -66,8 +66,7 @@ def _spaced(text) -> Column:
 
 
 def _token(h: Column, classes: Column) -> Column:
-    rare = F.element_at(classes, _slot(h) + 1).cast("bigint")
-    return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
+    return F.get(classes, _slot(h)).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
 
 
 def line_tokens(line: Column, classes: Column) -> Column:
@@ -88,8 +87,9 @@ def sketches(tokens: Column, n: Column, percent: int) -> Column:
     def wide(some: Column, lanes: int) -> Column:  # in fours, upper bits of the lane's number first
         if lanes == 1:
             return F.array(_parity(some))
-        own = lambda g: F.filter(some, lambda t: F.shiftright(t, 6 + (lanes // 4).bit_length() - 1).bitwiseAND(F.lit(3)) == g)
-        return F.flatten(F.transform(F.array(*[F.lit(g).cast("bigint") for g in range(4)]), lambda g: wide(own(g), lanes // 4)))
+        low = lanes // 4 << 6  # the lower of the two bits
+        own = lambda g: F.filter(some, lambda t: t.bitwiseAND(F.lit(3 * low).cast("bigint")) == g)
+        return F.flatten(F.transform(F.array(*[F.lit(g * low).cast("bigint") for g in range(4)]), lambda g: wide(own(g), lanes // 4)))
 
     out = F.array(_parity(tokens))
     for (top, _), (_, lanes) in zip(CLASSES, CLASSES[1:]):
@@ -179,28 +179,31 @@ def dedupe_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 def _stars(sets: DataFrame, percent: int) -> DataFrame:
     """``x, y``: lines and the earliest lines in the bucket of one of their words, where they may be similar."""
     c = F.col
-    # one lane is as good as four for short lines; wider sketches are folded to four lanes
-    wide = F.when(F.size("sketch") <= 4, c("sketch")).otherwise(F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", F.lit(i + 4 * k)) for k in range(4)]) for i in range(4)]))
-    wide = F.when(F.size("sketch") <= 16, wide).otherwise(F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", F.lit(i + 4 * k)) for k in range(16)]) for i in range(4)]))
+    # one lane is as good as four for short lines, the others being 0; wider sketches are folded to four lanes
+    lane = lambda k: F.coalesce(F.get("sketch", F.lit(k)), F.lit(0).cast("bigint"))
+    folded = lambda i: F.when(F.size("sketch") <= 4, lane(i)).otherwise(reduce(lambda a, b: a.bitwiseXOR(b), [lane(k) for k in range(i, CLASSES[-1][1], 4)]))
+    lanes = [f"s{i}" for i in range(4)]
+    flat = sets.select("key", "first", "n", "prefix", (F.size("sketch") > 1).alias("wide"), *[folded(i).alias(s) for i, s in enumerate(lanes)])
+    flat = flat.withColumn("s", reduce(lambda a, b: a.bitwiseXOR(b), [c(s) for s in lanes]))
+    sketch = ["wide", "s", *lanes]
     # by hash, the class in the last byte: the rarest words of near copies are those in which they differ
     by_hash = F.sort_array(F.transform("prefix", lambda t: F.shiftleft(t, 8).bitwiseOR(F.shiftrightunsigned(t, 56))))
-    posted = sets.select("key", "first", "n", wide.alias("sketch"), F.slice(by_hash, 1, STAR_WORDS).alias("some")).select("key", "first", "n", "sketch", F.explode("some").alias("token"))
+    posted = flat.select("key", "first", "n", *sketch, F.slice(by_hash, 1, STAR_WORDS).alias("some")).select("key", "first", "n", *sketch, F.explode("some").alias("token"))
     frequent = F.greatest(c("token").bitwiseAND(F.lit(255)).cast("int") - STAR_BUCKET_LOG2, F.lit(0))
     part = F.pmod(c("key"), F.call_function("shiftleft", F.lit(1).cast("bigint"), frequent))
     like = F.floor(4 * F.log("n")).cast("int")  # lengths that differ by a quarter or less
     in_order = Window.partitionBy("token", like, part).orderBy("first", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = posted.select("key", "n", "sketch", *[F.nth_value(F.struct("key", "n", "sketch"), i + 1).over(in_order).alias(f"hub{i}") for i in range(STAR_HUBS)])
-    # of 64 bits or, where both have them, of 256
-    one = lambda s: F.when(F.size(s) == 1, F.get(s, F.lit(0))).otherwise(reduce(lambda a, b: a.bitwiseXOR(b), [F.get(s, F.lit(i)) for i in range(4)]))
+    star = posted.select("key", "n", *sketch, *[F.nth_value(F.struct("key", "n", *sketch), i + 1).over(in_order).alias(f"hub{i}") for i in range(STAR_HUBS)])
 
-    def near(hub: str) -> Column:
-        other = c(f"{hub}.sketch")
-        four = reduce(lambda a, b: a + b, [F.bit_count(F.get(c("sketch"), F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(4)])
-        gap = F.when((F.size("sketch") == 4) & (F.size(other) == 4), four).otherwise(F.bit_count(one(c("sketch")).bitwiseXOR(one(other))))
-        return F.when((c("key") != c(f"{hub}.key")) & _may_link(c("n"), c(f"{hub}.n"), gap, percent), c(f"{hub}.key"))
+    def near(hub: str) -> Column:  # of 64 bits or, where both have them, of 256
+        differ = lambda s: F.bit_count(c(s).bitwiseXOR(c(f"{hub}.{s}")))
+        gap = F.when(c("wide") & c(f"{hub}.wide"), reduce(lambda a, b: a + b, map(differ, lanes))).otherwise(differ("s"))
+        return (c("key") != c(f"{hub}.key")) & _may_link(c("n"), c(f"{hub}.n"), gap, percent)
 
-    hubs = F.array_compact(F.array(*[near(f"hub{i}") for i in range(STAR_HUBS)]))
-    return star.select(c("key").alias("x"), hubs.alias("hubs")).where(F.size("hubs") > 0).select("x", F.explode("hubs").alias("y")).distinct()
+    # few lines have one, so most go before an array is made; no lambda, which Spark would interpret with all that is in it
+    hubs = [f"hub{i}" for i in range(STAR_HUBS)]
+    some = star.where(reduce(lambda a, b: a | b, map(near, hubs)))
+    return some.select(c("key").alias("x"), F.explode(F.array(*[F.when(near(hub), c(f"{hub}.key")) for hub in hubs])).alias("y")).where("y is not null").distinct()
 
 
 def _class_pairs(sets: DataFrame, low: int, top: int, lanes: int, percent: int) -> DataFrame:
@@ -230,8 +233,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, keys: DataFrame, tokens_of, perc
     holders = places.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
     holders = work.save(holders, f"{name}-holders")
     near = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
-    asked = F.transform("asked", lambda a: F.struct(a["key"].alias("key"), F.get(F.split(_spaced("text"), "\n"), a["pos"]).alias("line")))
-    found = keys.join(near, ["id", "h"]).select(F.explode(asked).alias("w")).select("w.key", tokens_of(F.col("w.line")).alias("tokens"))
+    # the text is split once, as a lambda's variable, and not for each line that is asked for
+    asked = F.transform(F.array(F.split(_spaced("text"), "\n")), lambda lines: F.transform("asked", lambda a: F.struct(a["key"].alias("key"), F.get(lines, a["pos"]).alias("line"))))
+    found = keys.join(near, ["id", "h"]).select(F.explode(F.get(asked, 0)).alias("w")).select("w.key", tokens_of(F.col("w.line")).alias("tokens"))
     whole = work.save(found.dropDuplicates(["key"]), f"{name}-tokens")
     both = pairs.join(whole.select(F.col("key").alias("x"), F.col("tokens").alias("left")), "x").join(whole.select(F.col("key").alias("y"), F.col("tokens").alias("right")), "y")
     shared = F.size(F.array_intersect("left", "right"))

@@ -1,7 +1,10 @@
 """Each corpus operator against a plain version, on texts with nulls, blanks, repeats, long texts and copies."""
 
+import functools
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 from math import log10
@@ -178,6 +181,48 @@ def test_line_sketches(spark):
     assert all(four[f"f{i}"] == four["s"][i] ^ four["s"][i + 4] ^ four["s"][i + 8] ^ four["s"][i + 12] for i in range(4))
 
 
+def test_lines_compare_without_lambdas(spark):
+    """Spark interprets a lambda with all that is in it: lines met their hubs there, and a text was split for each line asked for."""
+    plans = {}
+
+    class Kept:
+        def save(self, df, name):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return df
+
+    first = "first struct<id: bigint, pos: int, h: bigint>"
+    sets = spark.createDataFrame([], f"key bigint, {first}, copies bigint, n int, prefix array<bigint>, sketch array<bigint>")
+    stars = lines._stars(sets, 80)
+    assert "filter(" not in stars._jdf.queryExecution().optimizedPlan().toString()
+    keys = spark.createDataFrame([(1, 2, "a b\nc d")], "id bigint, h bigint, text string")
+    lines._similar(stars, sets, keys, lambda line: F.array(F.xxhash64(line)), 80, Kept(), "some")
+    assert "split(" in plans["some-tokens"] and not re.search(r"lambdafunction\([^\n]*split\(", plans["some-tokens"])
+
+
+def test_lines_meet_hubs_by_any_width_of_sketch(spark):
+    """Sketches of one, four, 16 and 64 lanes: pairs are those of a plain fold."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(64)]
+    rows = []
+    for k, lanes in enumerate([1, 1, 4, 4, 16, 16, 64, 64, 1, 4, 16, 64]):
+        sketch = [functools.reduce(lambda a, b: a ^ b, base[i::lanes]) ^ (k % 3) for i in range(lanes)]
+        rows.append((k, (k, 0, 0), 1, 50 + k, [7], sketch if k < 10 else [rng.getrandbits(63) for _ in range(lanes)]))
+    sets = spark.createDataFrame(rows, "key bigint, first struct<id: bigint, pos: int, h: bigint>, copies bigint, n int, prefix array<bigint>, sketch array<bigint>")
+    got = {tuple(r) for r in lines._stars(sets, 80).collect()}
+    xor = lambda s: functools.reduce(lambda a, b: a ^ b, s)
+    four = lambda s: [xor(s[i::4]) for i in range(4)] if len(s) > 1 else s
+    want = set()
+    for like in {int(4 * math.log(r[3])) for r in rows}:
+        bucket = [r for r in rows if int(4 * math.log(r[3])) == like]
+        for at, (x, _, _, n, _, s) in enumerate(bucket):
+            for y, _, _, m, _, o in bucket[: min(at, lines.STAR_HUBS)]:
+                both = len(s) > 1 and len(o) > 1
+                gap = sum((a ^ b).bit_count() for a, b in zip(four(s), four(o))) if both else (xor(s) ^ xor(o)).bit_count()
+                if 100 * min(n, m) >= 80 * max(n, m) and 20 * (n + m) >= 180 * (1 if (n + m) % 2 else 2) and 180 * gap <= 20 * (n + m):
+                    want.add((x, y))
+    assert got == want and len(want) > 3
+
+
 def test_lines_clashing_names(spark):
     rows = [(1, "a b", 9, "x", "y"), (2, "a b", 8, "z", "w")]
     out = lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, __id string, __gone string")).orderBy("doc_id")

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tessera.sources.io import shared_folder
 
 
+def _by_shuffle(df: DataFrame) -> DataFrame:
+    """For a side of a join that grows with the input: never broadcast. Sizes are guessed from the files that a table was
+    made of, also through a checkpoint, and what is exploded from a small file is much larger than that."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """``node, component`` (the smallest node) for an edge table ``a, b``.
 
@@ -21,10 +27,10 @@ def connected_components(edges: DataFrame, checkpoint: bool = True) -> DataFrame
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        lower = labels.join(near, "node").select("node", "component", F.least("component", "seen").alias("next"))
+        near = both.join(_by_shuffle(labels.select(F.col("node").alias("b"), "component")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
+        lower = labels.join(_by_shuffle(near), "node").select("node", "component", F.least("component", "seen").alias("next"))
         parent = lower.select(F.col("node").alias("next"), F.col("next").alias("above"))
-        new = cut(lower.join(parent, "next").select("node", "component", F.least("next", "above").alias("new")))
+        new = cut(lower.join(_by_shuffle(parent), "next").select("node", "component", F.least("next", "above").alias("new")))
         labels = new.select("node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
             return labels
@@ -38,9 +44,9 @@ def shared_id_components(df: DataFrame, row_id: str, id_columns: dict[str, str])
     ids = F.explode(F.array(*[F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.concat(F.lit(f"{space}:"), F.col(c).cast("string"))) for c, space in id_columns.items()])).alias("id")
     pairs = df.select(row_id, ids).where("id is not null")
     hub = pairs.groupBy("id").agg(F.min(row_id).alias("a"))
-    edges = pairs.join(hub, "id").where(F.col(row_id) != F.col("a")).select("a", F.col(row_id).alias("b")).distinct()
+    edges = pairs.join(_by_shuffle(hub), "id").where(F.col(row_id) != F.col("a")).select("a", F.col(row_id).alias("b")).distinct()
     found = connected_components(edges)
-    return df.select(row_id).join(found.withColumnRenamed("node", row_id), row_id, "left").withColumn("component", F.coalesce("component", F.col(row_id)))
+    return df.select(row_id).join(_by_shuffle(found.withColumnRenamed("node", row_id)), row_id, "left").withColumn("component", F.coalesce("component", F.col(row_id)))
 
 
 def assign_identities(df: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def resolve_identities(df: DataFrame, most_links: int = MOST_LINKS) -> DataFrame
         .checkpoint()
     )
     links = _open(groups.withColumnRenamed("strong", "ids")).checkpoint()
-    sizes = df.groupBy("identity_id").agg(F.count(F.lit(1)).alias("n")).join(links.select(F.explode("ids").alias("identity_id")).distinct(), "identity_id", "left_semi").checkpoint()
+    sizes = df.groupBy("identity_id").agg(F.count(F.lit(1)).alias("n")).join(_by_shuffle(links.select(F.explode("ids").alias("identity_id")).distinct()), "identity_id", "left_semi").checkpoint()
     places = lambda x: x.agg(F.sum(F.size("ids"))).first()[0] or 0
     n, labels, components = places(links), None, None
     if n > most_links:
@@ -90,12 +96,14 @@ def resolve_identities(df: DataFrame, most_links: int = MOST_LINKS) -> DataFrame
                 components = connected_components(_hashed(_star(links)))
     people = _settle(links, components, sizes)
     if labels is not None:
-        people = labels.join(people.withColumnRenamed("identity_id", "root"), "root", "full").select(F.coalesce("identity_id", "root").alias("identity_id"), F.coalesce("person", "root").alias("person"))
+        people = labels.join(_by_shuffle(people.withColumnRenamed("identity_id", "root")), "root", "full").select(F.coalesce("identity_id", "root").alias("identity_id"), F.coalesce("person", "root").alias("person"))
     people = people.checkpoint()
-    members = groups.select("paper_key", "name_key", F.explode("strong").alias("identity_id")).join(people, "identity_id", "left")
+    members = groups.select("paper_key", "name_key", F.explode("strong").alias("identity_id")).join(_by_shuffle(people), "identity_id", "left")
     one = members.groupBy("paper_key", "name_key").agg(F.min(F.coalesce("person", "identity_id")).alias("anchor"), F.max(F.coalesce("person", "identity_id")).alias("other"))
     anchor = one.where("anchor = other").drop("other")
-    out = df.join(people, "identity_id", "left").join(anchor, ["paper_key", "name_key"], "left")
+    apart = F.when(F.col("identity_type") == "name_only", F.xxhash64("row_id")).otherwise(0)  # rows known by name need no person; many share a name
+    out = df.withColumn("__apart", apart).join(_by_shuffle(people.withColumn("__apart", F.lit(0).cast("bigint"))), ["identity_id", "__apart"], "left").drop("__apart")
+    out = out.join(_by_shuffle(anchor), ["paper_key", "name_key"], "left")
     final = F.when(F.col("identity_type") == "name_only", F.coalesce("anchor", "identity_id")).otherwise(F.coalesce("person", "identity_id"))
     return out.withColumn("identity_id", final).drop("person", "anchor").withColumn("identity_type", F.when(F.col("identity_id").startswith("orcid:"), "orcid").when(F.col("identity_id").startswith("native:"), "native_id").otherwise("name_only"))
 
@@ -115,7 +123,7 @@ def _hashed(edges: DataFrame) -> DataFrame:
 
 
 def _largest(links: DataFrame, components: DataFrame) -> int:
-    of = links.select(F.xxhash64(F.array_min("ids")).alias("node"), F.size("ids").alias("n")).join(components, "node")
+    of = links.select(F.xxhash64(F.array_min("ids")).alias("node"), F.size("ids").alias("n")).join(_by_shuffle(components), "node")
     return of.groupBy("component").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
@@ -135,22 +143,22 @@ def _contract(links: DataFrame, labels: DataFrame | None, sizes: DataFrame) -> t
     """
     members = links.select("paper_key", "name_key", F.explode("ids").alias("id"))
     first = members.where(~F.col("id").startswith("orcid:")).groupBy("id").agg(F.min(F.struct("paper_key", "name_key")).alias("first"))
-    seen = members.join(first, "id", "left").groupBy("paper_key", "name_key").agg(F.collect_list("id").alias("ids"), F.count_if(F.coalesce(F.col("first") != F.struct("paper_key", "name_key"), F.lit(True))).alias("waiting"))
+    seen = members.join(_by_shuffle(first), "id", "left").groupBy("paper_key", "name_key").agg(F.collect_list("id").alias("ids"), F.count_if(F.coalesce(F.col("first") != F.struct("paper_key", "name_key"), F.lit(True))).alias("waiting"))
     united = connected_components(_star(seen.where("waiting <= 1"))).withColumnRenamed("node", "identity_id")
-    sized = united.join(sizes, "identity_id")
+    sized = united.join(_by_shuffle(sizes), "identity_id")
     best = sized.groupBy("component").agg(F.min(_strength(F.col("identity_id"), F.col("n"))).alias("best"))
-    step = united.join(best, "component").select(F.col("identity_id").alias("id"), F.col("best.root").alias("root")).checkpoint()
-    left = members.join(step, "id", "left").groupBy("paper_key", "name_key").agg(F.collect_set(F.coalesce("root", "id")).alias("ids"))
+    step = united.join(_by_shuffle(best), "component").select(F.col("identity_id").alias("id"), F.col("best.root").alias("root")).checkpoint()
+    left = members.join(_by_shuffle(step), "id", "left").groupBy("paper_key", "name_key").agg(F.collect_set(F.coalesce("root", "id")).alias("ids"))
     known = step.select(F.col("id").alias("identity_id"), "root")
     if labels is not None:
-        known = labels.withColumnRenamed("root", "id").join(step, "id", "full").select(F.coalesce("identity_id", "id").alias("identity_id"), F.coalesce("root", "id").alias("root"))
+        known = labels.withColumnRenamed("root", "id").join(_by_shuffle(step), "id", "full").select(F.coalesce("identity_id", "id").alias("identity_id"), F.coalesce("root", "id").alias("root"))
     return _open(left).checkpoint(), known.checkpoint()
 
 
 def _settle(links: DataFrame, components: DataFrame | None, sizes: DataFrame) -> DataFrame:
     """``identity_id, person``: components (by hash) in turn, the groups of each in order; a task keeps the identities of one component."""
-    rows = links.withColumn("component", F.lit(0)) if components is None else links.withColumn("node", F.xxhash64(F.array_min("ids"))).join(components, "node").drop("node")
-    rows = rows.select("component", "paper_key", "name_key", F.explode("ids").alias("identity_id")).join(sizes, "identity_id")
+    rows = links.withColumn("component", F.lit(0)) if components is None else links.withColumn("node", F.xxhash64(F.array_min("ids"))).join(_by_shuffle(components), "node").drop("node")
+    rows = rows.select("component", "paper_key", "name_key", F.explode("ids").alias("identity_id")).join(_by_shuffle(sizes), "identity_id")
     rows = rows.repartition("component") if components is not None else rows.repartition(1)
     ordered = rows.sortWithinPartitions("component", "paper_key", "name_key").select("component", "paper_key", "name_key", "identity_id", "n")
     return ordered.mapInArrow(_uniter(), "identity_id string, person string")

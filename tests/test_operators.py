@@ -135,6 +135,26 @@ def test_identities_share_tasks(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # no call for each component
 
 
+def test_identities_nothing_broadcast(spark, tmp_path):
+    """Sizes are guessed from a small file of which much is made; a row for each identity must not pass the driver."""
+    spark.range(300).withColumnRenamed("id", "k").write.parquet(f"{tmp_path}/few")
+    each = spark.read.parquet(f"{tmp_path}/few").select("k", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("side"))
+    rows_ = each.select((F.col("k") * 2 + F.col("side")).alias("row_id"), F.col("k").cast("string").alias("paper_key"), F.lit("n").alias("name_key"), F.lit("ann").alias("given_key"), F.concat_ws("-", "k", "side").alias("native_id"), F.lit(None).cast("string").alias("orcid"))
+    for most in (0, 100, 10_000):
+        got = graph.resolve_identities(graph.assign_identities(rows_), most)
+        assert len({r["identity_id"] for r in got.collect()}) == 300
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    edges = each.select(F.col("k").alias("a"), (F.col("k") + 1000).alias("b"))
+    plans = []
+    cut = type(edges).checkpoint
+    try:
+        type(edges).checkpoint = lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, *a, **b)
+        assert graph.connected_components(edges).count() == 600
+    finally:
+        type(edges).checkpoint = cut
+    assert plans and not [p for p in plans if "Broadcast" in p]
+
+
 def test_registry(spark):
     seen = spark.createDataFrame([("Firm Ltd", "a"), ("FIRM LIMITED", "b"), ("Firm Ltd", "b"), (" ", "a"), (None, "a"), ("Uni of X", "a")], "name string, source string")
     got = registry.entities(seen)

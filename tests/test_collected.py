@@ -68,3 +68,24 @@ def test_titles_are_no_names(spark):
     forms = {"Jane Smith": "Smith J", "Cllr Smith": "Cllr Smith", "Senator Jones": "Senator Jones", "Dr. Brown": "Dr Brown", "Sister Agnes": "Sister Agnes", "John Jnr": "John Jnr", "Ann Esquire": "Ann Esquire", "Smith JA": "Smith JA", "van Gogh": "Gogh v", "Anna Maria Lopez": "Anna Maria Lopez", "Dean": "Dean", "": "", None: None}
     df = spark.createDataFrame([(x,) for x in forms], "name string")
     assert {r[0]: r[1] for r in df.select("name", names.normalise_name(F.col("name"))).collect()} == forms
+
+
+@pytest.mark.parametrize("most_places", [0, 1 << 20])
+def test_projection_adds_where_rows_are(spark, monkeypatch, most_places):
+    """Eight places of a term are added up by a task, not as eight rows; sums are those of a plain loop, for null keys too."""
+    import hashlib
+
+    monkeypatch.setattr(projection, "MOST_PLACES", most_places)
+    data = [(None if i % 5 == 4 else f"k{i % 5}", f"wört {i % 90}", ((i * 37) % 101 - 40) / 64.0) for i in range(3000)] + [("k0", None, 1.0), ("k0", "x", None)]
+    weights = spark.createDataFrame(data, "id string, term string, weight double").repartition(3)
+    want = {}
+    for key, term, weight in data[:3000]:
+        h = hashlib.md5(term.encode()).hexdigest()
+        for j in range(8):
+            g = int(h[4 * j : 4 * j + 4], 16)
+            place = key, j * 4 + (g >> 1) % 4
+            want[place] = want.get(place, 0) + int(weight * (1 << 20)) * (1 if g % 2 == 0 else -1)
+    got = projection.project(weights, "id", 32)
+    assert {(r["id"], r["pos"]): r["total"] for r in got.collect()} == {k: v for k, v in want.items() if v}
+    assert got.schema.simpleString() == "struct<id:string,pos:int,total:bigint>"
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
